@@ -131,8 +131,8 @@ def draw_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """``mix_id, source, doc_id, repeats, tokens`` of every chosen document.
 
     A source's documents are in an order fixed by their hash. Its budget is
-    spent on whole passes, then on the documents from the beginning while they
-    fit into the rest. Prefix sums run over hash buckets first and rows within
+    spent on whole passes, then on the documents from the beginning up to the
+    one after which the tokens are nearest to the budget. Prefix sums run over hash buckets first and rows within
     the bucket where the rest ends, so a source of a third of all rows is as
     many tasks' work as it has buckets. Documents without tokens are not drawn.
     """
@@ -150,7 +150,7 @@ def draw_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     p = plan.select("mix_id", F.col("source").alias("ps"), "budget", "source_tokens", "max_repeats")
     passes = F.floor(F.col("budget") / F.col("source_tokens"))
     rest = F.col("budget") - passes * F.col("source_tokens")
-    repeats = F.least(passes + F.when(F.col("end") <= rest + F.lit(1e-6), 1).otherwise(0), F.col("max_repeats")).cast("int")
+    repeats = F.least(passes + F.when(F.col("end") - F.col("tokens") / 2 <= rest, 1).otherwise(0), F.col("max_repeats")).cast("int")
     return (
         placed.join(p, F.col("source") == F.col("ps"))
         .select("mix_id", "source", "doc_id", repeats.alias("repeats"), "tokens")
