@@ -9,6 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys whose values are not kept.
 SENSITIVE = {"api_key", "apikey", "authorization", "cookie", "password", "secret", "token"}
@@ -42,7 +43,7 @@ def contains(actual: Any, wanted: Any) -> bool:
     return isinstance(actual, dict) and all(k in actual and contains(actual[k], v) for k, v in wanted.items())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_json(payload: pd.Series) -> pd.Series:
     """Redacted payload; text that is no JSON container is returned as it is."""
 
@@ -53,7 +54,7 @@ def redact_json(payload: pd.Series) -> pd.Series:
     return payload.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stable_json(payload: pd.Series) -> pd.Series:
     """JSON containers with sorted keys and spaced separators; other text as it is."""
 
@@ -64,7 +65,7 @@ def stable_json(payload: pd.Series) -> pd.Series:
     return payload.map(one, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def json_contains(actual: pd.Series, wanted: pd.Series) -> pd.Series:
     """Whether the first object contains the second; a null or unreadable side counts as an empty object."""
 
@@ -128,10 +129,13 @@ def resolve_steps(extra: Any, truth: Any, own_paths: Iterable[str] = ()) -> tupl
     return [], None
 
 
+_RESOLVED = T.StructType([T.StructField("steps", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("source", T.StringType())])
+
+
 def resolver(own_paths: tuple[str, ...] = ()):
     """A column function of (extra_info, ground_truth) to ``steps, source``."""
 
-    @F.pandas_udf("steps array<array<string>>, source string")
+    @F.pandas_udf(_RESOLVED)
     def resolve(extra: pd.Series, truth: pd.Series) -> pd.DataFrame:
         both = [resolve_steps(e, t, own_paths) for e, t in zip(extra, truth, strict=True)]
         return pd.DataFrame({"steps": [s for s, _ in both], "source": [x for _, x in both]})

@@ -17,7 +17,7 @@ VARIANTS = [
     ("graph_terminal", "graph", False, 0.5, 0.5),
     ("graph_turn_potential", "graph", True, 0.5, 0.5),
 ]
-SEEDS = [11, 23, 47]
+SEEDS = [1, 2, 3]
 
 
 def run_matrix(domains: DataFrame, variants: DataFrame, seeds: DataFrame) -> DataFrame:
