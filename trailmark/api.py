@@ -28,12 +28,13 @@ def compute_scores(rows: DataFrame, *, key: str = "row_id", scorer: ScorerConfig
     if encoder:
         scored = score_samples(ready, [key, "think", "answer", "steps", "source"], F.col("answer"), F.col("steps"), scorer)
         semantic, match, order = F.col("result.score"), F.col("result.match_rate"), F.col("result.order_rate")
-        judged = assess(F.col("result"), F.col("answer"), F.col("steps"), routing)
+        scored = assess(scored, "result", "answer", "steps", "j", routing)
     else:
         scored = ready.withColumn("share", X.label_share(F.col("answer"), F.col("steps")))
         semantic = match = order = F.col("share")
         judged = F.struct(F.lit(0.0).alias("confidence"), F.lit(True).alias("fallback"), F.array(F.lit("no_embedding_backend")).alias("reasons"))
-    repeated = scored.withColumn("rep", X.repetition(X.long_pieces(F.col("answer")))).withColumn("j", judged)
+        scored = scored.withColumn("j", judged)
+    repeated = scored.withColumn("pieces", X.long_pieces(F.col("answer"))).withColumn("rep", X.repetition(F.col("pieces")))
     return repeated.select(
         key, F.greatest(semantic + F.col("rep.penalty"), F.lit(0.0)).alias("score"), semantic.alias("semantic_score"), match.alias("match_rate"), order.alias("order_rate"),
         F.col("source").alias("steps_source"), F.size("steps").alias("n_steps"), F.length("think").alias("think_len"), F.col("rep.rate").alias("repetition_rate"),

@@ -18,6 +18,7 @@ from trailmark.functions.payloads import stable_json
 from trailmark.functions.tools import Call, Handler, handler_name, semantics
 from trailmark.operators.sequences import running, with_previous
 from trailmark.plans.delivery import latest_delivery
+from trailmark.plans.shared import write_shared
 from trailmark.plans.sizing import broadcast_if_small
 
 #: What an event may say of itself, and who is believed by default.
@@ -46,7 +47,8 @@ def current_events(raw: DataFrame) -> DataFrame:
     # the smallest name of the largest count
     top = per.groupBy("traj_id").agg(F.min(F.struct(-F.col("n"), "wf"))["wf"].alias("workflow"))
     tidy = once.withColumns({"node_id": X.optional(F.col("node_id")), "transition_kind": X.optional(F.col("transition_kind"))})
-    return tidy.join(top, "traj_id", "left")
+    # every check reads the events again
+    return write_shared(tidy.join(top, "traj_id", "left"), "events")
 
 
 def known_events(events: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -60,20 +62,20 @@ def known_events(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     ids = nodes.select(F.col("workflow").alias("w"), F.col("id").alias("i"))
     known = events.join(broadcast_if_small(ids), (F.col("workflow") == F.col("w")) & (F.col("node_id") == F.col("i")), "left_semi")
-    linked = with_previous(known, "traj_id", "ord", ["node_id"])
-    opened = linked.withColumn("opens", (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id")))
-    island = running(opened, ["traj_id"], "ord", "island", "sum", F.col("opens").cast("long"))
-    first = island.withColumn("a", (F.col("opens") & F.col("occurrence").isNull()).cast("long"))
-    summed = running(first, ["traj_id", "node_id"], "ord", "sum_a", "sum", F.col("a"))
-    peak = running(summed, ["traj_id", "node_id"], "ord", "peak", "max", F.coalesce(F.col("occurrence").cast("long") - F.col("sum_a"), F.lit(-(1 << 40))))
-    opening = peak.withColumn("given", F.when(F.col("opens"), F.coalesce(F.col("occurrence").cast("long"), F.col("sum_a") + F.greatest(F.lit(0), "peak"))).otherwise(F.col("occurrence").cast("long")))
+    # each prefix computation reads its input twice, so its input is a table
+    base = write_shared(known.select("traj_id", "ord", "workflow", "node_id", "occurrence", "transition_kind"), "known")
+    linked = with_previous(base, "traj_id", "ord", ["node_id"])
+    opened = linked.withColumn("opens", (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id"))).drop("prev_node_id", "has_prev")
+    first = write_shared(opened.withColumn("a", (F.col("opens") & F.col("occurrence").isNull()).cast("long")), "known")
+    summed = write_shared(running(first, ["traj_id", "node_id"], "ord", "sum_a", "sum", F.col("a")), "known")
+    below = F.coalesce(F.col("occurrence").cast("long") - F.col("sum_a"), F.lit(-(1 << 40)))
+    peak = write_shared(running(summed, ["traj_id", "node_id"], "ord", "peak", "max", below), "known")
+    opening = F.coalesce(F.col("occurrence").cast("long"), F.col("sum_a") + F.greatest(F.lit(0), "peak"))
+    given = peak.withColumn("given", F.when(F.col("opens"), opening).otherwise(F.col("occurrence").cast("long"))).drop("a", "sum_a", "peak", "opens")
     # an unnumbered event repeats the last number of its stretch
-    marked = running(opening, ["traj_id"], "ord", "at", "max", F.when(F.col("given").isNotNull(), F.col("ord").cast("long")))
-    numbers = opening.filter("given is not null").select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), F.col("given").alias("occ"))
-    return (
-        marked.join(numbers, (F.col("traj_id") == F.col("t")) & (F.col("at") == F.col("o")))
-        .drop("t", "o", "at", "given", "peak", "sum_a", "a", "opens", "island", "prev_node_id", "has_prev")
-    )
+    marked = running(given, ["traj_id"], "ord", "at", "max", F.when(F.col("given").isNotNull(), F.col("ord").cast("long")))
+    numbers = given.filter("given is not null").select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), F.col("given").alias("occ"))
+    return write_shared(marked.join(numbers, (F.col("traj_id") == F.col("t")) & (F.col("at") == F.col("o"))).drop("t", "o", "at", "given"), "known")
 
 
 def visits(known: DataFrame) -> DataFrame:
@@ -81,12 +83,14 @@ def visits(known: DataFrame) -> DataFrame:
     linked = with_previous(known, "traj_id", "ord", ["node_id", "occ"])
     fresh = (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id")) | (F.col("prev_occ") != F.col("occ"))
     numbered = running(linked, ["traj_id"], "ord", "visit", "sum", fresh.cast("long"))
-    return numbered.groupBy("traj_id", "workflow", "visit", "node_id", "occ").agg(
+    per = numbered.groupBy("traj_id", "workflow", "visit", "node_id", "occ").agg(
         F.min("ord").alias("first_ord"),
         F.count(F.lit(1)).alias("n_events"),
         F.min("transition_kind").alias("kind"),
         F.max("transition_kind").alias("__k"),
-    ).withColumn("n_kinds", F.when(F.col("kind").isNull(), 0).when(F.col("kind") == F.col("__k"), 1).otherwise(2)).drop("__k")
+    )
+    kinds = F.when(F.col("kind").isNull(), 0).when(F.col("kind") == F.col("__k"), 1).otherwise(2)
+    return write_shared(per.withColumn("n_kinds", kinds).drop("__k"), "visits")
 
 
 def transitions(seen: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def transitions(seen: DataFrame, edges: DataFrame) -> DataFrame:
     found = pairs.join(broadcast_if_small(e), on, "left").groupBy(*keys).agg(
         F.min(F.struct("edge_index", "edge_kind", "max_traversals")).alias("edge"), F.count("edge_index").alias("n_edges")
     )
-    chosen = found.select(*keys, "n_edges", "edge.*")
+    chosen = write_shared(found.select(*keys, "n_edges", "edge.*"), "moves")
     counted = running(chosen.filter("edge_index is not null"), ["traj_id", "edge_index"], "visit", "taken", "sum", F.lit(1).cast("long"))
     return counted.unionByName(chosen.filter("edge_index is null").withColumn("taken", F.lit(None).cast("long")))
 
@@ -167,14 +171,18 @@ def violations(checked: DataFrame) -> DataFrame:
     return checked.filter(~F.col("passed")).select("traj_id", "reason").distinct()
 
 
-def state_observations(known: DataFrame) -> DataFrame:
+def state_observations(known: DataFrame, raw: DataFrame) -> DataFrame:
     """``traj_id, node_id, occ, before, after``: per visit the first non-empty state before and the last after.
 
-    Of several visits with one number the last counts. Visits without states give no row.
+    ``known`` is :func:`known_events` of ``raw``, which holds the states. Of
+    several visits with one number the last counts. Visits without states give
+    no row.
     """
     linked = with_previous(known, "traj_id", "ord", ["node_id", "occ"])
     fresh = (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id")) | (F.col("prev_occ") != F.col("occ"))
     numbered = running(linked, ["traj_id"], "ord", "visit", "sum", fresh.cast("long"))
+    states = raw.select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), "state_before", "state_after")
+    numbered = numbered.join(states, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o")))
     filled = lambda c: F.when(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "").isin("", "{}", "null"), F.lit(None)).otherwise(c)
     b, a = filled(F.col("state_before")), filled(F.col("state_after"))
     per = numbered.groupBy("traj_id", "node_id", "occ", "visit").agg(

@@ -26,7 +26,8 @@ def run_matrix(domains: DataFrame, variants: DataFrame, seeds: DataFrame) -> Dat
         raise ValueError("a suite has three different domains")
     if not seeds.limit(1).count():
         raise ValueError("a suite has at least one seed")
-    return domains.select("domain").crossJoin(variants.select("ablation")).crossJoin(seeds.select("seed"))
+    one = lambda df, c: df.select(c).coalesce(1)
+    return one(domains, "domain").crossJoin(one(variants, "ablation")).crossJoin(one(seeds, "seed"))
 
 
 def default_suite(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -27,12 +27,12 @@ def ranking(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     per = keyed.groupBy("all", "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("s").alias("s"))
     chunk = 10_000_000
     below = running(running(per, ["all"], "k", "n_upto", "sum", F.col("n"), chunk=chunk), ["all"], "k", "p_upto", "sum", F.col("p"), chunk=chunk)
-    total = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = per.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     joined = below.join(F.broadcast(total))  # one row
-    above_p, above = F.col("P") - F.col("p_upto") + F.col("p"), F.col("P") + F.col("N") - F.col("p_upto") - F.col("n_upto") + F.col("p") + F.col("n")
+    above_p, above = F.col("all_p") - F.col("p_upto") + F.col("p"), F.col("all_p") + F.col("all_n") - F.col("p_upto") - F.col("n_upto") + F.col("p") + F.col("n")
     out = joined.agg(
-        F.max("P").alias("positives"),
-        F.max("N").alias("negatives"),
+        F.max("all_p").alias("positives"),
+        F.max("all_n").alias("negatives"),
         F.sum(F.col("p") * (F.col("n_upto") - F.col("n") + F.col("n") / 2)).alias("wins"),
         F.sum(F.col("p") * above_p / above).alias("precision"),
     )

@@ -14,7 +14,7 @@ from trailmark.functions.tools import Call, handler_name, semantics
 from trailmark.operators import align, embed, events, experiments, quality, windows
 from trailmark.operators import workflow as wf
 from trailmark.operators.confidence import assess
-from trailmark.operators.sequences import with_previous
+from trailmark.operators.sequences import running, with_previous
 from trailmark.plans.delivery import latest_delivery
 from trailmark.sources.readers import read_rlvr
 from trailmark.sql import SQL as _SQL
@@ -249,14 +249,14 @@ def _lexical(spark, folder):
 
 @query
 def confidence_routing(spark, folder):
-    rows = _lexical(spark, folder).withColumn("j", assess(F.col("result"), F.col("response"), F.col("steps")))
+    rows = assess(_lexical(spark, folder), "result", "response", "steps", "j")
     return rows.select("id", r6("j.confidence").alias("confidence"), F.col("j.fallback").alias("fallback"), F.array_join("j.reasons", "; ").alias("reasons"))
 
 
 @query
 def linear_routing(spark, folder):
     """Routing of the encoder's scores."""
-    rows = _scored(spark, folder).withColumn("j", assess(F.col("result"), F.col("response"), F.col("reference_steps")))
+    rows = assess(_scored(spark, folder), "result", "response", "reference_steps", "j")
     return rows.select("id", r6("result.score").alias("score"), r6("j.confidence").alias("confidence"), F.col("j.fallback").alias("fallback"), F.array_join("j.reasons", "; ").alias("reasons"))
 
 
@@ -393,7 +393,8 @@ def visit_limits(spark, folder):
 
 @query
 def state_observations(spark, folder):
-    s = events.state_observations(_known(spark, folder))
+    raw = _events(spark, folder)
+    s = events.state_observations(events.known_events(raw, read(spark, folder, "workflow_nodes")), raw)
     return s.select("traj_id", "node_id", F.col("occ").cast("long").alias("occ"), "before", "after")
 
 
@@ -415,8 +416,6 @@ def potential_shaping(spark, folder):
     first = Window.partitionBy("traj_id", "node_id")
     total = read(spark, folder, "workflow_nodes").groupBy(F.col("workflow").alias("w")).agg(F.count(F.lit(1)).alias("nodes"))
     marked = known.withColumn("new", (F.col("ord") == F.min("ord").over(first)).cast("long"))
-    from trailmark.operators.sequences import running
-
     seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new")).join(F.broadcast(total), F.col("workflow") == F.col("w"))
     out = wf.shaped(seen.withColumn("potential", F.col("seen") / F.col("nodes")), "traj_id", "ord", gamma=0.9)
     return out.select("traj_id", "ord", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"))
@@ -427,8 +426,6 @@ def attempts(spark, folder):
     """Trajectories cut where their workflow starts again: the unit in which long ones are scored."""
     v = events.visits(_known(spark, folder))
     starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
-    from trailmark.operators.sequences import running
-
     marked = v.join(F.broadcast(starts), F.col("workflow") == F.col("w"))
     cut = running(marked, ["traj_id"], "visit", "attempt", "sum", (F.col("node_id") == F.col("start")).cast("long"))
     return cut.groupBy("traj_id", "attempt").agg(F.count(F.lit(1)).alias("visits"), F.sum("n_events").alias("events"), F.min("first_ord").alias("first_ord"))
@@ -515,14 +512,13 @@ def stage_rewards(spark, folder):
 @query
 def trace_rewards(spark, folder):
     """Rendered attempts scored along their workflow: a reward per attempt, so no trajectory is one group."""
-    known = _known(spark, folder)
-    from trailmark.operators.sequences import running
-
+    raw = _events(spark, folder)
+    known = events.known_events(raw, read(spark, folder, "workflow_nodes"))
     starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
     linked = with_previous(known.join(F.broadcast(starts), F.col("workflow") == F.col("w")), "traj_id", "ord", ["node_id"])
     again = (F.col("node_id") == F.col("start")) & (~F.col("has_prev") | (F.col("prev_node_id") != F.col("node_id")))
     cut = running(linked, ["traj_id"], "ord", "attempt", "sum", again.cast("long"))
-    text = events.rendered(cut).select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), "text")
+    text = events.rendered(raw).select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), "text")
     both = cut.select("traj_id", "ord", "workflow", "attempt").join(text, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o")))
     # an attempt holds the events of one passage through the workflow
     whole = both.groupBy("traj_id", "attempt", "workflow").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
@@ -539,7 +535,7 @@ def turn_potentials(spark, folder):
     for domain, workflow in DOMAIN_WORKFLOW.items():
         named = named.when(F.col("domain") == domain, workflow)
     turns = F.filter(F.split("response", "\n\n+"), lambda t: X.strip(t) != "")
-    out = wf.turn_potentials(rows.filter(F.length("response") <= 4000).unionByName(rows.filter(F.length("response") > 4000)), ["id"], turns, named, _specs(spark, folder), scorer=CONCEPT_SCORER)
+    out = wf.turn_potentials(rows, ["id"], turns, named, _specs(spark, folder), scorer=CONCEPT_SCORER)
     return out.select("id", "turn", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"))
 
 
@@ -547,7 +543,7 @@ def turn_potentials(spark, folder):
 
 
 def _labelled(spark, folder):
-    rows = _lexical(spark, folder).withColumn("j", assess(F.col("result"), F.col("response"), F.col("steps")))
+    rows = assess(_lexical(spark, folder), "result", "response", "steps", "j")
     score = X.lexical_coverage(F.col("response"), F.col("steps"))
     out = rows.select("id", "label", "subtype", "pair_id", score.alias("score"), F.col("j.confidence").alias("confidence"), F.col("j.fallback").alias("fallback"))
     return out.withColumn("trusted_score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")))
