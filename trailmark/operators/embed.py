@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -87,15 +88,21 @@ class NgramEncoder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                pad = f"^{w}$"
-                for g in [w, *(pad[k : k + 3] for k in range(len(pad) - 2))]:
-                    h = zlib.crc32(g.encode())
-                    out[i, h % self.dims] += 1.0 if h & 0x80000000 else -1.0
+            parts = [_grams(w) for w in re.findall(r"\w+", t.lower())]
+            if parts:
+                hashes = np.concatenate(parts)
+                out[i] = np.bincount(hashes % self.dims, weights=np.where(hashes & 0x80000000, 1.0, -1.0), minlength=self.dims)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
 
+@lru_cache(maxsize=65_536)
+def _grams(word: str) -> np.ndarray:
+    """Hashes of a word and of its trigrams with marked ends."""
+    pad = f"^{word}$"
+    return np.array([zlib.crc32(g.encode()) for g in [word, *(pad[k : k + 3] for k in range(len(pad) - 2))]], dtype=np.int64)
+
+
 class Cached:
     """An encoder that keeps the vectors of up to ``size`` texts; least recently used ones go first."""
 

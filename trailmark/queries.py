@@ -522,7 +522,8 @@ def trace_rewards(spark, folder):
     both = cut.select("traj_id", "ord", "workflow", "attempt").join(text, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o")))
     # an attempt holds the events of one passage through the workflow
     whole = both.groupBy("traj_id", "attempt", "workflow").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
-    ready = whole.withColumn("response", F.array_join("x.text", "\n"))
+    # few bytes but much work per attempt: as many tasks as there are cores
+    ready = whole.withColumn("response", F.array_join("x.text", "\n")).repartition(spark.sparkContext.defaultParallelism)
     scored = wf.score_workflows(ready, ["traj_id", "attempt"], F.col("response"), F.col("workflow"), _specs(spark, folder), scorer=align.ScorerConfig(threshold=0.6, encoder=embed.NgramEncoder()))
     return scored.select("traj_id", "attempt", r6("reward.required_coverage").alias("required_coverage"), r6("reward.order_rate").alias("order_rate"))
 

@@ -13,7 +13,12 @@ from trailmark.plans.shared import shared_folder
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """New files of an event table as a stream, with event time ``at`` in UTC."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = spark.readStream.schema(schema)
+    if files.getFileStatus(target).isFile():  # a stream watches a folder
+        stream, path = stream.option("pathGlobFilter", target.getName()), target.getParent().toString()
+    return stream.parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def counts(stream: DataFrame, *, every: str = "1 hour", late: str = "30 days") -> DataFrame:
