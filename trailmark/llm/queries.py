@@ -48,7 +48,7 @@ with latest as (
          coalesce(l.max_chars, (select max_chars from piece_limits where subtype = 'default')) as max_chars
   from latest d left join piece_limits l on l.subtype = coalesce(d.subtype, 'default')
 )
-select id, case when list_max(list_transform(regexp_split_to_array(response, '[ \n。，；]'), x -> length(x))) > max_chars
+select id, case when list_max(list_transform(regexp_split_to_array(response, '[ \n。，；]'), lambda x: length(x))) > max_chars
                 then 'forced' else 'boundary' end as cut
 from sized where length(response) > max_chars
 """
