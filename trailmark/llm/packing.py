@@ -71,37 +71,70 @@ def fit_repeats(hist: np.ndarray, patterns: list[tuple[int, ...]]) -> np.ndarray
     return x
 
 
-def plan_containers(hist: np.ndarray, units: int = UNITS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Containers as (pattern, repeats), a pattern being (size, count) pairs; uses the histogram up."""
-    left = hist.astype(np.int64).copy()
-    plan: list[tuple[tuple[tuple[int, int], ...], int]] = []
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
-    def use(counts: dict[int, int], times: int) -> None:
-        plan.append((tuple(sorted(counts.items(), reverse=True)), int(times)))
-        for s, n in counts.items():
-            left[s] -= n * times
 
-    patterns = enumerate_patterns(units)
-    repeats = fit_repeats(left, patterns)
-    for i in np.argsort(-repeats, kind="stable"):
-        counts = {int(s): int(n) for s, n in zip(*np.unique(patterns[i], return_counts=True), strict=True)}
-        times = min([int(repeats[i] + 1e-6), *(int(left[s] // n) for s, n in counts.items())])
+class _Filling:
+    """A histogram being used up, and the containers that used it."""
+
+    def __init__(self, hist: np.ndarray) -> None:
+        self.left, self.plan = hist.astype(np.int64).copy(), []
+
+    def lasts(self, counts: dict[int, int]) -> int:
+        """How often a composition can still be made."""
+        return min(int(self.left[s] // n) for s, n in counts.items())
+
+    def use(self, counts: dict[int, int], times: int) -> None:
         if times > 0:
-            use(counts, times)
-    # the residual: largest size first, filled with the largest that still fit; a
-    # composition repeats as often as its sizes last, so steps are bounded by sizes
-    while left.any():
-        counts: dict[int, int] = {}
-        room = units
-        for s in range(units, 0, -1):
-            fit = min(int(left[s]), room // s)
-            if fit:
-                counts[s] = fit
-                room -= fit * s
-            if not room:
-                break
-        use(counts, min(int(left[s] // n) for s, n in counts.items()))
-    return plan
+            self.plan.append((tuple(sorted(counts.items(), reverse=True)), int(times)))
+            for s, n in counts.items():
+                self.left[s] -= n * times
+
+    def pack_rest(self, units: int) -> Plan:
+        """Largest size first, filled with the largest that still fit.
+
+        A composition repeats as often as its sizes last, so the steps are
+        bounded by the number of sizes.
+        """
+        while self.left.any():
+            counts: dict[int, int] = {}
+            room = units
+            for s in range(units, 0, -1):
+                fit = min(int(self.left[s]), room // s)
+                if fit:
+                    counts[s] = fit
+                    room -= fit * s
+                if not room:
+                    break
+            self.use(counts, self.lasts(counts))
+        return self.plan
+
+
+def plan_containers(hist: np.ndarray, units: int = UNITS) -> Plan:
+    """Containers as (pattern, repeats), a pattern being (size, count) pairs; uses the histogram up.
+
+    The fitted repeats are rounded down and the residual is packed; a second
+    plan also rounds up where that is possible and takes further exact patterns
+    first, a third packs everything as residual. The one with the fewest
+    containers is returned.
+    """
+    patterns = enumerate_patterns(units)
+    repeats = fit_repeats(hist, patterns)
+    split = [{int(s): int(n) for s, n in zip(*np.unique(p, return_counts=True), strict=True)} for p in patterns]
+    order, plans = np.argsort(-repeats, kind="stable"), []
+    for exact in (False, True):
+        f = _Filling(hist)
+        for i in order:
+            f.use(split[i], min(int(repeats[i] + 1e-6), f.lasts(split[i])))
+        if exact:
+            for i in np.argsort(-(repeats % 1), kind="stable"):
+                if repeats[i] % 1 > 0.05:
+                    f.use(split[i], min(1, f.lasts(split[i])))
+            for counts in split:
+                f.use(counts, f.lasts(counts))
+        plans.append(f.pack_rest(units))
+    plans.append(_Filling(hist).pack_rest(units))
+    return min(plans, key=lambda p: sum(times for _, times in p))
 
 
 def _ranked(items: DataFrame, by: str, order: list[str]) -> DataFrame:
