@@ -82,7 +82,8 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_TABLE)).replace("\r\n", "\n")
 
 
-_WORDLY = re.compile(r"[^\W_]")
+#: A text with a letter or digit, to be matched by Spark.
+WORDLY = r"[\p{L}\p{N}]"
 
 
 def _digest(text: str) -> str:
@@ -101,12 +102,8 @@ def _mapped(df: DataFrame, columns: list[str], schema: T.StructType, forms: bool
             if forms:
                 yield pa.RecordBatch.from_arrays([*head, batch.column(width - 1), pa.array(made, pa.string())], names=schema.names)
                 continue
-            keep = pa.array([m is not None and _WORDLY.search(m) is not None for m in made])
-            both = [(_digest(m), _digest(t)) if k else (None, None) for m, t, k in zip(made, texts, keep.to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays(
-                [*head, pa.array([x for x, _ in both], pa.string()), pa.array([y for _, y in both], pa.string())], names=schema.names
-            )
-            yield out.filter(keep)
+            digests = [pa.array([None if x is None else _digest(x) for x in own], pa.string()) for own in (made, texts)]
+            yield pa.RecordBatch.from_arrays([*head, *digests], names=schema.names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -135,8 +132,8 @@ def lookalike_classes(texts: DataFrame) -> DataFrame:
     ``texts`` has ``field, id, scope, delivered, text``; two texts are compared
     only within one ``field`` and ``scope``. The latest delivery of an ``id``
     counts. Returns ``field, scope, skeleton, stored, id`` (digests of 128 bits)
-    for the classes with at least two stored forms. Null ids, null texts and
-    texts without a letter or digit belong to no class.
+    for the classes with at least two stored forms. Null ids and null texts
+    belong to no class.
 
     Only ids and digests are shuffled. Classes are found with a combining
     aggregate, so a text that a third of the rows share costs a row per task.
@@ -147,12 +144,12 @@ def lookalike_classes(texts: DataFrame) -> DataFrame:
          T.StructField("delivered", T.TimestampNTZType() if dict(texts.dtypes)["delivered"] == "timestamp_ntz" else T.TimestampType()),
          T.StructField("skeleton", T.StringType()), T.StructField("stored", T.StringType())]
     )
-    ready = texts.filter(F.col("text").isNotNull() & F.col("id").isNotNull())
-    digests = _mapped(ready, columns, schema, False)
+    digests = _mapped(texts.filter(F.col("id").isNotNull()), columns, schema, False)
     latest = (
         digests.groupBy("field", "id")
         .agg(F.max(F.struct("delivered", "scope", "skeleton", "stored")).alias("x"))
         .select("field", "id", "x.scope", "x.skeleton", "x.stored")
+        .filter("skeleton is not null")
     )
     group = ["field", "scope", "skeleton"]
     mixed = latest.groupBy(*group).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo < hi")

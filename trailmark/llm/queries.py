@@ -64,9 +64,10 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("response").alias("field"), F.lit(None).cast("string").alias("scope"), F.col("response").alias("text")),
         F.struct(F.lit("reference_steps").alias("field"), F.col("pair_id").alias("scope"), lookalike.steps_text(F.col("reference_steps")).alias("text")),
     )
-    # steps are compared within a pair; without one there is nothing to compare with
+    # steps are compared within a pair; responses count only with a letter or digit
     split = rows.select(*base, F.explode(both).alias("x")).select("id", "delivered", "x.*")
-    return split.filter((F.col("field") == "response") | F.col("scope").isNotNull())
+    counts = F.when(F.col("field") == "response", F.col("text").rlike(lookalike.WORDLY)).otherwise(F.col("scope").isNotNull())
+    return split.withColumn("text", F.when(counts, F.col("text")))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
