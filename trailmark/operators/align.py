@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -31,6 +32,12 @@ class ScorerConfig:
     cache_size: int = 8192
     encoder: Encoder = field(default_factory=ConceptEncoder)
 
+    @classmethod
+    def from_env(cls, prefix: str = "TRAILMARK_", **own: Any) -> ScorerConfig:
+        """Defaults from the environment (THRESHOLD, MAX_SCORE, MAX_WINDOWS, REQUIRE_TRACE, CACHE_SIZE); arguments win."""
+        read = {"threshold": float, "max_score": float, "max_windows": int, "cache_size": int, "require_trace": lambda v: v.lower() in ("1", "true", "yes")}
+        return cls(**{k: f(os.environ[prefix + k.upper()]) for k, f in read.items() if prefix + k.upper() in os.environ} | own)
+
 
 @dataclass
 class Alignment:
