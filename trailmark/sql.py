@@ -251,7 +251,7 @@ SQL: dict[str, str] = {
       select id, cast(pos as int) as turn, cast(st as int) as start, cast(st + k as int) as "end" from z where k > 0""",
     "cosine_matrix": """select q.vec_id as query_id, e.vec_id, round(list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as cosine
       from embeddings e join embeddings q on q.vec_id = e.vec_id - e.vec_id % 100""",
-    "embed_distinct": f"with {STEPS}, c as (select distinct unnest(flatten(steps)) as text from stepped) select 'query' as role, md5(text) as text_md5, case when {mask('text')} > 0 then 1.0 else 0.0 end as squared_norm from c",
+    "embed_distinct": f"with {STEPS}, c as (select distinct unnest(flatten(steps)) as text from stepped) select 'query' as role, md5(text) as text_md5, cast(case when {mask('text')} > 0 then 1.0 else 0.0 end as double) as squared_norm from c",
     "candidate_max": f"with recursive {SIMS} select id, cast(step as int) as step, cast(win as int) as win, round(sim, 6) as sim from sims",
     "best_window": f"with recursive {BEST} select id, cast(step as int) as step, cast(win as int) as win, round(sim, 6) as sim from best",
     "match_margin": f"with recursive {BEST} select id, cast(step as int) as step, round(greatest(sim - second, 0.0), 6) as margin from best",
@@ -276,7 +276,7 @@ SQL: dict[str, str] = {
     "repetition_penalty": f"""with {SAMPLES}, p as (select id, list_filter(regexp_split_to_array(coalesce(response, ''), '[，,。；;！!？?]|{WS}'), lambda x: length(x) > 3) as x from samples),
       q as (select id, len(x) as n, len(list_distinct(x)) as d, len(list_filter(range(1, len(x)), lambda i: x[i] = x[i + 1])) as c from p)
       select id, round(case when n > 1 then (n - d) / n else 0.0 end, 6) as rate,
-        round(case when n > 1 then -(c * 0.3 + greatest(n - d - c, 0) * 0.1) - (case when d / n < 0.3 then 0.5 else 0.0 end) else 0.0 end, 6) as penalty from q""",
+        round(cast(case when n > 1 then -(c * 0.3 + greatest(n - d - c, 0) * 0.1) - (case when d / n < 0.3 then 0.5 else 0.0 end) else 0.0 end as double), 6) as penalty from q""",
     "lexical_coverage": f"with {SAMPLES}, x as (select id, coalesce(reference_steps, []) as steps, {fold(chr(99) + 'oalesce(response, ' + chr(39) * 2 + ')')} as ft from samples) select id, round({_FOLDED.replace(fold('c'), fold('coalesce(c, ' + chr(39) * 2 + ')'))}, 6) as coverage from x",
     "lexical_fallback": f"with {STEPS}, x as (select id, steps, {strip('coalesce(response, ' + chr(39) * 2 + ')')} as a from stepped) select id, round(case when len(steps) > 0 and a <> '' then len(list_filter(steps, lambda s: contains(a, {label('s')}))) / len(steps) else 0.0 end, 6) as share from x",
     "tool_dispatch": f"with {CALLS} select traj_id, ord, call_id, handler from named",
