@@ -122,6 +122,20 @@ def test_ranking(spark):
     assert quality.pairwise(df.limit(0)).first().groups == 0
 
 
+def test_cosines_of_all_queries_with_all_rows(spark, tmp_path):
+    rng = random.Random(3)
+    # the head of the hundred of 205 and 207 is absent; 300 has no vector
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in (0, 1, 99, 100, 101, 205, 207, 400)] + [(300, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.query_id, r.vec_id): r.cosine for r in Q.cosine_matrix(spark, str(tmp_path)).collect()}
+    some = [(i, v) for i, v in rows if v]
+    want = {(a, b): sum(x * y for x, y in zip(v, w, strict=True)) for a, v in some if a % 100 == 0 for b, w in some}
+    assert got == pytest.approx(want, abs=2e-5) and len(got) == 24
+    vectors = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    assert Q.embed.cosines(vectors, vectors, query_block=3, row_block=2).count() == 64
+    assert Q.embed.cosines(vectors.limit(0), vectors).count() == 0
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "s.jsonl"
     p.write_text('{"id": "a", "response": "r", "reference_steps": ["x", ["y", "z"]], "label": "genuine"}\n\n{"response": null}\n')

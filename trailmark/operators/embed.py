@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmark.plans.shared import write_shared
+
 #: Concepts and the spellings that express them; a text has a concept if it contains a spelling.
 CONCEPTS: dict[str, list[str]] = {
     "failure": ["fail", "störung", "panne", "avería", "故障", "error", "fehler"],
@@ -151,6 +153,44 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(vectors: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
+    """Blocks of at most ``size`` vectors: their ids, and their values one after the other."""
+    schema = T.StructType([T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                ids, values = batch.column(0).slice(at, size), batch.column(1).slice(at, size).flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in (ids, values)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema)
+
+
+def cosines(queries: DataFrame, rows: DataFrame, *, query_block: int = 200, row_block: int = 500) -> DataFrame:
+    """``query_id, vec_id, cosine`` of every query with every row: one matrix product per pair of blocks.
+
+    Both have ``vec_id, embedding`` with unit vectors of one length; a null
+    vector has no cosine and gives no row. The blocks of the queries are
+    written once, so that a task of the product doesn't read the rows for them.
+    """
+    ready = [d.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter("embedding is not null") for d in (queries, rows)]
+    own = write_shared(_packed(ready[0].repartition("vec_id"), query_block, ("query_ids", "query_values")), "queries")
+    pairs = own.crossJoin(_packed(ready[1], row_block, ("ids", "values")))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("cosine", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                query_ids, q, ids, v = (batch.column(k).slice(i, 1).flatten() for k in range(4))
+                a, b = (x.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), -1) for x, n in ((q, query_ids), (v, ids)))
+                at = np.arange(len(query_ids) * len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(at // len(ids))), ids.take(pa.array(at % len(ids))), pa.array((a @ b.T).ravel())], names=schema.names
+                )
+
+    return pairs.mapInArrow(run, schema)
+
+
 def pooled(vectors: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
     """Token vectors (texts x tokens x dims) to unit text vectors by the first token or the masked mean."""
     if how not in ("mean", "cls"):

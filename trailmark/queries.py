@@ -111,11 +111,9 @@ def passage_windows(spark, folder):
 
 @query
 def cosine_matrix(spark, folder):
-    """Each vector against the query vector of its hundred."""
+    """The query vectors, of which the id is divisible by 100, against all vectors."""
     rows = read(spark, folder, "embeddings").select("vec_id", "embedding")
-    heads = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    joined = rows.withColumn("query_id", (F.col("vec_id") - F.col("vec_id") % 100)).join(heads, "query_id")
-    return joined.select("query_id", "vec_id", F.round(embed.dot(F.col("q"), F.col("embedding")), 5).alias("cosine"))
+    return embed.cosines(rows.filter("vec_id % 100 = 0"), rows).withColumn("cosine", F.round("cosine", 5))
 
 
 @query
