@@ -1,6 +1,7 @@
 """Operators on tables: sequences, events, tools, texts, quality; with nulls, ties and empty tables."""
 
 import datetime as dt
+import hashlib
 import random
 
 import duckdb
@@ -136,6 +137,18 @@ def test_cosines_of_all_queries_with_all_rows(spark, tmp_path):
     assert Q.embed.cosines(vectors.limit(0), vectors).count() == 0
 
 
+def test_all_distinct_texts_are_encoded(spark, tmp_path):
+    long = " ".join(f"check{i} the column" for i in range(500))
+    rows = [("a", dt.datetime(2025, 1, 1), [["open it", "search"], ["open it"]], "open it"), ("b", dt.datetime(2025, 1, 1), [["search"]], long),
+            ("a", dt.datetime(2024, 1, 1), [["old"]], "old"), ("c", dt.datetime(2025, 1, 1), None, None)]
+    cols = "id string, ingested_at timestamp, reference_steps array<array<string>>, response string"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "demo_samples.parquet"))
+    want = {("query", t) for t in ("open it", "search")} | {("passage", "open it")}
+    want |= {("passage", long[s:e]) for size in ((128, 64), (48, 24)) for s, e in Q.windows.spans(long, *size)}
+    got = [(r.role, r.text_md5) for r in Q.embed_distinct(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) > 350 and set(got) == {(role, hashlib.md5(t.encode()).hexdigest()) for role, t in want}
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "s.jsonl"
     p.write_text('{"id": "a", "response": "r", "reference_steps": ["x", ["y", "z"]], "label": "genuine"}\n\n{"response": null}\n')

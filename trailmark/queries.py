@@ -23,6 +23,8 @@ from trailmark.streaming import traces
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CONCEPT_SCORER = align.ScorerConfig(threshold=0.45)
+#: More windows than any text has.
+NO_CAP = 2**31 - 1
 
 
 def query(f: Query) -> Query:
@@ -118,10 +120,17 @@ def cosine_matrix(spark, folder):
 
 @query
 def embed_distinct(spark, folder):
-    """Distinct texts by role, encoded once: what a model would have to encode."""
-    rows = with_steps(spark, folder)
-    steps = rows.select(F.lit("query").alias("role"), F.explode(F.flatten("steps")).alias("text"))
-    encoded = embed.encode_texts(steps, embed.ConceptEncoder())
+    """Distinct texts by role, encoded once: what a model would have to encode.
+
+    Steps are queries; all coarse and fine windows of the responses, none thinned out, are passages.
+    """
+    rows = with_steps(spark, folder).select("steps", "response")
+    for name, (window, stride) in (("coarse", CONCEPT_SCORER.coarse), ("fine", CONCEPT_SCORER.fine)):
+        rows = windows.with_windows(rows, "response", rows.columns, window=window, stride=stride, max_windows=NO_CAP).withColumnRenamed("windows", name).drop("stats")
+    of = lambda role, texts: F.transform(texts, lambda t: F.struct(F.lit(role).alias("role"), t.alias("text")))
+    every = F.concat(of("query", F.flatten("steps")), of("passage", F.col("coarse.text")), of("passage", F.col("fine.text")))
+    texts = rows.select(F.explode(every).alias("x")).select("x.*")
+    encoded = embed.encode_texts(texts, embed.ConceptEncoder())
     return encoded.select("role", F.md5("text").alias("text_md5"), F.round(embed.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared_norm"))
 
 
