@@ -129,6 +129,13 @@ def test_defects(response, want):
     assert pairs.defect(response, STEPS) == want
 
 
+def test_refusals_of_any_length():
+    long = "I'm sorry, but I can't help with that task, because " + "it asks for more than the rules of this place allow and " * 14 + "that is all."
+    assert len(long) > 600 and pairs.defect(long, STEPS) == "refusal" and pairs.defect(long + " " * 700, STEPS) == "refusal"
+    worked = long + " The start page was opened." * 4
+    assert pairs.defect(worked, STEPS) is None
+
+
 def test_automaton_equals_substring_search():
     rng = random.Random(11)
     for _ in range(200):

@@ -228,8 +228,6 @@ _POLITE = 3
 
 def is_refusal(text: str) -> bool:
     """Declines in one of its first sentences and has no work beside that."""
-    if len(text) > 600:
-        return False
     low = text.lower().replace("’", "'")
     if next(_REFUSAL.iter(low), None) is None:
         return False
