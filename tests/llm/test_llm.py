@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and small fixtures with nulls, ties, repeats and empty tables."""
 
 import datetime as dt
+import itertools
 import random
 import re
 
@@ -317,6 +318,29 @@ def test_transaction_parts():
     assert message == {"fix", "orbit"} and code == {"src", "star", "map", "def", "fold", "comet", "old", "galaxy", "new", "nebula"}
 
 
+def test_rules_over_all_strong_words_equal_brute_force(spark):
+    rng = random.Random(2)
+    docs = []
+    for i in range(90):
+        s = ("alpha", "beta", "gamma")[i % 3]
+        words = {f"{s}{k}" for k in range(30) if rng.random() < 0.8} | {f"{t}{k}" for t in ("alpha", "beta", "gamma") for k in range(30) if rng.random() < 0.15}
+        docs.append((sorted(words), s))
+    rows = [(" ".join(w[::2]), " ".join(w[1::2]), [s]) for w, s in docs] + [("alpha1 beta2", "", ["alpha", "beta"])]
+    got = subjects.mine_rules(spark.createDataFrame(rows, "message string, code string, subjects array<string>"))
+    count = lambda ws, s: sum(t == s and ws <= {*w} for w, t in docs)
+    every = sorted({w for words, _ in docs for w in words})
+    want, shares = {}, {}
+    for size in (1, 2):
+        for ws in map(frozenset, itertools.combinations(every, size)):
+            n, s = max((count(ws, s), s) for s in ("alpha", "beta", "gamma"))
+            share = n / max(1, sum(ws <= {*w} for w, _ in docs))
+            shares[ws] = share
+            strong = size == 1 or min(shares[frozenset([w])] for w in ws) >= 0.5
+            if strong and n >= 2 and share >= 0.6 and all(share > want[frozenset([w])][1] for w in ws if size == 2 and frozenset([w]) in want):
+                want[ws] = (s, share)
+    assert got == want and sum(len(a) == 2 for a in got) > 1000
+
+
 def test_subjects_on_held_out_documents(spark):
     rng = random.Random(9)
     vocabulary = {s: [f"{s}word{chr(97 + k)}" for k in range(12)] for s in ("alpha", "beta", "gamma")}

@@ -2,13 +2,13 @@
 
 1. A document becomes a transaction: the words of its message, of its paths and
    of its diff lines, identifiers split into words.
-2. Parallel frequent-pattern growth over a bounded sample of rated documents
-   mines rules "words -> subject"; a rule is dropped if a shorter one is as
-   confident.
+2. Frequent words, then frequent pairs of them, are counted exactly over a
+   bounded sample of rated documents and give rules "words -> subject"; a rule
+   is dropped if a shorter one is as confident.
 3. The rules name subjects for all documents; words are counted against these
    over the whole corpus and become rules where confidence and support hold.
-   For rules of one word the pattern tree is this count. Words that several
-   subjects share lose their confidence here, rare and foreign ones gain it.
+   Words that several subjects share lose their confidence here, rare and
+   foreign ones gain it.
    A subject with few ratings starts from the words of its description.
 4. A document deals with a subject if the evidence of the matching rules, the
    different words they match, reaches a threshold calibrated on the sample
@@ -18,12 +18,11 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +31,8 @@ from trailmark.plans.shared import write_shared
 
 #: Rated documents from which rules are mined at most.
 MAX_RATED = 5_000
-#: Words of a rated document in its transaction, chosen by hash: keeps the patterns of long documents few.
-ITEMS = 10
+#: Patterns that a task counts before it hands their counts on.
+HELD = 500_000
 #: Least confidence of a mined rule, and least support in documents and as a share of them.
 CONFIDENCE, SUPPORT, SUPPORT_SHARE = 0.6, 3, 0.01
 #: Least confidence and support share of a rule counted over the corpus, and rounds of counting.
@@ -102,43 +101,65 @@ def sample_ratings(ratings: DataFrame) -> DataFrame:
     return named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_RATED)
 
 
-def mine_rules(rated: list[tuple[list[str], list[str]]], spark) -> dict[frozenset[str], tuple[str, float]]:
-    """Rules {words} -> (subject, confidence) from rated transactions (words, subjects).
+def _rated(words: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``message, code, subjects`` of the sample, written once."""
+    subjects = F.when(F.size("subjects") == 1, F.col("subjects")).otherwise(F.array_remove("subjects", NO_SUBJECT))
+    return write_shared(words.join(F.broadcast(sample_ratings(ratings)), "doc_id").select("message", "code", subjects.alias("subjects")), "rated")
+
+
+def _count_patterns(rated: DataFrame, patterns: Callable[[set[str]], Iterable[tuple[str, str]]]) -> DataFrame:
+    """``a, b, n, total, subject``: documents with each pattern (a word has a blank ``b``), and the ``n`` of them of its most frequent subject."""
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("a", "b", "subject")), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(counts: Counter) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in counts], pa.string()) for i in range(3)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=schema.names)
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for m, c, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                counts.update((a, b, s[0]) for a, b in patterns({*m.split(), *c.split()}))
+                if len(counts) >= HELD:
+                    yield out(counts)
+                    counts.clear()
+        yield out(counts)
+
+    counted = rated.select("message", "code", "subjects").mapInArrow(run, schema).groupBy("a", "b", "subject").agg(F.sum("n").alias("n"))
+    top = counted.groupBy("a", "b").agg(F.sum("n").alias("total"), F.max(F.struct("n", "subject")).alias("top"))
+    return top.select("a", "b", "top.n", "total", "top.subject")
+
+
+def mine_rules(rated: DataFrame) -> dict[frozenset[str], tuple[str, float]]:
+    """Rules {words} -> (subject, confidence) of one or two words from rated transactions (``message, code, subjects``).
 
     Only documents of one subject are mined: of two, one would lend its words
-    to the other.
+    to the other. All strong words of a document count. A word of full
+    confidence is in no pair, because no pair can be more confident.
     """
-    rated = [(words, subjects) for words, subjects in rated if len(subjects) == 1]
-    n = len(rated)
-    alone, both = Counter(), Counter()
-    for words, subjects in rated:
-        alone.update(words)
-        both.update((w, s) for w in words for s in subjects)
-    strong = {w for (w, _), k in both.items() if k >= 2 and k / alone[w] >= 0.5}
-    rows = []
-    for i, (words, subjects) in enumerate(rated):
-        kept = sorted((w for w in words if w in strong), key=lambda w: zlib.crc32(f"{i} {w}".encode()))[:ITEMS]
-        if kept:
-            rows.append(([*kept, *(f"={s}" for s in subjects)],))
-    if not rows:
-        return {}
+    spark = rated.sparkSession
+    rated = rated.filter(F.size("subjects") == 1)
+    n = rated.count()
     least = max(2 if n < 200 else SUPPORT, SUPPORT_SHARE * n)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / len(rows)), minConfidence=CONFIDENCE, numPartitions=8).fit(
-        spark.createDataFrame(rows, "items array<string>")
-    )
-    mined = (
-        model.associationRules.filter(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda w: w.startswith("=")))
-        .filter(F.size("antecedent") <= 2)
-        .select("antecedent", F.element_at("consequent", 1).alias("s"), "confidence")
-        .limit(MAX_RULES)
-        .collect()
-    )
-    rules: dict[frozenset[str], tuple[str, float]] = {}
-    for antecedent, s, confidence in sorted(mined, key=lambda r: (len(r[0]), -r[2], sorted(r[0]))):
-        words = frozenset(antecedent)
-        shorter = [rules[frozenset([w])][1] for w in words if len(words) > 1 and frozenset([w]) in rules]
-        if words not in rules and all(confidence > c for c in shorter):
-            rules[words] = (s[1:], confidence)
+    confidence = (F.col("n") / F.col("total")).alias("confidence")
+
+    def collected(df: DataFrame) -> list:
+        rows = df.limit(MAX_RULES + 1).collect()
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} rules")
+        return rows
+
+    one = collected(_count_patterns(rated, lambda words: ((w, "") for w in words)).filter(F.col("n") >= least).select("a", "subject", confidence).filter("confidence >= 0.5"))
+    rules = {frozenset([r["a"]]): (r["subject"], r["confidence"]) for r in one if r["confidence"] >= CONFIDENCE}
+    open_words = spark.sparkContext.broadcast(frozenset(r["a"] for r in one if r["confidence"] < 1))
+    pairs = _count_patterns(rated, lambda words: combinations(sorted(words & open_words.value), 2)).filter(F.col("n") >= least)
+    # at most one row per word, of which each has the least support
+    known = spark.createDataFrame([(next(iter(a)), c) for a, (_, c) in rules.items()], "word string, shorter double")
+    for side in ("a", "b"):
+        pairs = pairs.join(F.broadcast(known.select(F.col("word").alias(side), F.col("shorter").alias(f"shorter_{side}"))), side, "left")
+    better = pairs.select("a", "b", "subject", confidence, F.greatest(F.lit(0.0), "shorter_a", "shorter_b").alias("shorter"))
+    for r in collected(better.filter((F.col("confidence") >= CONFIDENCE) & (F.col("confidence") > F.col("shorter")))):
+        rules[frozenset([r["a"], r["b"]])] = (r["subject"], r["confidence"])
     return rules
 
 
@@ -249,12 +270,9 @@ def document_subjects(docs: DataFrame, ratings: DataFrame, areas: DataFrame, *,
     """
     spark = docs.sparkSession
     words = _transactions(docs, id_col, text_col)
-    sample = sample_ratings(ratings)
-    rated = [
-        (set(r["message"].split()), set(r["code"].split()), r["subjects"] if r["subjects"] == [NO_SUBJECT] else [s for s in r["subjects"] if s != NO_SUBJECT])
-        for r in words.join(F.broadcast(sample), "doc_id").select("message", "code", "subjects").collect()  # at most MAX_RATED documents
-    ]
-    rules = mine_rules([(sorted(m | c), s) for m, c, s in rated], spark)
+    sample = _rated(words, ratings)
+    rated = [(set(r["message"].split()), set(r["code"].split()), r["subjects"]) for r in sample.collect()]  # at most MAX_RATED documents
+    rules = mine_rules(sample)
     described = [(r["subject"], r["covers"]) for r in areas.select("subject", "covers").limit(1000).collect()]
     for _ in range(ROUNDS):
         rules, weak = seed_rules(described, rules)
