@@ -341,6 +341,15 @@ def test_rules_over_all_strong_words_equal_brute_force(spark):
     assert got == want and sum(len(a) == 2 for a in got) > 1000
 
 
+def test_sample_and_its_calibration(spark):
+    ratings = spark.range(8_000).select(F.col("id").alias("doc_id"), F.lit("alpha").alias("subject"))
+    assert subjects.sample_ratings(ratings).count() == 8_000
+    matcher = subjects.Matcher({frozenset([w]): ("alpha", 1.0) for w in "uvwx"})
+    rows = [("u", "v w", ["alpha"]), ("u", "v", ["beta"]), ("u v w", "", ["none"])]
+    rated = lambda rows: spark.createDataFrame(rows, "message string, code string, subjects array<string>")
+    assert [subjects.calibrate(matcher, rated(r)) for r in (rows, rows[:1], [])] == [3, 2, 2]
+
+
 def test_subjects_on_held_out_documents(spark):
     rng = random.Random(9)
     vocabulary = {s: [f"{s}word{chr(97 + k)}" for k in range(12)] for s in ("alpha", "beta", "gamma")}

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from trailmark.plans.shared import write_shared
 
 #: Rated documents from which rules are mined at most.
-MAX_RATED = 5_000
+MAX_RATED = 20_000
 #: Patterns that a task counts before it hands their counts on.
 HELD = 500_000
 #: Least confidence of a mined rule, and least support in documents and as a share of them.
@@ -202,15 +202,26 @@ def seed_rules(areas: list[tuple[str, str]], rules: dict[frozenset[str], tuple[s
     return seeds | rules, weak
 
 
-def calibrate(matcher: Matcher, rated: list[tuple[set[str], set[str], list[str]]]) -> int:
-    """The number of different words (2 to 4) that separates the rated sample best; 2 on a tie."""
+def calibrate(matcher: Matcher, rated: DataFrame) -> int:
+    """The number of different words (2 to 4) that separates the rated sample (``message, code, subjects``) best; 2 on a tie."""
+    shared = rated.sparkSession.sparkContext.broadcast(matcher)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("least", "right", "wrong", "missed")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = shared.value
+        tally = {least: [least, 0, 0, 0] for least in (2, 3, 4)}
+        for batch in batches:
+            for m, c, subjects in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found, true = matcher.evidence(set(m.split()), set(c.split())), set(subjects) - {NO_SUBJECT}
+                for least, row in tally.items():
+                    said = {s for s, (n, c) in found.items() if n >= least and c}
+                    for i, x in enumerate((said & true, said - true, true - said), 1):
+                        row[i] += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*tally.values(), strict=True)], names=schema.names)
+
+    sums = rated.select("message", "code", "subjects").mapInArrow(run, schema).groupBy("least").agg(*(F.sum(c).alias(c) for c in schema.names[1:]))
     best, chosen = -1.0, 2
-    for least in (2, 3, 4):
-        right = wrong = missed = 0
-        for message, code, subjects in rated:
-            said = {s for s, (n, c) in matcher.evidence(message, code).items() if n >= least and c}
-            true = set(subjects) - {NO_SUBJECT}
-            right, wrong, missed = right + len(said & true), wrong + len(said - true), missed + len(true - said)
+    for least, right, wrong, missed in sorted(map(tuple, sums.collect())):
         f1 = 2 * right / max(1, 2 * right + wrong + missed)
         if f1 > best + 0.002:
             best, chosen = f1, least
@@ -270,9 +281,8 @@ def document_subjects(docs: DataFrame, ratings: DataFrame, areas: DataFrame, *,
     """
     spark = docs.sparkSession
     words = _transactions(docs, id_col, text_col)
-    sample = _rated(words, ratings)
-    rated = [(set(r["message"].split()), set(r["code"].split()), r["subjects"]) for r in sample.collect()]  # at most MAX_RATED documents
-    rules = mine_rules(sample)
+    rated = _rated(words, ratings)
+    rules = mine_rules(rated)
     described = [(r["subject"], r["covers"]) for r in areas.select("subject", "covers").limit(1000).collect()]
     for _ in range(ROUNDS):
         rules, weak = seed_rules(described, rules)
