@@ -86,6 +86,18 @@ def test_reads_differently(a, b):
     assert lookalike.skeleton(a) != lookalike.skeleton(b)
 
 
+@pytest.mark.parametrize("a,b", [("app\u04cfe", "apple"), ("f\u03c3rm", "form"), ("\u2c9f\u2ca3en", "open"), ("\ua4e0\ua4f3\ua4f2", "NOI"), ("\u1d22ip", "zip"), ("\u0433un", "run"),
+                                 ("\u0585\u057c", "on"), ("\u05e1k", "ok"), ("\U0001d6d4k", "ok"), ("\u15afus", "bus")])
+def test_letters_of_more_scripts_read_the_same(a, b):
+    assert lookalike.skeleton(a) == lookalike.skeleton(b) == b
+
+
+def test_more_letters_tell_case_and_digits_apart():
+    assert not {*"".join(lookalike.MORE_PROTOTYPES.values())} & {*"".join(lookalike.PROTOTYPES.values())}
+    for p, letters in lookalike.MORE_PROTOTYPES.items():
+        assert p.isascii() and p.isalpha() and all(lookalike.skeleton(c) == p for c in letters)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_skeleton_is_stable(t):

@@ -28,9 +28,19 @@ PROTOTYPES = {
     "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уγү",
     "ß": "β", "μ": "µ",
 }
+#: The other single letters that the confusables give the form of one Latin letter in one case. Those that
+#: may be l as well as I are left out but the Lisu one, which is a capital; the small palochka is drawn as l.
+MORE_PROTOTYPES = {
+    "A": "ᗅꓮ𐊠𖽀", "B": "ᗷꓐꞴ𐊂𐊡𐌁", "C": "Ⲥꓚ𐊢𐌂𐐕𐔜", "D": "ᗞᗪꓓ", "E": "ⴹꓰ𐊆𑢦𑢮", "F": "ᖴꓝꞘ𐊇𐊥𐔥𑢢𑣂", "G": "Ᏻꓖ", "H": "ᕼⲎꓧ𐋏", "I": "ƖⲒꓲ", "J": "ᒍꓙꞲ", "K": "ᛕⲔꓗ𐔘",
+    "L": "ᒪⳐꓡ𐐛𐔦𑢣𑢲𖼖", "M": "ϺᗰᛖⲘꓟ𐊰𐌑", "N": "Ⲛꓠ𐔓", "O": "ଠዐⲞⵔꓳ𐊒𐊫𐐄𐓂𐔖𑢵", "P": "ᑭⲢꓑ𐊕", "Q": "ⵕ", "R": "Ʀᖇꓣ𐒴𖼵", "S": "Ꮥꓢ𐊖𐐠𖼺", "T": "Ⲧꓔ𐊗𐊱𐌕𑢼𖼊", "U": "Սሀᑌꓴ𐓎𑢸𖽂",
+    "V": "ᐯⴸꓦꛟ𐔝𑢠𖼈", "W": "Ꮤꓪ", "X": "ᚷⲬⵝꓫꞳ𐊐𐊴𐌗𐔧", "Y": "ϒᎩᎽⲨꓬ𐊲𑢤𖽃", "Z": "ꓜ𑢩", "b": "ƄЬᏏᑲᖯ", "c": "ᴄⲥꮯ𐐽", "d": "Ꮷᑯꓒ", "e": "ꬲ", "f": "ſքẝꞙꬵ", "g": "ƍᶃ",
+    "h": "Ꮒ", "i": "ɩɪͺᎥꙇꭵ𑣃", "l": "ӏ", "m": "𑜀", "n": "ռ",
+    "o": "σ\u05e1\u0647\u06be\u06c1\u06d5ഠဝჿᴏᴑⲟꬽ\ufba6\ufba7\ufba8\ufba9\ufbaa\ufbab\ufbac\ufbad\ufee9\ufeea\ufeeb\ufeec𐐬𐓪𑣈𑣗", "p": "ϱⲣ", "q": "գ",
+    "r": "гᴦⲅꭇꭈꮁ", "s": "ƽꜱꮪ𐑈𑣁", "u": "ʋᴜꞟꭎꭒ𐓶𑣘", "v": "\u05d8ᴠꮩ𑜆𑣀", "w": "ɯѡաᴡꮃ𑜊𑜎𑜏", "x": "ᕁᕽ", "y": "ɣʏყᶌỿꭚ𑣜", "z": "ᴢꮓ𑣄",
+}
 #: Joined letters that the character database does not take apart.
 JOINED = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ꜳ": "aa", "Ꜳ": "AA"}
-_TO = {ord(x): p for p, all_x in PROTOTYPES.items() for x in all_x} | {ord(x): y for x, y in JOINED.items()}
+_TO = {ord(x): p for table in (MORE_PROTOTYPES, PROTOTYPES) for p, all_x in table.items() for x in all_x} | {ord(x): y for x, y in JOINED.items()}
 _FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 #: Ranges of characters that show nothing though their category is not "format".
 _INVISIBLE = [
