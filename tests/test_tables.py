@@ -149,6 +149,15 @@ def test_all_distinct_texts_are_encoded(spark, tmp_path):
     assert len(got) == len(set(got)) > 350 and set(got) == {(role, hashlib.md5(t.encode()).hexdigest()) for role, t in want}
 
 
+def test_attempts_are_scored_on_all_windows(spark, sf, monkeypatch):
+    used, score = [], Q.wf.score_workflows
+    monkeypatch.setattr(Q.wf, "score_workflows", lambda *a, **kw: used.append(kw["scorer"]) or score(*a, **kw))
+    assert Q.trace_rewards(spark, sf).columns == ["traj_id", "attempt", "required_coverage", "order_rate"]
+    text = "an event of a long attempt " * 600
+    chosen, stats = Q.windows.windows_of(text, *used[0].fine, used[0].max_windows)
+    assert len(chosen) == len(Q.windows.spans(text.strip(), *used[0].fine)) > 256 and not stats[3] and stats[5] == 1.0
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "s.jsonl"
     p.write_text('{"id": "a", "response": "r", "reference_steps": ["x", ["y", "z"]], "label": "genuine"}\n\n{"response": null}\n')

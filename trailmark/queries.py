@@ -25,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 CONCEPT_SCORER = align.ScorerConfig(threshold=0.45)
 #: More windows than any text has.
 NO_CAP = 2**31 - 1
+#: For rendered attempts, which may be long.
+ATTEMPT_SCORER = align.ScorerConfig(threshold=0.6, max_windows=NO_CAP, encoder=embed.NgramEncoder())
 
 
 def query(f: Query) -> Query:
@@ -518,7 +520,7 @@ def stage_rewards(spark, folder):
 
 @query
 def trace_rewards(spark, folder):
-    """Rendered attempts scored along their workflow: a reward per attempt, so no trajectory is one group."""
+    """Rendered attempts scored along their workflow on all their windows: a reward per attempt, so no trajectory is one group."""
     raw = _events(spark, folder)
     known = events.known_events(raw, read(spark, folder, "workflow_nodes"))
     starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
@@ -531,7 +533,7 @@ def trace_rewards(spark, folder):
     whole = both.groupBy("traj_id", "attempt", "workflow").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
     # few bytes but much work per attempt: as many tasks as there are cores
     ready = whole.withColumn("response", F.array_join("x.text", "\n")).repartition(spark.sparkContext.defaultParallelism)
-    scored = wf.score_workflows(ready, ["traj_id", "attempt"], F.col("response"), F.col("workflow"), _specs(spark, folder), scorer=align.ScorerConfig(threshold=0.6, encoder=embed.NgramEncoder()))
+    scored = wf.score_workflows(ready, ["traj_id", "attempt"], F.col("response"), F.col("workflow"), _specs(spark, folder), scorer=ATTEMPT_SCORER)
     return scored.select("traj_id", "attempt", r6("reward.required_coverage").alias("required_coverage"), r6("reward.order_rate").alias("order_rate"))
 
 
