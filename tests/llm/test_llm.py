@@ -303,12 +303,31 @@ def test_mix(spark):
     plan = {(r.mix_id, r.source): r for r in mixing.mix_plan(sized, targets).collect()}
     assert plan["m", "a"].reachable and not plan["m", "zz"].reachable
     assert plan["m", "b"].reachable == (2 * size["b"] >= 0.9 * 0.5 * total)
-    drawn = mixing.draw_mix(sized, targets).collect()
+    drawn = mixing.draw_mix(sized, mixing.mix_plan(sized, targets)).collect()
     assert len({(r.mix_id, r.doc_id) for r in drawn}) == len(drawn)
     for key, p in plan.items():
         got = sum(r.repeats * r.tokens for r in drawn if (r.mix_id, r.source) == key)
         assert abs(got - p.budget) <= 50 and all(r.repeats <= p.max_repeats for r in drawn if (r.mix_id, r.source) == key)
-    assert mixing.draw_mix(sized.limit(0), targets).count() == 0
+    assert mixing.draw_mix(sized.limit(0), mixing.mix_plan(sized.limit(0), targets)).count() == 0
+
+
+def test_tempered_budgets_reach_the_total():
+    sizes, total = {"a": 800, "b": 150, "c": 50}, 1000
+    # b and c cannot give what is asked, a tempered mix of the same size can
+    rows = [("a", 0.5, 0.2, 1), ("b", 0.5, 0.5, 1), ("c", 0.5, 0.3, 1)]
+    plan = mixing.plan_mix(rows, sizes, total)
+    assert [p["reachable"] for p in plan] == [True, False, False] and 0 < plan[0]["limit_exponent"] < 1
+    assert sum(p["budget"] for p in plan) == pytest.approx(500) and all(p["budget"] <= p["limit_tokens"] + 1e-6 for p in plan)
+    w = mixing.tempered([0.2, 0.5, 0.3], [0.8, 0.15, 0.05], plan[0]["limit_exponent"])
+    assert [p["planned_share"] for p in plan] == pytest.approx(w)
+    # targets that hold are drawn as they are
+    fine = mixing.plan_mix([("a", 0.1, 0.5, 1), ("b", 0.1, 0.5, 1)], sizes, total)
+    assert [p["budget"] for p in fine] == pytest.approx([50, 50]) and fine[0]["limit_exponent"] == 0
+    # no exponent is enough: the others take over, and only if all are at their limits the mix is short
+    over = mixing.plan_mix([("a", 0.9, 0.1, 1), ("b", 0.9, 0.9, 1)], sizes, total)
+    assert [p["budget"] for p in over] == pytest.approx([750, 150])
+    assert sum(p["budget"] for p in mixing.plan_mix([("b", 0.9, 0.9, 1), ("c", 0.9, 0.1, 1)], sizes, total)) == pytest.approx(200)
+    assert mixing.within_limits([0.0, 0.5, 0.5], 10.0, [9.0, 2.0, 20.0]) == pytest.approx([0.0, 2.0, 8.0])
 
 
 def test_temperatures():

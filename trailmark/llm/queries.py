@@ -190,13 +190,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The chosen documents of every mix with their repeats."""
-    return mixing.draw_mix(mixing.sized_sources(_read(spark, folder, "documents")), _read(spark, folder, "mix_targets"))
+    sized = mixing.sized_sources(_read(spark, folder, "documents"))
+    return mixing.draw_mix(sized, mixing.mix_plan(sized, _read(spark, folder, "mix_targets")))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares that every mix reaches."""
-    sized, targets = mixing.sized_sources(_read(spark, folder, "documents")), _read(spark, folder, "mix_targets")
-    return mixing.reached_shares(mixing.draw_mix(sized, targets), mixing.mix_plan(sized, targets))
+    sized = mixing.sized_sources(_read(spark, folder, "documents"))
+    plan = mixing.mix_plan(sized, _read(spark, folder, "mix_targets"))
+    return mixing.reached_shares(mixing.draw_mix(sized, plan), plan)
 
 
 # ---------------------------------------------------------------- 8 subjects
