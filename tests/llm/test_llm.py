@@ -235,30 +235,47 @@ def test_repetition_equals_brute_force(spark):
 # ----------------------------------------------------------------- 6 packing
 
 
-def test_plan_uses_every_item_once():
-    rng = np.random.default_rng(4)
-    for _ in range(5):
-        hist = np.zeros(257, dtype=np.int64)
-        for s in rng.integers(1, 257, 80):
-            hist[s] += rng.integers(1, 12)
-        plan = packing.plan_containers(hist)
-        used = np.zeros_like(hist)
-        for counts, times in plan:
-            assert sum(s * n for s, n in counts) <= 256
-            for s, n in counts:
-                used[s] += n * times
-        assert (used == hist).all()
-        # no worse than first fit, largest first
-        rooms: list[int] = []
-        for s in range(256, 0, -1):
-            for _ in range(hist[s]):
-                k = next((k for k, r in enumerate(rooms) if r >= s), None)
-                if k is None:
-                    rooms.append(256 - s)
-                else:
-                    rooms[k] -= s
-        assert sum(t for _, t in plan) <= 1.01 * len(rooms) + 1
-    assert packing.plan_containers(np.zeros(257, dtype=np.int64)) == []
+@pytest.mark.parametrize("capacity", [4096, 1000, 64])
+def test_plan_uses_every_text_once(capacity):
+    rng = np.random.default_rng(capacity)
+    hist = np.zeros(capacity + 1, dtype=np.int64)
+    for s in rng.integers(1, capacity + 1, 300) // rng.integers(1, 9, 300) + 1:
+        hist[min(s, capacity)] += rng.integers(1, 12)
+    slots, room, containers = packing.plan_containers(hist, capacity)
+    held, ranks, fitted = np.zeros(containers, dtype=np.int64), {}, 0
+    for s in slots:
+        for rank in range(s.lo, s.hi):
+            assert (s.size, rank) not in ranks
+            ranks[s.size, rank] = True
+            held[(s.start + (s.skip + rank - s.lo) // s.n * s.width) // room] += s.size
+        fitted += s.fitted * (s.hi - s.lo) * s.size
+    assert len(ranks) == hist.sum() and all(rank < hist[size] for size, rank in ranks)
+    assert held.max() <= capacity and held.min() > 0
+    total = int((hist * np.arange(capacity + 1)).sum())
+    # first fit, largest first
+    rooms: list[int] = []
+    for s in range(capacity, 0, -1):
+        for _ in range(hist[s]):
+            k = next((k for k, r in enumerate(rooms) if r >= s), None)
+            if k is None:
+                rooms.append(capacity - s)
+            else:
+                rooms[k] -= s
+    assert containers <= 1.01 * len(rooms) + 1 and (fitted / total > 0.8 or capacity == 64)
+
+
+def test_repeats_explain_a_histogram_of_patterns():
+    patterns = packing.enumerate_patterns(12)
+    assert all(sum(p) == 12 for p in patterns.tolist()) and len({tuple(p) for p in patterns.tolist()}) == len(patterns) == 19
+    hist = np.zeros(13)
+    for p, n in (((7, 5, 0), 30), ((10, 1, 1), 20), ((12, 0, 0), 4)):
+        for s in p:
+            hist[s] += n * (s > 0)
+    x = packing.fit_repeats(hist, patterns, steps=3000)
+    used = sum(np.bincount(patterns[:, k], weights=x, minlength=13) for k in range(3))
+    assert np.allclose(used[7:], hist[7:], atol=0.2) and (used[1:7] <= hist[1:7] + 0.2).all()
+    assert packing.rounded(np.array([0.4, 0.4, 0.4, 1.0, 0.3])).tolist() == [0, 1, 0, 1, 1]
+    assert packing.plan_containers(np.zeros(257, dtype=np.int64), 256)[::2] == ([], 0)
 
 
 def test_pack_rows(spark):
