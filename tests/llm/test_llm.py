@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,14 +178,14 @@ def test_broken_pairs_rows(spark):
 # -------------------------------------------------------------------- 4 runs
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
-def test_runs_equal_brute_force(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("tasks,apart", [(1, 1), (2, 1), (7, 10_000), (60, 1)])
+def test_runs_equal_brute_force(spark, tasks, apart):
+    rng = random.Random(tasks)
     rows, want = [], []
     for t in ["a", "b", "c"]:
         o, seq = 0, []
         for _ in range(60):
-            o += rng.choice([1, 1, 1, 3])
+            o += rng.choice([1, 1, 1, 3]) * apart
             seq.append((o, rng.choice(["evt-007", "E7.dup", "x 8", "none"]), rng.choice(["run_tests", " Run-Tests", None]), rng.choice([1, 2, None]), NOW + dt.timedelta(seconds=o)))
         for s in seq:
             rows.append((t, s[0], s[1], s[2], s[3], s[4], NOW))
@@ -202,11 +203,24 @@ def test_runs_equal_brute_force(spark, chunk):
         want.append((t, run[0][0], run[-1][0], len(run), float(run[-1][0] - run[0][0])))
     rows += [(None, 1, "e1", None, None, NOW, NOW), ("d", None, "e1", None, None, NOW, NOW)]
     df = spark.createDataFrame(rows, "traj_id string, ord int, event_id string, node_id string, occurrence int, ts timestamp, ingested_at timestamp").withColumn("run", F.lit(1))
-    got = runs.collapse_runs(df, chunk=chunk).select("traj_id", "first_ord", "last_ord", "n_events", "duration_seconds").collect()
+    got = runs.collapse_runs(df, tasks=tasks).select("traj_id", "first_ord", "last_ord", "n_events", "duration_seconds").collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert runs.collapse_runs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_runs_across_batches(size):
+    rng = random.Random(size)
+    rows = sorted({(rng.choice("ab"), o): None for o in range(40)})
+    rows = [(t, o, rng.choice(["1", "1", "1", None]), rng.choice(["x", None]), rng.choice([1, 2, None]), rng.choice([o * 10, None])) for t, o in rows for _ in range(rng.choice([1, 1, 2]))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+                                       names=["traj_id", "ord", "number", "node", "occ", "ts"])
+    whole = [r for b in runs.encoded(iter([batch]), 3) for r in b.to_pylist()]
+    parts = [r for b in runs.encoded((batch.slice(i, size) for i in range(0, len(rows), size)), 3) for r in b.to_pylist()]
+    assert parts == whole and [r["edge"] for r in whole] == [True, *[False] * (len(whole) - 2), True]
+    assert sum(r["n_events"] for r in whole) == len({r[:2] for r in rows})
+
+
 # -------------------------------------------------------------- 5 repetition
 
 
