@@ -380,36 +380,70 @@ def test_transaction_parts():
     assert message == {"fix", "orbit"} and code == {"src", "star", "map", "def", "fold", "comet", "old", "galaxy", "new", "nebula"}
 
 
-def test_rules_over_all_strong_words_equal_brute_force(spark):
+def rated_table(spark, rows):
+    return spark.createDataFrame(rows, "message string, code string, subjects array<string>")
+
+
+@pytest.mark.parametrize("slices", [1, 4])
+def test_mined_rules_equal_brute_force(spark, slices, monkeypatch):
     rng = random.Random(2)
     docs = []
     for i in range(90):
         s = ("alpha", "beta", "gamma")[i % 3]
-        words = {f"{s}{k}" for k in range(30) if rng.random() < 0.8} | {f"{t}{k}" for t in ("alpha", "beta", "gamma") for k in range(30) if rng.random() < 0.15}
-        docs.append((sorted(words), s))
-    rows = [(" ".join(w[::2]), " ".join(w[1::2]), [s]) for w, s in docs] + [("alpha1 beta2", "", ["alpha", "beta"])]
-    got = subjects.mine_rules(spark.createDataFrame(rows, "message string, code string, subjects array<string>"))
-    count = lambda ws, s: sum(t == s and ws <= {*w} for w, t in docs)
+        words = {f"{s}{k}" for k in range(3) if rng.random() < 0.8} | {f"shared{k}" for k in range(12) if rng.random() < (0.75 if k % 3 == i % 3 else 0.4)}
+        docs.append((words, s))
+    rows = [(" ".join(sorted(w)[::2]), " ".join(sorted(w)[1::2]), [s]) for w, s in docs] + [("alpha1 beta2", "", ["alpha", "beta"])]
+    monkeypatch.setattr(subjects, "GROUP_ROWS", 90 // slices + 1)
+    monkeypatch.setattr(subjects, "GROUP_ITEMS", 3)
+    monkeypatch.setattr(subjects, "ITEM_LIFT", 1.05)
+    got = subjects.mine_rules(rated_table(spark, rows), subjects.single, lambda s, c, share, n: c >= 0.6, lambda n: 5)
+    count = lambda ws, s: sum(t == s and ws <= w for w, t in docs)
     every = sorted({w for words, _ in docs for w in words})
-    want, shares = {}, {}
-    for size in (1, 2):
+    found, items = {}, set()
+    for size in (1, 2, 3):
         for ws in map(frozenset, itertools.combinations(every, size)):
+            if size > 1 and not ws <= items:
+                continue
             n, s = max((count(ws, s), s) for s in ("alpha", "beta", "gamma"))
-            share = n / max(1, sum(ws <= {*w} for w, _ in docs))
-            shares[ws] = share
-            strong = size == 1 or min(shares[frozenset([w])] for w in ws) >= 0.5
-            if strong and n >= 2 and share >= 0.6 and all(share > want[frozenset([w])][1] for w in ws if size == 2 and frozenset([w]) in want):
-                want[ws] = (s, share)
-    assert got == want and sum(len(a) == 2 for a in got) > 1000
+            total = sum(ws <= w for w, _ in docs)
+            careful = n / total if size == 1 else (n + subjects.PRIOR / 3) / (total + subjects.PRIOR)
+            if n >= 5 and careful >= 0.6:
+                found[ws] = (s, n / total)
+            elif size == 1 and n / total >= 1.05 / 3:
+                items |= ws
+    want = {a: v for a, v in found.items() if not any(b < a and found[b][1] >= v[1] for b in found)}
+    assert got == want and {len(a) for a in got} == {1, 2, 3}
+
+
+def test_prefix_tree_grows_all_patterns():
+    rng = random.Random(4)
+    sets = [tuple(sorted(rng.sample(range(7), rng.randint(1, 5)))) for _ in range(40)]
+    tree = subjects.PrefixTree()
+    for k, s in enumerate(sets):
+        tree.insert(s, subjects.Counter({"ab"[k % 2]: 1}))
+    got = {p: (c["a"], c["b"]) for p, c in tree.grow(range(7), 3, 2)}
+    want = {}
+    for size in (1, 2, 3):
+        for p in itertools.combinations(range(7), size):
+            n = [sum(set(p) <= set(s) and k % 2 == x for k, s in enumerate(sets)) for x in (0, 1)]
+            if sum(n) >= 2:
+                want[p] = tuple(n)
+    assert got == want
+
+
+def test_rules_of_longer_patterns_count_as_evidence():
+    m = subjects.Matcher({frozenset(["a"]): ("x", 0.75), frozenset(["b", "c"]): ("x", 0.9), frozenset(["c", "d"]): ("y", 0.75)})
+    got = m.evidence({"a", "b"}, {"c"})
+    assert got == {"x": (pytest.approx(1 + 2 * 0.9 / 0.75), 3, 1)} and m.clear({"a", "b"}, {"c"}, None) == "x"
+    assert subjects.pruned({frozenset("ab"): ("x", 0.8), frozenset("a"): ("x", 0.8), frozenset("abc"): ("x", 0.9)}) == {frozenset("a"): ("x", 0.8), frozenset("abc"): ("x", 0.9)}
 
 
 def test_sample_and_its_calibration(spark):
     ratings = spark.range(8_000).select(F.col("id").alias("doc_id"), F.lit("alpha").alias("subject"))
     assert subjects.sample_ratings(ratings).count() == 8_000
-    matcher = subjects.Matcher({frozenset([w]): ("alpha", 1.0) for w in "uvwx"})
+    matcher = subjects.Matcher({frozenset([w]): ("alpha", 0.75) for w in "uvwx"})
     rows = [("u", "v w", ["alpha"]), ("u", "v", ["beta"]), ("u v w", "", ["none"])]
-    rated = lambda rows: spark.createDataFrame(rows, "message string, code string, subjects array<string>")
-    assert [subjects.calibrate(matcher, rated(r)) for r in (rows, rows[:1], [])] == [3, 2, 2]
+    assert [subjects.calibrate(matcher, rated_table(spark, r)) for r in (rows * 100, rows, rows[:1], [])] == [2.5, 1.5, 1.5, 1.5]
 
 
 def test_subjects_on_held_out_documents(spark):
