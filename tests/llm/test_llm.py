@@ -163,9 +163,44 @@ def test_automaton_equals_substring_search():
         for i in range(11):
             if tuple(said[i : i + 2]) in grams:
                 want[i] = want[i + 1] = True
-        # the longest match from the left may leave a pair that straddles two matches
-        assert all(w or not g for g, w in zip(got, want, strict=True))
-        assert got == want or any(w and not g for g, w in zip(got, want, strict=True))
+        assert got == want
+
+
+#: Phrasings that were not looked at when the cues were written.
+HELD_OUT = [
+    "I regret that I am prohibited from performing this.", "That falls outside the scope of my abilities, so I must leave it.", "Sadly, this is something I'm not comfortable assisting with.",
+    "I'm going to have to say no to this request.", "We are not in a position to fulfil your request.", "My guidelines prevent me from doing this.", "This assistant is barred from performing that.",
+    "Apologies, but my instructions do not let me do that.", "I'm unwilling to take this on.", "Our policy forbids us to assist here.", "I will have to turn this down, as what you ask for goes against my guidelines.",
+    "Diese Anfrage kann ich leider nicht ausführen.", "Es ist mir untersagt, dabei zu helfen.", "Ich werde diese Aufgabe nicht übernehmen.", "Das liegt außerhalb meiner Möglichkeiten.", "Ihrem Wunsch können wir nicht nachkommen.",
+    "Je ne suis pas en mesure de répondre à cette demande.", "Il m'est interdit de faire cela.", "Je préfère décliner cette tâche.", "Nous refusons de traiter ce genre de requête.",
+    "No estoy autorizado para atender esta solicitud.", "Me niego a colaborar con eso.", "Esto queda fuera de mi alcance.", "Debo abstenerme de cumplir esta tarea.",
+    "这超出了我的能力范围，我没办法处理。", "我不便提供此类帮助。", "本助手不能执行该要求。", "请谅解，我拒绝执行。",
+]
+
+
+def test_refusals_in_other_words():
+    found = [pairs.is_refusal(t) for t in HELD_OUT]
+    assert sum(found) / len(found) >= 0.9
+    assert pairs.is_refusal("I can't help with that task. " + "I must decline that request. " * 20)
+    assert pairs.is_refusal("My guidelines prevent me from doing this. " * 30)
+    for text in ("I cannot reproduce the failure on my machine, so a log was added.", "The server refused the call and I tried it again.", "We won't see that error any more, the page is open.",
+                 "Ich habe das nicht gefunden, die Seite ist aber offen.", "我没有找到错误，页面已经打开。", "I refuse to merge src/a.py because this request is stale; b.py was merged."):
+        assert not pairs.is_refusal(text)
+
+
+def test_copied_coverage():
+    assert pairs.copied_coverage("1. Open the start page (walnut)\n2. search it\n3. filter the hits", STEPS) == 1.0
+    assert pairs.copied_coverage("open the start page, then nothing new", STEPS) == pytest.approx(4 / 7)
+    assert pairs.copied_coverage("", STEPS) == pairs.copied_coverage("other words", STEPS) == pairs.copied_coverage("open", "") == 0.0
+
+
+@pytest.mark.parametrize("end,want", [
+    ("- retry_row The remaining nested ledger comes from th", "truncated"), ("- mailer.shift so that decode_anchor can be ca", "truncated"), ("- clamp_window接下来需要把vault的", "truncated"),
+    ("tests/a.py::test_b PASSED [79%]lib/digest_", "truncated"), ("12:    a = fold(b)接下来需要把a的", "truncated"),
+    ("- retry_row", None), ("- mailer.shift", None), ("- add a guard", None), ("- README.md updated for it", None), ("tests/a.py::test_b PASSED [79%]", None),
+])
+def test_ends_of_lists_and_logs(end, want):
+    assert pairs.defect("The start page is open now and it works.\n" + end, STEPS) == want
 
 
 def test_broken_pairs_rows(spark):
@@ -173,6 +208,8 @@ def test_broken_pairs_rows(spark):
     df = spark.createDataFrame(rows, "id string, response string, reference_steps array<array<string>>, ingested_at timestamp, defect string")
     assert {tuple(r) for r in pairs.broken_pairs(df).collect()} == {("b", "empty")}
     assert pairs.broken_pairs(df.limit(0)).count() == 0
+    got = [(r.id, r.copied_coverage, r.n_words, r.defect) for r in pairs.pair_measures(df).collect()]
+    assert len(got) == 5 and ("b", 0.0, 0, "empty") in got and pairs.pair_measures(df.limit(0)).count() == 0
 
 
 # -------------------------------------------------------------------- 4 runs

@@ -174,42 +174,75 @@ def _prompt(steps: str) -> tuple[SuffixAutomaton, frozenset[str]]:
     return SuffixAutomaton(words), frozenset(t[0] for t in _known(steps)[1] if len(t) == 1)
 
 
-def is_copied(text: str, steps: str) -> bool:
-    """Nothing but the steps' wording behind a lead-in of a few words."""
+def copied_coverage(text: str, steps: str) -> float:
+    """The share of a response's words, behind its lead-in, that lie in stretches of the steps' wording; 0 if there are none.
+
+    The lead-in is what precedes the first such stretch, if it has few words;
+    a longer one counts as words that are not copied. List marks and tags are
+    no words.
+    """
     known, _ = _known(steps)
     if not known:
-        return False
-    words, outside, han = [], 0, 0
-    for m in _TAG_OR_WORD.finditer(text):
-        w = m[1]
-        if not w:
-            continue
-        w = w.lower()
-        words.append(w)
-        if w not in known and not _MARK.match(w):
-            outside += 1
-            han += w >= "㐀"
-            # more words that are not the steps' than any lead-in has
-            if outside - han > LEAD_WORDS or han > LEAD_HAN:
-                return False
+        return 0.0
+    words = [m[1].lower() for m in _TAG_OR_WORD.finditer(text) if m[1]]
     words = [w for w in words if w in known or not _MARK.match(w)]
     if not words:
-        return False
+        return 0.0
     automaton, single = _prompt(steps)
     # a lone word of the lead-in that the steps happen to have is no copy
     inside = [c or w in single for c, w in zip(automaton.covered(words), words, strict=True)]
     if True not in inside:
-        return False
+        return 0.0
     first = inside.index(True)
     lead = words[:first]
     few = sum(w >= "㐀" for w in lead) <= LEAD_HAN and sum(w < "㐀" for w in lead) <= LEAD_WORDS
-    return few and all(inside[first:])
+    return sum(inside) / (len(words) - first if few else len(words))
+
+
+def is_copied(text: str, steps: str) -> bool:
+    """Whether the steps' wording covers all of the response behind its lead-in."""
+    known, _ = _known(steps)
+    outside, han = 0, 0
+    for m in _TAG_OR_WORD.finditer(text):
+        w = (m[1] or "").lower()
+        if w and w not in known and not _MARK.match(w):
+            outside += 1
+            han += w >= "㐀"
+            # more words that are not the steps' than any lead-in has: no need for the automaton
+            if outside - han > LEAD_WORDS or han > LEAD_HAN:
+                return False
+    return copied_coverage(text, steps) == 1.0
 
 
 #: Parts from which more phrases of declining are built.
 _SELF = ["i", "we", "this assistant", "the assistant"]
 _NOT = ["can't", "cannot", "can not", "won't", "will not", "am unable to", "am not able to", "do not", "does not", "don't", "doesn't", "may not", "must not", "am not allowed to", "am not permitted to", "refuse to", "decline to"]
 _ACT = ["help", "assist", "carry out", "comply", "handle such", "handle that", "handle this", "handle requests", "do that", "do this", "do such", "take part", "take on", "work on that", "work on this", "work on such", "support such", "process such", "perform such", "accept such", "fulfil", "proceed with that", "proceed with this", "go ahead with"]
+#: Cues of a sentence that declines: who speaks, what keeps them from it, what is asked of them. One of each makes a refusal.
+_WHO = {
+    "en": ["i ", "i'm", "i'd", "i'll", "my ", "me ", "we ", "we're", "our ", "us ", "assistant"],
+    "de": ["ich", "mir", "mich", "mein", "wir", "uns", "assistent"],
+    "fr": ["je ", "j'", "m'", "me ", "mes ", "mon ", "moi", "nous", "assistant"],
+    "es": ["yo ", "me ", "mi ", "mis ", "puedo", "podré", "debo", "tengo", "estoy", "podemos", "nos ", "asistente", "lamento", "rechazo"],
+    "zh": ["我", "本助手", "本系统", "恕"],
+}
+_KEPT = {
+    "en": ["can't", "cannot", "can not", "couldn't", "won't", "will not", "wouldn't", "unable", "not able", "not allowed", "not permitted", "not in a position", "not willing", "not going to", "not comfortable", "not let", "not allow",
+           "unwilling", "prohibited", "forbidden", "forbid", "barred", "prevent", "restricted from", "off limits", "off-limits", "declin", "refus", "turn down", "turn this down", "have to pass", "must pass", "outside", "beyond", "rather not",
+           "against", "not appropriate", "inappropriate", "not possible", "impossible", "isn't possible", "leave it", "out of bounds", "say no", "abstain", "withhold", "opt out", "not something i"],
+    "de": ["nicht", "kein", "unmöglich", "ablehn", "lehne", "verweiger", "untersagt", "verboten", "außerhalb", "absehen", "verzichte", "weigere"],
+    "fr": ["ne peux pas", "ne puis", "ne pourrai pas", "ne suis pas", "ne peut pas", "impossible", "déclin", "refus", "interdi", "hors de", "pas en mesure", "pas autoris", "contraire", "m'abst", "ne saurais"],
+    "es": ["no puedo", "no podré", "no podemos", "no me es", "no estoy", "no tengo permi", "imposible", "rechaz", "declin", "niego", "prohib", "fuera de", "no debo", "contra mis", "abstener", "incapaz"],
+    "zh": ["无法", "不能", "不可以", "不便", "拒绝", "不允许", "不被允许", "婉拒", "不会协助", "不得", "超出", "没办法", "不予"],
+}
+_ASKED = {
+    "en": ["help with", "help you", "assist", "comply", "this request", "that request", "such request", "your request", "requests of this", "this task", "that task", "such task", "performing this", "performing that", "perform this", "perform that",
+           "do this", "do that", "doing this", "doing that", "this on", "that on", "to this", "to that", "this is something", "that is something", "take part", "taking part", "anything of this kind", "anything like that", "what you describe", "what you ask", "asking for", "my abilities", "my guidelines", "my policy", "our policy", "our guidelines", "my instructions", "what i may do", "what i can do", "fulfil", "provide that", "this one", "that one", "involved", "go along"],
+    "de": ["helfen", "hilfe", "behilflich", "bearbeite", "anfrage", "aufgabe", "bitte nach", "so etwas", "dabei", "das tun", "unterstütz", "ausführ", "nachkommen", "wunsch", "möglichkeiten", "richtlinien"],
+    "fr": ["aider", "demande", "tâche", "requête", "traiter", "cela", "faire", "assister", "donner suite", "répondre", "accomplir", "consignes", "compétences"],
+    "es": ["ayudar", "petición", "solicitud", "tarea", "hacer eso", "hacerlo", "cumplir", "esto", "eso", "atender", "colaborar", "asistir", "normas", "alcance"],
+    "zh": ["协助", "帮助", "帮忙", "请求", "任务", "要求", "完成", "处理", "满足", "提供", "能力范围", "从命", "执行"],
+}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -220,20 +253,69 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _cues() -> ahocorasick.Automaton:
+    """Cues to bits: three a language."""
+    bits: dict[str, int] = {}
+    for i, lang in enumerate(_WHO):
+        for k, table in enumerate((_WHO, _KEPT, _ASKED)):
+            for cue in table[lang]:
+                bits[cue] = bits.get(cue, 0) | 1 << (3 * i + k)
+    a = ahocorasick.Automaton()
+    for cue, b in bits.items():
+        a.add_word(cue, (len(cue), b))
+    a.make_automaton()
+    return a
+
+
 _REFUSAL = _automaton()
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 #: Sentences that may follow or precede the one that declines.
 _POLITE = 3
 
 
+_CUES = _cues()
+#: Words of a sentence that may decline by its cues alone; a longer one tells of work.
+_DECLINING_WORDS = 40
+#: What a sentence that declines by its cues doesn't have: names of code, paths, numbers, quotes of tools.
+_WORK = re.compile(r"\w[_/]\w|\w\.\w|\d{2}|[`=<>{}|]|::|\w\(")
+
+
+def declines(sentence: str) -> bool:
+    """Whether a sentence in lower case declines: by a known phrase, or by one cue each of who, kept from and asked."""
+    if next(_REFUSAL.iter(sentence), None) is not None:
+        return True
+    seen = 0
+    for end, (size, bits) in _CUES.iter(sentence):
+        before = sentence[end - size : end - size + 1] if end >= size else ""
+        # a cue begins at the begin of a word, but in Chinese
+        if sentence[end - size + 1] >= "㐀" or not before.isalpha():
+            seen |= bits
+    if not any(seen >> 3 * i & 7 == 7 for i in range(len(_WHO))):
+        return False
+    return len(_WORD.findall(sentence)) <= _DECLINING_WORDS and not _WORK.search(sentence)
+
+
 def is_refusal(text: str) -> bool:
-    """Declines in one of its first sentences and has no work beside that."""
+    """Declines and has hardly anything beside that.
+
+    A few other sentences may stand by it; if no phrase is known and only cues
+    tell, these must not tell of work either.
+    """
     low = text.lower().replace("’", "'")
-    if next(_REFUSAL.iter(low), None) is None:
+    if next(_CUES.iter(low), None) is None and next(_REFUSAL.iter(low), None) is None:
+        return False
+    at, work = [], 0
+    for s in _SENTENCE.split(low):
+        if s.strip():
+            if declines(s):
+                at.append(s)
+            else:
+                work += 1
+                if work > _POLITE:
+                    return False
+    if not at:
         return False
-    sentences = [s for s in _SENTENCE.split(low) if s.strip()]
-    at = [i for i, s in enumerate(sentences) if next(_REFUSAL.iter(s), None) is not None]
-    return bool(at) and len(sentences) - len(at) <= _POLITE
+    return any(next(_REFUSAL.iter(s), None) is not None for s in at) or not _WORK.search(low)
 
 
 _FENCE = re.compile(r"^[ \t]*```|```[ \t]*$|(?<=\s)```(?=\s|\w)|```", re.MULTILINE)
@@ -242,7 +324,9 @@ _VOID = {"br", "hr", "img", "input", "meta", "link"}
 _PARTIAL_TAG = re.compile(r"(?<![\w<=-])</?[A-Za-z_]?[\w.-]*\Z")
 _CLOSED = re.compile(r"[.!?。！？…][\"'”’»」』)\]]*\Z")
 #: Ends of sentences, log lines, blocks and calls within a line.
-_FINISHED = re.compile(r"\[\s*\d{1,3}%\]\s+|={3,}\s+(?=[^\W\d])|```\s+|</\w+>\s+|[.!?]\s+(?=[^\W\d_]*[A-ZÀ-Þ¿])|[。！？]|[)\]]\s+(?=[A-ZÀ-Þ])")
+_FINISHED = re.compile(r"\[\s*\d{1,3}%\]\s*(?=\S)|={3,}\s+(?=[^\W\d])|```\s+|</\w+>\s+|[.!?]\s+(?=[^\W\d_]*[A-ZÀ-Þ¿])|[。！？]|[)\]]\s+(?=[A-ZÀ-Þ])|[)\]](?=[一-鿿])")
+#: A list item that is a name of code, and the begin of a sentence behind it.
+_NAMED_ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+[A-Za-z_]\w*(?:[_./]\w+)+(?:(?=[一-鿿])|\s+(?=[^\W\d_]*[A-ZÀ-Þ¿])|\s+(?=([^\W\d_]+)\s))")
 _LIST = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)]|\[[ xX]?\])\s+\S")
 _LOG = re.compile(
     r"\[\s*\d{1,3}%\]\Z|={2,}\Z|::\w+|^\s*(?:\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d)|^\s*\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\b|^(?:Output|Exit code|stdout|stderr)\s*:"
@@ -310,6 +394,9 @@ def is_truncated(text: str) -> bool:
     # what stands behind the last finished thing of the line
     ends = [m.end() for m in _FINISHED.finditer(last)]
     last = last[ends[-1] :] if ends else last
+    item = _NAMED_ITEM.match(last)
+    if item and (item[1] is None or item[1] in _VOTES):  # in lower case only behind a word that joins sentences
+        last = last[item.end() :]
     if _LOG.search(last) or _LIST.match(last):
         return False
     if last.count("(") > last.count(")") or last.count("[") > last.count("]") or last.count("{") > last.count("}"):
@@ -410,6 +497,30 @@ def defect(response: str | None, steps: str | None) -> str | None:
     return None
 
 
+def pair_measures(df: DataFrame, *, id_col: str = "id", response_col: str = "response", steps_col: str = "reference_steps") -> DataFrame:
+    """``id, copied_coverage, n_words, defect`` of every row: how much of the response is the steps' wording.
+
+    Coverage is 0 for null or empty responses and steps. One row per input row,
+    repeated rows included; a null id stays null, an empty table gives none.
+    """
+    ready = df.select(F.col(id_col).alias("id"), F.col(response_col).alias("r"), steps_text(F.col(steps_col)).alias("s"))
+    schema = T.StructType(
+        [ready.schema["id"], T.StructField("copied_coverage", T.DoubleType()), T.StructField("n_words", T.IntegerType()), T.StructField("defect", T.StringType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share, size, found = [], [], []
+            for r, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = plain(r or "")
+                share.append(copied_coverage(text, s) if s else 0.0)
+                size.append(sum(1 for m in _TAG_OR_WORD.finditer(text) if m[1]))
+                found.append(defect(r, s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64()), pa.array(size, pa.int32()), pa.array(found, pa.string())], names=schema.names)
+
+    return ready.mapInArrow(run, schema)
+
+
 def broken_pairs(
     df: DataFrame, *, id_col: str = "id", response_col: str = "response", steps_col: str = "reference_steps", delivered_col: str = "ingested_at"
 ) -> DataFrame:

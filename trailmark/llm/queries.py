@@ -92,6 +92,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.broken_pairs(_read(spark, folder, "demo_samples"))
 
 
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of every response is the wording of its steps, and its defect."""
+    rows = latest_delivery(_read(spark, folder, "demo_samples").select("id", "response", "reference_steps", "ingested_at"), ["id"], "ingested_at")
+    return pairs.pair_measures(rows).withColumn("copied_coverage", F.round("copied_coverage", 6))
+
+
 # -------------------------------------------------------------------- 4 runs
 
 
@@ -220,7 +226,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_classes, p2_normalized, p3_found, p4_found, p4_runs, p5_found, p5_report,
+        p1_found, p1_pieces, p2_found, p2_classes, p2_normalized, p3_found, p3_report, p4_found, p4_runs, p5_found, p5_report,
         p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_composition,
     )
 }
