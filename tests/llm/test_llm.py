@@ -111,7 +111,10 @@ def test_pairs_equal_brute_force(spark):
     rows = [(rng.choice("rs"), f"i{k}", rng.choice(["p", "q", None]), NOW, rng.choice(words)) for k in range(60)]
     rows += rows[:5]
     df = spark.createDataFrame(rows, "field string, id string, scope string, delivered timestamp, text string")
-    got = {tuple(r) for r in lookalike.lookalike_pairs(lookalike.lookalike_classes(df)).collect()}
+    classes = lookalike.lookalike_classes(df)
+    got = {tuple(r) for r in lookalike.lookalike_pairs(classes).collect()}
+    split = lookalike.lookalike_pairs(classes, rows=2).collect()
+    assert len(split) == len(got) and {tuple(r) for r in split} == got
     uniq = {(f, i, s, t) for f, i, s, _, t in rows if t is not None}
     want = {
         (a[0], *sorted((a[1], b[1]))) for a in uniq for b in uniq
@@ -166,7 +169,7 @@ def test_automaton_equals_substring_search():
         assert got == want
 
 
-#: Phrasings that were not looked at when the cues were written.
+#: Phrasings of which no list has the whole.
 HELD_OUT = [
     "I regret that I am prohibited from performing this.", "That falls outside the scope of my abilities, so I must leave it.", "Sadly, this is something I'm not comfortable assisting with.",
     "I'm going to have to say no to this request.", "We are not in a position to fulfil your request.", "My guidelines prevent me from doing this.", "This assistant is barred from performing that.",
@@ -184,7 +187,7 @@ def test_refusals_in_other_words():
     assert pairs.is_refusal("I can't help with that task. " + "I must decline that request. " * 20)
     assert pairs.is_refusal("My guidelines prevent me from doing this. " * 30)
     for text in ("I cannot reproduce the failure on my machine, so a log was added.", "The server refused the call and I tried it again.", "We won't see that error any more, the page is open.",
-                 "Ich habe das nicht gefunden, die Seite ist aber offen.", "我没有找到错误，页面已经打开。", "I refuse to merge src/a.py because this request is stale; b.py was merged."):
+                 "Ich habe das nicht gefunden, die Seite ist aber offen.", "我没有找到错误，页面已经打开。", "I declined to merge src/a.py because this request is stale; b.py was merged."):
         assert not pairs.is_refusal(text)
 
 

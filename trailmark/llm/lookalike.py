@@ -19,6 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmark.plans.shared import write_shared
+from trailmark.plans.sizing import broadcast_if_small
+
+#: Members of one stored form that are joined in one part, about.
+SPLIT_ROWS = 100_000
+
 #: Letters drawn alike, from the public confusables of Unicode, by prototype.
 PROTOTYPES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ",
@@ -168,22 +174,33 @@ def lookalike_classes(texts: DataFrame) -> DataFrame:
     return latest.join(mixed, same, "left_semi").select(*group, "stored", "id")
 
 
-def lookalike_pairs(members: DataFrame) -> DataFrame:
+def lookalike_pairs(members: DataFrame, *, rows: int = SPLIT_ROWS) -> DataFrame:
     """Pairs ``field, id_a, id_b`` (id_a < id_b) of different stored forms of one class.
 
     ``members`` is the result of :func:`lookalike_classes`. The forms of a class
     are paired first and their members joined to that, so equal texts are never
-    compared with each other; the rows are as many as the asked pairs.
+    compared with each other; the rows are as many as the asked pairs. A form
+    with more than ``rows`` members is joined in parts of about so many.
     """
-    form = members.select("field", "scope", "skeleton", "stored").distinct()
-    a = form.select("field", F.col("scope"), "skeleton", F.col("stored").alias("st_a"))
-    b = form.select(F.col("field").alias("fb"), F.col("scope").alias("sb"), F.col("skeleton").alias("kb"), F.col("stored").alias("st_b"))
-    forms = a.join(
-        b, (F.col("field") == F.col("fb")) & F.col("scope").eqNullSafe(F.col("sb")) & (F.col("skeleton") == F.col("kb")) & (F.col("st_a") < F.col("st_b"))
-    ).select("field", "scope", "st_a", "st_b")
-    one = members.select(F.col("field").alias("f1"), F.col("scope").alias("s1"), F.col("stored").alias("x1"), F.col("id").alias("i1"))
-    two = members.select(F.col("field").alias("f2"), F.col("scope").alias("s2"), F.col("stored").alias("x2"), F.col("id").alias("i2"))
-    joined = forms.join(one, (F.col("field") == F.col("f1")) & F.col("scope").eqNullSafe(F.col("s1")) & (F.col("st_a") == F.col("x1"))).join(
-        two, (F.col("field") == F.col("f2")) & F.col("scope").eqNullSafe(F.col("s2")) & (F.col("st_b") == F.col("x2"))
-    )
-    return joined.select("field", F.least("i1", "i2").alias("id_a"), F.greatest("i1", "i2").alias("id_b"))
+    own = write_shared(members.select("field", "scope", "skeleton", "stored", "id"), "classes")
+    form = own.groupBy("field", "scope", "skeleton", "stored").agg(F.count(F.lit(1)).alias("n"))
+    form = form.select("field", "scope", "skeleton", "stored", (1 + F.floor(F.col("n") / rows)).cast("int").alias("parts"))
+    form = write_shared(form, "forms")
+    a = form.select("field", "scope", "skeleton", F.col("stored").alias("st_a"), F.col("parts").alias("parts_a"))
+    b = form.select(*[F.col(c).alias(f"{c}_b") for c in ("field", "scope", "skeleton")], F.col("stored").alias("st_b"), F.col("parts").alias("parts_b"))
+    same = (F.col("field") == F.col("field_b")) & F.col("scope").eqNullSafe(F.col("scope_b")) & (F.col("skeleton") == F.col("skeleton_b"))
+    forms = a.join(b, same & (F.col("st_a") < F.col("st_b"))).select("field", "scope", "st_a", "parts_a", "st_b", "parts_b")
+    # forms in parts are at most the rows by ``rows``
+    many = form.filter("parts > 1").select(*[F.col(c).alias(f"{c}_m") for c in ("field", "scope", "stored")], "parts")
+    keyed = (F.col("field") == F.col("field_m")) & F.col("scope").eqNullSafe(F.col("scope_m")) & (F.col("stored") == F.col("stored_m"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    placed = own.join(broadcast_if_small(many, 1_000_000), keyed, "left").select("field", "scope", "stored", "id", part.alias("part"))
+
+    def side(left: DataFrame, end: str) -> DataFrame:
+        right = placed.select(*[F.col(c).alias(f"{c}_{end}") for c in ("field", "scope", "stored", "part", "id")])
+        spread = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(f"parts_{end}") - 1)))
+        on = (F.col("field") == F.col(f"field_{end}")) & F.col("scope").eqNullSafe(F.col(f"scope_{end}")) & (F.col(f"st_{end}") == F.col(f"stored_{end}"))
+        return spread.join(right, on & (F.col("part") == F.col(f"part_{end}"))).drop("part", *[f"{c}_{end}" for c in ("field", "scope", "stored", "part")])
+
+    joined = side(side(forms, "a"), "b")
+    return joined.select("field", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
