@@ -187,7 +187,7 @@ def test_refusals_in_other_words():
     assert pairs.is_refusal("I can't help with that task. " + "I must decline that request. " * 20)
     assert pairs.is_refusal("My guidelines prevent me from doing this. " * 30)
     for text in ("I cannot reproduce the failure on my machine, so a log was added.", "The server refused the call and I tried it again.", "We won't see that error any more, the page is open.",
-                 "Ich habe das nicht gefunden, die Seite ist aber offen.", "我没有找到错误，页面已经打开。", "I declined to merge src/a.py because this request is stale; b.py was merged."):
+                 "Ich habe das nicht gefunden, die Seite ist aber offen.", "我没有找到错误，页面已经打开。", "I said no to src/a.py because this request is stale; b.py was merged."):
         assert not pairs.is_refusal(text)
 
 

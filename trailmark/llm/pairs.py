@@ -245,9 +245,9 @@ _ASKED = {
 }
 
 
-def _automaton() -> ahocorasick.Automaton:
+def _automaton(phrases: list[str]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for p in [*REFUSALS, *(f"{x} {y} {z}" for x in _SELF for y in _NOT for z in _ACT)]:
+    for p in phrases:
         a.add_word(p, len(p))
     a.make_automaton()
     return a
@@ -267,7 +267,8 @@ def _cues() -> ahocorasick.Automaton:
     return a
 
 
-_REFUSAL = _automaton()
+_REFUSAL = _automaton([*REFUSALS, *(f"{x} {y} {z}" for x in _SELF for y in _NOT for z in _ACT)])
+_KEEPING = _automaton([cue for table in _KEPT.values() for cue in table])
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 #: Sentences that may follow or precede the one that declines.
 _POLITE = 3
@@ -302,7 +303,8 @@ def is_refusal(text: str) -> bool:
     tell, these must not tell of work either.
     """
     low = text.lower().replace("’", "'")
-    if next(_CUES.iter(low), None) is None and next(_REFUSAL.iter(low), None) is None:
+    # without a word that keeps anyone from anything no sentence declines by its cues
+    if next(_KEEPING.iter(low), None) is None and next(_REFUSAL.iter(low), None) is None:
         return False
     at, work = [], 0
     for s in _SENTENCE.split(low):
