@@ -20,8 +20,12 @@ from trailmark.sources import readers
 
 def test_latest_delivery(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), (None, 1, "n"), ("b", None, "z")], "id string, t int, v string")
-    got = {(r.id, r.v) for r in latest_delivery(rows, ["id"], "t").collect()}
-    assert got == {("a", "y"), (None, "n"), ("b", "z")}
+    for few in (0, 10):
+        got = latest_delivery(rows, ["id"], "t", few=few).collect()
+        assert len(got) == 3 and {(r.id, r.v) for r in got} == {("a", "y"), (None, "n"), ("b", "z")}
+    twice = rows.unionByName(rows).unionByName(spark.createDataFrame([(None, 0, "o"), ("b", None, "q")], rows.schema))
+    assert {r.id for r in latest_delivery(twice, ["id"], "t").collect()} == {"a", "b", None} and latest_delivery(twice, ["id"], "t").count() == 3
+    assert sorted(map(str, latest_delivery(twice, ["id"], "t").collect())) == sorted(map(str, latest_delivery(twice, ["id"], "t", few=0).collect()))
     assert latest_delivery(rows.limit(0), ["id"], "t").count() == 0
     assert broadcast_if_small(rows).count() == 5 and broadcast_if_small(rows, 2).count() == 5
 

@@ -1,4 +1,4 @@
-"""Broadcasts behind a check of the side's size."""
+"""Broadcasts behind a check of the side's size, and scans in enough tasks."""
 
 from __future__ import annotations
 
@@ -13,3 +13,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     left to Catalyst, which shuffles both sides.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many tasks as there are cores, for work that costs far more than moving its rows.
+
+    A table of many files or splits is left as it is; one of few is dealt out.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -16,6 +16,7 @@ from trailmark.operators import workflow as wf
 from trailmark.operators.confidence import assess
 from trailmark.operators.sequences import running, with_previous
 from trailmark.plans.delivery import latest_delivery
+from trailmark.plans.sizing import spread
 from trailmark.sources.readers import read_rlvr
 from trailmark.sql import SQL as _SQL
 from trailmark.streaming import traces
@@ -39,7 +40,7 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    return latest_delivery(read(spark, folder, "demo_samples"), ["id"], "ingested_at")
+    return latest_delivery(spread(read(spark, folder, "demo_samples")), ["id"], "ingested_at")
 
 
 def with_steps(spark: SparkSession, folder: str) -> DataFrame:
