@@ -113,7 +113,7 @@ def test_text_functions(spark):
     assert one(X.split_think(F.lit("<think>a</think> b"))) == ("a", "b")
     assert one(X.repetition(X.long_pieces(F.lit("spam spam spam spam"))))["penalty"] == pytest.approx(-1.4)
     assert one(X.lexical_coverage(F.lit("Straße  gut"), F.array(F.array(F.lit("STRASSE GUT")), F.array(F.lit("x"))))) == 0.5
-    assert one(experiments.token_rewards(F.lit(8), F.array(*map(F.lit, (2, 5, 7))), F.array(*map(F.lit, (0.2, -0.1, 0.9))))) == [0, 0, 0.2, 0, 0, -0.1, 0, 0.9]
+    assert one(experiments.token_rewards(F.lit(6), F.array(*map(F.lit, (0, 3))), F.array(*map(F.lit, (-0.5, 1.25))))) == [-0.5, 0, 0, 1.25, 0, 0]
 
 
 def test_ranking(spark):

@@ -45,11 +45,14 @@ def contains(actual: Any, wanted: Any) -> bool:
 
 @F.pandas_udf(T.StringType())
 def redact_json(payload: pd.Series) -> pd.Series:
-    """Redacted payload; text that is no JSON container is returned as it is."""
+    """Redacted payload; text that is no JSON container, or has nothing to redact, is returned as it is."""
 
     def one(text: str | None) -> str | None:
         value = decoded(text)
-        return text if isinstance(value, str) or value is None else json.dumps(redacted(value), ensure_ascii=False)
+        if isinstance(value, str) or value is None:
+            return text
+        clean = redacted(value)
+        return text if clean == value else json.dumps(clean, ensure_ascii=False)
 
     return payload.map(one, na_action="ignore")
 

@@ -183,3 +183,57 @@ def semantics(call: Call, handler: Column, custom: dict[str, Handler] | None = N
     for name, make in {**{f"custom:{k}": v for k, v in (custom or {}).items()}, **HANDLERS}.items():
         out = out.when(handler == name, make(call))
     return out.otherwise(generic_semantics(call))
+
+
+def record(text: Column, index: Column) -> tuple[Call, dict[str, Column]]:
+    """A tool record in JSON, with the names other runtimes use, as a call and its other columns.
+
+    The first name that is present counts, even if it holds null.
+    """
+    keys = F.json_object_keys(text)
+
+    def first(*names: str) -> Column:
+        out = F.when(F.array_contains(keys, names[0]), F.get_json_object(text, f"$.{names[0]}"))
+        for n in names[1:]:
+            out = out.when(F.array_contains(keys, n), F.get_json_object(text, f"$.{n}"))
+        return out
+
+    output = first("output", "result")
+    inner = F.json_object_keys(_object(output))
+    code = F.when(F.array_contains(inner, "exit_code"), F.get_json_object(_object(output), "$.exit_code")).when(F.array_contains(inner, "returncode"), F.get_json_object(_object(output), "$.returncode"))
+    call = Call(
+        strip(F.coalesce(first("tool_name", "name", "tool"), F.lit(""))), first("arguments", "input"), output, first("error"),
+        F.coalesce(first("exit_code"), code).try_cast("int"), first("metadata"),
+    )
+    named = {c: first(c) for c in ("node_id", "transition_kind", "state_before", "state_after")}
+    own = F.coalesce(strip(first("call_id", "id")), F.concat(F.lit("tool-call-"), index.cast("string")))
+    return call, named | {"call_id": own, "occurrence": first("occurrence").try_cast("int")}
+
+
+def records_events(payload: Column, trusted: Column, custom: dict[str, Handler] | None = None) -> Column:
+    """A JSON array of tool records as an array of events: structs in the fields of an event, payloads as they are.
+
+    Records become calls, calls find their handlers, and only then the meaning
+    is told, each by a pass over the array, so that no expression is repeated.
+    """
+    def called(text: Column, index: Column) -> Column:
+        call, rest = record(text, index)
+        return F.struct(*[getattr(call, n).alias(n) for n in Call.__dataclass_fields__], *[c.alias(n) for n, c in rest.items()])
+
+    def call_of(c: Column) -> Call:
+        return Call(*(c[n] for n in Call.__dataclass_fields__))
+
+    calls = F.transform(F.from_json(payload, "array<string>"), called)
+    handled = F.transform(calls, lambda c: F.struct(c.alias("c"), handler_name(call_of(c), custom).alias("h")))
+    told = F.transform(handled, lambda r: F.struct(r["c"].alias("c"), semantics(call_of(r["c"]), r["h"], custom).alias("x")))
+
+    def event(r: Column) -> Column:
+        c, x = r["c"], r["x"]
+        return F.struct(
+            c["call_id"].alias("event_id"), x["action"].alias("action"), c["node_id"].alias("node_id"), c["occurrence"].alias("occurrence"), x["evidence"].alias("evidence"),
+            x["outcome"].alias("outcome"), x["status"].alias("status"), F.lit("runtime").alias("source"), trusted.alias("trusted"), c["transition_kind"].alias("transition_kind"),
+            c["tool_name"].alias("tool_name"), c["arguments"].alias("tool_input"), c["output"].alias("tool_output"), c["state_before"].alias("state_before"),
+            c["state_after"].alias("state_after"), c["metadata"].alias("metadata"),
+        )
+
+    return F.transform(told, event)

@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import text as X
-from trailmark.operators.embed import Cached, ConceptEncoder, Encoder
+from trailmark.operators.embed import Cached, ConceptEncoder, Encoder, load_encoder
 from trailmark.operators.windows import windows_of
 
 
+#: What the environment may set.
+_ENV: dict[str, Any] = {
+    "threshold": float, "max_score": float, "max_windows": int, "cache_size": int, "require_trace": lambda v: v.lower() in ("1", "true", "yes"),
+    "model": str, "pooling": str, "query_instruction": str, "passage_instruction": str, "max_length": int, "batch": int,
+}
+
+
 @dataclass(frozen=True)
 class ScorerConfig:
     """Thresholds and window sizes; the coarse pass uses nine tenths of the threshold."""
@@ -31,12 +38,27 @@ class ScorerConfig:
     coarse_to_fine: bool = True
     cache_size: int = 8192
     encoder: Encoder = field(default_factory=ConceptEncoder)
+    #: Own patterns of evidence for the gate; None for the built-in ones.
+    tool_patterns: tuple[str, ...] | None = None
+    reasoning_patterns: tuple[str, ...] | None = None
+
+    @property
+    def patterns(self) -> dict[str, str]:
+        """What :func:`trailmark.functions.text.has_trace` takes of them."""
+        given = {"tools": self.tool_patterns, "reasoning": self.reasoning_patterns}
+        return {k: "|".join(f"(?:{p})" for p in v) for k, v in given.items() if v is not None}
 
     @classmethod
-    def from_env(cls, prefix: str = "TRAILMARK_", **own: Any) -> ScorerConfig:
-        """Defaults from the environment (THRESHOLD, MAX_SCORE, MAX_WINDOWS, REQUIRE_TRACE, CACHE_SIZE); arguments win."""
-        read = {"threshold": float, "max_score": float, "max_windows": int, "cache_size": int, "require_trace": lambda v: v.lower() in ("1", "true", "yes")}
-        return cls(**{k: f(os.environ[prefix + k.upper()]) for k, f in read.items() if prefix + k.upper() in os.environ} | own)
+    def from_env(cls, prefix: str = "TRAILMARK_", legacy: tuple[str, ...] = (), **own: Any) -> ScorerConfig:
+        """Defaults from the environment (THRESHOLD, MAX_SCORE, MAX_WINDOWS, REQUIRE_TRACE, CACHE_SIZE, and for an encoder MODEL,
+        POOLING, QUERY_INSTRUCTION, PASSAGE_INSTRUCTION, MAX_LENGTH, BATCH); older prefixes serve what the first lacks, arguments win."""
+        env = {k: os.environ[p + k.upper()] for p in (*reversed(legacy), prefix) for k in _ENV if p + k.upper() in os.environ}
+        got = {k: f(env[k]) for k, f in _ENV.items() if k in env and k in cls.__dataclass_fields__}
+        if "model" in env and "encoder" not in own:
+            names = {"pooling": "pooling", "query_instruction": "query", "passage_instruction": "passage", "max_length": "max_length", "batch": "batch"}
+            encoder = load_encoder(env["model"], **{to: _ENV[k](env[k]) for k, to in names.items() if k in env})
+            got |= {"encoder": encoder} if encoder else {}
+        return cls(**got | own)
 
 
 @dataclass
@@ -92,7 +114,7 @@ def pair_order(positions: Any) -> float:
 def similarities(encode, steps: list[list[str]], texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Steps x windows, the best candidate of each step counting; and the candidates' rows."""
     flat = [c for s in steps for c in s]
-    vectors = encode([*flat, *texts])
+    vectors = encode([*flat, *texts], ["query"] * len(flat) + ["passage"] * len(texts))
     every = vectors[: len(flat)] @ vectors[len(flat) :].T
     rows, at = [], 0
     for s in steps:
@@ -169,7 +191,7 @@ def score_samples(df: DataFrame, keep: list[str], response: Column, steps: Colum
     config = config or ScorerConfig()
     clean = X.normalized_steps(steps)
     ready = df.select(*keep, F.coalesce(response, F.lit("")).alias("__r"), clean.alias("__s"))
-    denied = ~X.has_trace(F.col("__r"), F.col("__s")) if config.require_trace else F.lit(False)
+    denied = ~X.has_trace(F.col("__r"), F.col("__s"), **config.patterns) if config.require_trace else F.lit(False)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("result", RESULT)])
     k = len(keep)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ class RoutingConfig:
     max_intention_recitation_fraction: float = 0.5
     high_match_rate: float = 0.95
     require_trace_when_high_match: bool = True
+    #: Own patterns of evidence, as arguments of :func:`trailmark.functions.text.has_trace`.
+    patterns: dict[str, str] = field(default_factory=dict)
 
 
 def _two(c: Column) -> Column:
@@ -44,7 +46,7 @@ def assess(df: DataFrame, result: str, response: str, raw_steps: str, out: str,
         "__tiers", F.transform(F.coalesce(F.col(raw_steps), F.array().cast("array<array<string>>")), X.candidates_tier)
     )
     staged = staged.withColumn("__told", X.intention_fraction(F.col(response), F.col("__steps"))).withColumn(
-        "__traced", F.when((text != "") & F.lit(c.require_trace_when_high_match), X.has_trace(F.col(response), F.col("__steps")))
+        "__traced", F.when((text != "") & F.lit(c.require_trace_when_high_match), X.has_trace(F.col(response), F.col("__steps"), **c.patterns))
     )
     staged = staged.withColumn("__proxy", F.size(F.filter("__tiers", lambda t: t == "proxy")) / F.greatest(F.size("__steps"), F.lit(1)))
     r, told, traced, proxy = F.col(result), F.col("__told"), F.col("__traced"), F.col("__proxy")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -106,28 +106,138 @@ def _grams(word: str) -> np.ndarray:
 
 
 class Cached:
-    """An encoder that keeps the vectors of up to ``size`` texts; least recently used ones go first."""
+    """An encoder that keeps the vectors of up to ``size`` texts by role; least recently used ones go first.
+
+    An encoder with ``instructions`` (by role: query, passage) gets them before
+    the texts; for others a text is the same in every role.
+    """
 
     def __init__(self, encoder: Encoder, size: int = 8192) -> None:
         self.encoder, self.size, self.hits, self.misses = encoder, size, 0, 0
-        self.kept: dict[str, np.ndarray] = {}
+        self.instructions: dict[str, str] = getattr(encoder, "instructions", {})
+        self.kept: dict[tuple[str, str], np.ndarray] = {}
 
-    def encode(self, texts: list[str]) -> np.ndarray:
-        new = [t for t in dict.fromkeys(texts) if t not in self.kept]
+    def encode(self, texts: list[str], roles: list[str] | None = None) -> np.ndarray:
+        said = [self.instructions.get(r, "") for r in roles] if roles and self.instructions else [""] * len(texts)
+        keys = list(zip(said, texts, strict=True))
+        new = [k for k in dict.fromkeys(keys) if k not in self.kept]
         self.misses += len(new)
-        self.hits += len(texts) - len(new)
-        fresh = dict(zip(new, self.encoder.encode(new), strict=True)) if new else {}
+        self.hits += len(keys) - len(new)
+        fresh = dict(zip(new, self.encoder.encode([a + t for a, t in new]), strict=True)) if new else {}
         rows = []
-        for t in texts:
-            v = fresh.get(t)
+        for k in keys:
+            v = fresh.get(k)
             if v is None:
-                v = self.kept.pop(t)
-            self.kept[t] = v
+                v = self.kept.pop(k)
+            self.kept[k] = v
             rows.append(v)
         while len(self.kept) > self.size:
             self.kept.pop(next(iter(self.kept)))
         return np.stack(rows) if rows else np.zeros((0, 1), dtype=np.float32)
 
+    def stats(self) -> dict[str, float]:
+        """Texts kept, hits, misses and the share of hits."""
+        asked = self.hits + self.misses
+        return {"size": len(self.kept), "max_size": self.size, "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
+
+
+# ------------------------------------------------------------------- models
+
+#: How public models pool and what they want before a text, by role.
+_E5 = {"pooling": "mean", "query": "query: ", "passage": "passage: "}
+PRESETS = {"intfloat/multilingual-e5-small": _E5, "intfloat/multilingual-e5-base": _E5, "intfloat/multilingual-e5-large": _E5}
+#: Providers of the runtime in order of preference, and the number format each is used with.
+PROVIDERS = [("CUDAExecutionProvider", "float16"), ("CANNExecutionProvider", "float16"), ("CPUExecutionProvider", "float32")]
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    """A model and how it is used; two equal specifications are one model in a process."""
+
+    path: str
+    pooling: str = "cls"
+    query: str = ""
+    passage: str = ""
+    revision: str | None = None
+    provider: str | None = None
+    batch: int = 128
+    max_length: int = 128
+
+    @classmethod
+    def of(cls, path: str, **own: Any) -> ModelSpec:
+        """What the model's preset says, its name being the end of the path; arguments win."""
+        last = path.replace("\\", "/").rstrip("/").rpartition("/")[2]
+        preset = next((p for name, p in PRESETS.items() if name == path or name.rpartition("/")[2] == last), {})
+        return cls(path, **{**preset, **{k: v for k, v in own.items() if v is not None}})
+
+
+#: Texts to token vectors (texts x tokens x dims) and their mask.
+Forward = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def onnx_forward(spec: ModelSpec) -> Forward:
+    """The model and tokenizer of a folder (``model.onnx``, ``tokenizer.json``); an OSError if they are not there."""
+    import os
+
+    files = [os.path.join(spec.path, name) for name in ("model.onnx", "tokenizer.json")]
+    for f in files:
+        if not os.path.isfile(f):
+            raise FileNotFoundError(f)
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(files[1])
+    tokenizer.enable_truncation(spec.max_length)
+    tokenizer.enable_padding()
+    session = onnxruntime.InferenceSession(files[0], providers=[spec.provider or provider(onnxruntime.get_available_providers())[0]])
+    inputs = {i.name for i in session.get_inputs()}
+
+    def forward(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = tokenizer.encode_batch(texts)
+        ids, mask = (np.array([getattr(c, n) for c in coded], dtype=np.int64) for n in ("ids", "attention_mask"))
+        every = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return session.run(None, {n: v for n, v in every.items() if n in inputs})[0].astype(np.float32), mask
+
+    return forward
+
+
+def provider(available: list[str]) -> tuple[str, str]:
+    """The preferred provider among those available, and its number format."""
+    return next(((p, f) for p, f in PROVIDERS if p in available), PROVIDERS[-1])
+
+
+class ModelEncoder:
+    """A model as an encoder: micro-batches, pooling, unit vectors. Travels to executors as its specification."""
+
+    def __init__(self, spec: ModelSpec, loader: Callable[[ModelSpec], Forward] = onnx_forward) -> None:
+        if spec.pooling not in ("mean", "cls") or spec.batch <= 0 or spec.max_length <= 0:
+            raise ValueError("pooling must be 'mean' or 'cls', batch and length positive")
+        self.spec, self.loader, self.name = spec, loader, spec.path
+        self.instructions = {"query": spec.query, "passage": spec.passage}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        forward = _forward(self.spec, self.loader)
+        return np.concatenate([pooled(*forward(texts[i : i + self.spec.batch]), self.spec.pooling) for i in range(0, len(texts), self.spec.batch)]).astype(np.float32)
+
+
+_models: dict[tuple[ModelSpec, Any], Forward] = {}
+
+
+def _forward(spec: ModelSpec, loader: Callable[[ModelSpec], Forward]) -> Forward:
+    if (spec, loader) not in _models:
+        _models[spec, loader] = loader(spec)
+    return _models[spec, loader]
+
+
+def load_encoder(path: str, *, loader: Callable[[ModelSpec], Forward] = onnx_forward, **own: Any) -> ModelEncoder | None:
+    """The encoder of a model, loaded once per process; None if it can't be read, so that scoring falls back to words."""
+    encoder = ModelEncoder(ModelSpec.of(path, **own), loader)
+    try:
+        _forward(encoder.spec, loader)
+    except OSError:
+        return None
+    return encoder
+
 
 def encode_texts(texts: DataFrame, encoder: Encoder, *, role_prefix: dict[str, str] | None = None) -> DataFrame:
     """``role, text, embedding`` of the distinct (role, text): each is encoded once, then joined by its users.
@@ -136,7 +246,7 @@ def encode_texts(texts: DataFrame, encoder: Encoder, *, role_prefix: dict[str, s
     before the texts of a role. Null texts are left out.
     """
     unique = texts.select("role", "text").filter("text is not null").distinct()
-    prefix = role_prefix or {}
+    prefix = role_prefix or getattr(encoder, "instructions", {})
     schema = T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,14 @@ edges, and each rule gives check rows that are counted per trajectory.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import text as X
-from trailmark.functions.payloads import stable_json
+from trailmark.functions.payloads import redact_json, stable_json
 from trailmark.functions.tools import Call, Handler, handler_name, semantics
 from trailmark.operators.sequences import running, with_previous
 from trailmark.plans.delivery import latest_delivery
@@ -33,6 +34,13 @@ class ValidationConfig:
     require_node_ids: bool = True
     require_start: bool = True
     require_terminal: bool = True
+    max_field_chars: int = 2000
+
+    def __post_init__(self) -> None:
+        if not self.trusted_sources or not set(self.trusted_sources) <= set(SOURCES):
+            raise ValueError("trusted sources must be some of the known ones")
+        if self.max_field_chars <= 0:
+            raise ValueError("max_field_chars must be positive")
 
 
 def current_events(raw: DataFrame) -> DataFrame:
@@ -171,6 +179,12 @@ def violations(checked: DataFrame) -> DataFrame:
     return checked.filter(~F.col("passed")).select("traj_id", "reason").distinct()
 
 
+def ambiguous(moves: DataFrame) -> DataFrame:
+    """``traj_id, visit, warning`` of transitions that several edges serve and none is asked for; ``moves`` is :func:`transitions`."""
+    some = moves.filter((F.col("n_edges") > 1) & F.col("kind").isNull())
+    return some.select("traj_id", "visit", F.concat(F.lit("ambiguous_transition:"), "prev_node_id", F.lit("->"), "node_id").alias("warning"))
+
+
 def state_observations(known: DataFrame, raw: DataFrame) -> DataFrame:
     """``traj_id, node_id, occ, before, after``: per visit the first non-empty state before and the last after.
 
@@ -216,11 +230,24 @@ def rendered(events: DataFrame, *, max_field_chars: int = 2000) -> DataFrame:
     return events.select("traj_id", "ord", body.alias("text"))
 
 
-def adapted(calls: DataFrame, custom: dict[str, Handler] | None = None, *, trusted: bool = False) -> DataFrame:
-    """Tool calls as events: handler, action, evidence, outcome, status; source and trust are the adapter's."""
+#: Which node a call and its meaning (``action, evidence, outcome, status``) belong to.
+NodeResolver = Callable[[Call, Column], Column]
+
+
+def adapted(calls: DataFrame, custom: dict[str, Handler] | None = None, *, trusted: bool = False, redact: bool = True, resolver: NodeResolver | None = None) -> DataFrame:
+    """Tool calls as events in the columns of an event table, and their ``handler``.
+
+    Source and trust are the adapter's, never the call's. Inputs, outputs and
+    metadata lose what their sensitive keys hold unless ``redact`` is off. A
+    ``resolver`` replaces the nodes of the calls. States that ``calls`` lacks are null.
+    """
     call = Call.of()
     named = calls.withColumn("handler", handler_name(call, custom)).withColumn("x", semantics(call, F.col("handler"), custom))
+    shown = (lambda c: redact_json(F.col(c))) if redact else F.col
+    given = lambda c: F.col(c) if c in calls.columns else F.lit(None).cast("string")
     return named.select(
-        "traj_id", "ord", F.col("call_id").alias("event_id"), "node_id", "occurrence", "tool_name", "handler", "x.action", "x.evidence", "x.outcome", "x.status",
-        F.lit("runtime").alias("source"), F.lit(trusted).alias("trusted"), "transition_kind",
+        "traj_id", "ord", F.col("call_id").alias("event_id"), "x.action", (resolver(call, F.col("x")) if resolver else X.optional(F.col("node_id"))).alias("node_id"), "occurrence",
+        "x.evidence", "x.outcome", "x.status", F.lit("runtime").alias("source"), F.lit(trusted).alias("trusted"), F.lower(X.optional(F.col("transition_kind"))).alias("transition_kind"),
+        "tool_name", shown("arguments").alias("tool_input"), shown("output").alias("tool_output"), given("state_before").alias("state_before"), given("state_after").alias("state_after"),
+        shown("metadata").alias("metadata"), "handler",
     )

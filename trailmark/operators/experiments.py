@@ -57,3 +57,27 @@ def episode_summary(episodes: DataFrame) -> DataFrame:
         F.avg("process_reward").alias("mean_process_reward"), F.avg("total_reward").alias("mean_total_reward"), F.avg("turns").alias("mean_turns"),
         F.avg((F.col("invalid_transitions") > 0).cast("double")).alias("invalid_transition_rate"), F.avg("wall_time_seconds").alias("mean_wall_time_seconds"),
     )
+
+
+#: What the nodes of a layered workflow ask for: on the path that is taken, and beside it.
+TAKEN = ["reproduce the reported crash", "narrow the search to one module", "rewrite the guilty branch", "run the regression suite", "compare both traces"]
+BESIDE = ["translate the manual", "rotate the access keys", "plan the next sprint", "resize the cluster", "archive old tickets"]
+
+
+def layered_workflow(branches: int, layers: int, name: str = "layered") -> tuple[dict, str]:
+    """A workflow of full layers between a start and an end, and a response that follows its first branch.
+
+    It has branches ** layers terminal paths; benchmarks hold alignment along
+    the graph against trying them all.
+    """
+    if branches < 2 or layers < 1:
+        raise ValueError("a layered workflow has at least two branches and one layer")
+    node = lambda i, action: {"id": i, "action": [action], "stage": "default", "required": True, "evidence": None, "outcome": None, "weight": 1.0, "max_visits": 1,
+                              "preconditions": None, "postconditions": None}
+    grid = [[f"l{y}b{x}" for x in range(branches)] for y in range(layers)]
+    levels = [["start"], *grid, ["done"]]
+    text = {"start": "read the report", "done": "close the report"}
+    text |= {i: f"{(BESIDE if x else TAKEN)[(x + y) % 5]} in round {y}" for y, row in enumerate(grid) for x, i in enumerate(row)}
+    edges = [{"source": a, "target": b, "kind": "alternative" if b != "done" else "forward", "max_traversals": 1} for up, down in zip(levels, levels[1:], strict=False) for a in up for b in down]
+    spec = {"name": name, "nodes": [node(i, text[i]) for row in levels for i in row], "edges": edges, "start": "start", "terminals": ["done"], "stage_weights": {}}
+    return spec, " Some other words stand here and tell nothing. ".join(f"{text[row[0]]}." for row in levels)

@@ -31,7 +31,7 @@ def with_previous(df: DataFrame, seq: str, order: str, columns: list[str], *, ch
     return out.withColumn("has_prev", F.col("__p").isNotNull()).drop("__chunk", "__lag", "__seq", "__c", "__carry", "__p")
 
 
-def running(df: DataFrame, keys: list[str], order: str, name: str, kind: str, value: Column, *, chunk: int = CHUNK) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, name: str, kind: str, value: Column, *, chunk: float = CHUNK) -> DataFrame:
     """Add ``name``: the running sum or maximum (``kind``) of ``value`` up to and including each row."""
     if kind not in ("sum", "max"):
         raise ValueError("kind must be 'sum' or 'max'")

@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.api import compute_scores
 from trailmark.functions import text as X
 from trailmark.functions.payloads import redact_json, resolver
 from trailmark.functions.tools import Call, handler_name, semantics
-from trailmark.operators import align, embed, events, experiments, quality, windows
+from trailmark.operators import align, embed, events, experiments, quality, traces, windows
 from trailmark.operators import workflow as wf
 from trailmark.operators.confidence import assess
-from trailmark.operators.sequences import running, with_previous
+from trailmark.operators.sequences import running
 from trailmark.plans.delivery import latest_delivery
-from trailmark.plans.sizing import spread
+from trailmark.plans.shared import write_shared
+from trailmark.plans.sizing import broadcast_if_small, spread
 from trailmark.sources.readers import read_rlvr
 from trailmark.sql import SQL as _SQL
-from trailmark.streaming import traces
+from trailmark.streaming import traces as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CONCEPT_SCORER = align.ScorerConfig(threshold=0.45)
+#: The workflow that the samples of a domain follow.
+DOMAIN_WORKFLOW = {"defect": "defect_loop", "browser": "web_booking", "research": "literature_scan", "datafix": "table_repair", "release": "release_train"}
 #: More windows than any text has.
 NO_CAP = 2**31 - 1
 #: For rendered attempts, which may be long.
@@ -212,7 +215,9 @@ def linear_score(spark, folder):
 
 @query
 def coarse_to_fine(spark, folder):
-    return _scored(spark, folder).groupBy("result.method").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("result.match_rate")).alias("mean_match_rate"))
+    """Which pass decides each score, and what it matches."""
+    r = _scored(spark, folder)
+    return r.select("id", "result.method", F.size("result.path").alias("n_matched"), r6("result.mean_matched_sim").alias("mean_matched_sim"), r6("result.min_matched_sim").alias("min_matched_sim"))
 
 
 @query
@@ -293,11 +298,16 @@ def lexical_fallback(spark, folder):
     return with_steps(spark, folder).select("id", r6(X.label_share(X.strip(F.coalesce("response", F.lit(""))), F.col("steps"))).alias("share"))
 
 
+def _final(got: DataFrame) -> DataFrame:
+    """The flat columns of compute_scores, rounded, lists as text."""
+    lists = {c: F.array_join(c, "; ") for c in ("reasons", "matched_steps", "unmatched_steps", "step_tiers")}
+    return got.withColumns(lists | {c: r6(c) for c in ("score", "semantic_score", "match_rate", "order_rate", "repetition_rate", "penalty", "confidence")})
+
+
 @query
 def final_scores(spark, folder):
     """Training rows end to end."""
-    got = compute_scores(read_rlvr(spark, f"{folder}/rlvr_rows.parquet"), scorer=CONCEPT_SCORER)
-    return got.withColumn("reasons", F.array_join("reasons", "; ")).withColumns({c: r6(c) for c in ("score", "semantic_score", "match_rate", "order_rate", "repetition_rate", "penalty", "confidence")})
+    return _final(compute_scores(spread(read_rlvr(spark, f"{folder}/rlvr_rows.parquet")), scorer=CONCEPT_SCORER)).drop("workflow")
 
 
 @query
@@ -307,6 +317,46 @@ def final_scores_lexical(spark, folder):
     return got.select("row_id", r6("score").alias("score"), r6("match_rate").alias("match_rate"), "fallback", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def _workflow_of(identifier: Column) -> Column:
+    """The workflow that the samples of a domain follow; the domain is what an id begins with."""
+    named = F.when(F.lit(False), "")
+    for domain, workflow in DOMAIN_WORKFLOW.items():
+        named = named.when(F.substring_index(identifier, "-", 1) == domain, workflow)
+    return named
+
+
+def _flow(got: DataFrame, key: str) -> DataFrame:
+    w = F.col("workflow")
+    return got.select(
+        key, r6("score").alias("score"), r6("semantic_score").alias("semantic_score"), r6("match_rate").alias("coverage"), r6("order_rate").alias("order_rate"), r6("confidence").alias("confidence"),
+        "fallback", F.array_join("reasons", "; ").alias("reasons"), F.array_join(w["best_path"], ">").alias("path"), w["state_gate_passed"].alias("state_gate_passed"), w["trace"]["valid"].alias("trace_valid"),
+    )
+
+
+@query
+def workflow_final_scores(spark, folder):
+    """Training rows that carry the workflow of their domain."""
+    rows = spread(read_rlvr(spark, f"{folder}/rlvr_rows.parquet")).withColumn("w", _workflow_of(F.get_json_object("extra_info", "$.sample_id")))
+    specs = _specs(spark, folder).select(F.col("workflow").alias("w"), "spec")
+    carried = rows.join(F.broadcast(specs), "w", "left")  # a row per workflow
+    extra = F.when(F.col("spec").isNull(), F.col("extra_info")).otherwise(F.concat(F.lit('{"workflow_ground_truth": '), "spec", F.lit("}")))
+    return _flow(compute_scores(carried.withColumn("extra_info", extra), scorer=CONCEPT_SCORER), "row_id")
+
+
+@query
+def tool_call_scores(spark, folder):
+    """Tool calls as training rows carry them, fifty places of a trajectory to a row, along the workflow they name."""
+    calls = _calls(spark, folder).withColumn("block", F.floor(F.col("ord") / 50))
+    record = F.struct("ord", "call_id", "tool_name", "arguments", "output", "error", "exit_code", "node_id", "occurrence", "transition_kind", "state_before", "state_after", "metadata")
+    # a call of a place comes once or twice, so a row has a bounded number of calls
+    per = calls.groupBy("traj_id", "block").agg(F.array_sort(F.collect_list(record)).alias("calls"), F.min(F.get_json_object("metadata", "$.workflow")).alias("w"))
+    specs = _specs(spark, folder).select(F.col("workflow").alias("w"), "spec")
+    named = per.join(F.broadcast(specs), "w")
+    extra = F.concat(F.lit('{"tool_adapter_config": {"trusted_runtime": true}, "workflow_ground_truth": '), "spec", F.lit(', "tool_calls": '), F.to_json("calls"), F.lit("}"))
+    rows = named.select(F.concat_ws("#", "traj_id", F.col("block").cast("string")).alias("row_id"), extra.alias("extra_info"), F.lit(None).cast("string").alias("ground_truth"), F.lit("").alias("solution_str"))
+    return _flow(compute_scores(rows.repartition(spark.sparkContext.defaultParallelism), scorer=CONCEPT_SCORER), "row_id")
+
+
 # --------------------------------------------------------------- tool calls
 
 
@@ -339,8 +389,9 @@ def redact(spark, folder):
 
 @query
 def adapted_events(spark, folder):
-    """Tool calls as runtime events, by status and family."""
-    return events.adapted(_calls(spark, folder), trusted=True).groupBy("handler", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Tool calls as runtime events with redacted payloads."""
+    e = events.adapted(_calls(spark, folder), trusted=True)
+    return e.select("traj_id", "ord", "event_id", "handler", "action", "evidence", "outcome", "status", "source", "trusted", "node_id", "occurrence", "transition_kind", "tool_input", "state_after")
 
 
 # ------------------------------------------------------------------- events
@@ -394,6 +445,12 @@ def transition_counts(spark, folder):
     return t.filter("edge_index is not null").groupBy("workflow", F.col("edge_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def ambiguous_transitions(spark, folder):
+    moves = events.transitions(events.visits(_known(spark, folder)), read(spark, folder, "workflow_edges"))
+    return events.ambiguous(moves).select("traj_id", F.col("visit").cast("long").alias("visit"), "warning")
+
+
 @query
 def visit_limits(spark, folder):
     v = events.visits(_known(spark, folder)).groupBy("traj_id", "workflow", "node_id").agg(F.count(F.lit(1)).alias("visits"))
@@ -423,10 +480,11 @@ def trace_validity(spark, folder):
 def potential_shaping(spark, folder):
     """Share of a workflow's nodes seen so far as potential, and its shaped increments."""
     known = _known(spark, folder)
-    first = Window.partitionBy("traj_id", "node_id")
+    first = known.groupBy(F.col("traj_id").alias("t"), F.col("node_id").alias("n")).agg(F.min("ord").alias("o"))
+    here = (F.col("traj_id") == F.col("t")) & (F.col("node_id") == F.col("n")) & (F.col("ord") == F.col("o"))
     total = read(spark, folder, "workflow_nodes").groupBy(F.col("workflow").alias("w")).agg(F.count(F.lit(1)).alias("nodes"))
-    marked = known.withColumn("new", (F.col("ord") == F.min("ord").over(first)).cast("long"))
-    seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new")).join(F.broadcast(total), F.col("workflow") == F.col("w"))
+    marked = known.join(first, here, "left").withColumn("new", F.col("o").isNotNull().cast("long")).drop("t", "n", "o")
+    seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new")).join(broadcast_if_small(total), F.col("workflow") == F.col("w"))
     out = wf.shaped(seen.withColumn("potential", F.col("seen") / F.col("nodes")), "traj_id", "ord", gamma=0.9)
     return out.select("traj_id", "ord", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"))
 
@@ -436,7 +494,7 @@ def attempts(spark, folder):
     """Trajectories cut where their workflow starts again: the unit in which long ones are scored."""
     v = events.visits(_known(spark, folder))
     starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
-    marked = v.join(F.broadcast(starts), F.col("workflow") == F.col("w"))
+    marked = v.join(broadcast_if_small(starts), F.col("workflow") == F.col("w"))
     cut = running(marked, ["traj_id"], "visit", "attempt", "sum", (F.col("node_id") == F.col("start")).cast("long"))
     return cut.groupBy("traj_id", "attempt").agg(F.count(F.lit(1)).alias("visits"), F.sum("n_events").alias("events"), F.min("first_ord").alias("first_ord"))
 
@@ -449,6 +507,22 @@ def schema_problems(spark, folder):
     return wf.schema_problems(*_graph(spark, folder))
 
 
+@query
+def schema_faults(spark, folder):
+    """What is found in the workflows once each rule is broken somewhere."""
+    nodes, edges, defs = _graph(spark, folder)
+    at = lambda c, k, bad: F.when(F.col(f"{'edge' if c in ('kind', 'max_traversals', 'source', 'target') else 'node'}_index") == k, bad).otherwise(F.col(c))
+    nodes = nodes.withColumns({
+        "weight": at("weight", 1, F.lit(-1.0)), "max_visits": at("max_visits", 2, F.lit(0)), "action": at("action", 3, F.array(F.lit(" "))), "id": at("id", 4, F.concat(F.lit("gone-"), "id")),
+        "required": F.when(F.col("workflow") == "defect_loop", F.lit(False)).otherwise(F.col("required")),
+    })
+    nodes = nodes.unionByName(nodes.filter("node_index = 0"))
+    edges = edges.withColumns({"kind": at("kind", 0, F.lit("jump")), "max_traversals": at("max_traversals", 1, F.lit(0)), "target": at("target", 2, F.lit("nowhere"))})
+    named = F.col("name") == "web_booking"
+    defs = defs.withColumns({"start": F.when(named, "nowhere").otherwise(F.col("start")), "terminals": F.when(named, F.array().cast("array<string>")).otherwise(F.col("terminals"))})
+    return wf.schema_problems(nodes, edges, defs)
+
+
 @query
 def reachability(spark, folder):
     _, edges, defs = _graph(spark, folder)
@@ -489,16 +563,9 @@ def contract_weights(spark, folder):
     return wf.contract_weights(read(spark, folder, "workflow_nodes")).withColumn("weight", r6("weight"))
 
 
-#: The workflow that the samples of a domain follow.
-DOMAIN_WORKFLOW = {"defect": "defect_loop", "browser": "web_booking", "research": "literature_scan", "datafix": "table_repair", "release": "release_train"}
-
-
 def _rewards(spark, folder):
     rows = samples(spark, folder).withColumn("domain", F.substring_index("id", "-", 1))
-    named = F.when(F.lit(False), "")
-    for domain, workflow in DOMAIN_WORKFLOW.items():
-        named = named.when(F.col("domain") == domain, workflow)
-    return wf.score_workflows(rows, ["id", "domain"], F.col("response"), named, _specs(spark, folder), scorer=CONCEPT_SCORER)
+    return wf.score_workflows(rows, ["id", "domain"], F.col("response"), _workflow_of(F.col("id")), _specs(spark, folder), scorer=CONCEPT_SCORER)
 
 
 @query
@@ -509,44 +576,56 @@ def workflow_score(spark, folder):
 
 @query
 def node_rewards(spark, folder):
-    n = _rewards(spark, folder).select("domain", F.explode("reward.node_scores").alias("x"))
-    return n.groupBy("domain", "x.visit").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x.score"), 4).alias("mean_score"))
+    """The reward of every visit on the best path of a sample."""
+    n = _rewards(spark, folder).select("id", F.posexplode("reward.node_scores").alias("place", "x"))
+    return n.select("id", "place", "x.visit", r6("x.score").alias("score"), r6("x.state").alias("state"))
 
 
 @query
 def stage_rewards(spark, folder):
-    s = _rewards(spark, folder).select("domain", F.explode("reward.stages").alias("x"))
-    return s.groupBy("domain", "x.stage").agg(F.round(F.avg("x.required"), 4).alias("mean_required"), F.round(F.avg("x.optional"), 4).alias("mean_optional"))
+    s = _rewards(spark, folder).select("id", F.explode("reward.stages").alias("x"))
+    return s.select("id", "x.stage", r6("x.required").alias("required"), r6("x.optional").alias("optional"))
 
 
-@query
-def trace_rewards(spark, folder):
-    """Rendered attempts scored along their workflow on all their windows: a reward per attempt, so no trajectory is one group."""
+def _attempts(spark, folder):
+    """The events of every attempt; a trajectory of any length is many of them."""
     raw = _events(spark, folder)
     known = events.known_events(raw, read(spark, folder, "workflow_nodes"))
-    starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
-    linked = with_previous(known.join(F.broadcast(starts), F.col("workflow") == F.col("w")), "traj_id", "ord", ["node_id"])
-    again = (F.col("node_id") == F.col("start")) & (~F.col("has_prev") | (F.col("prev_node_id") != F.col("node_id")))
-    cut = running(linked, ["traj_id"], "ord", "attempt", "sum", again.cast("long"))
-    text = events.rendered(raw).select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), "text")
-    both = cut.select("traj_id", "ord", "workflow", "attempt").join(text, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o")))
-    # an attempt holds the events of one passage through the workflow
-    whole = both.groupBy("traj_id", "attempt", "workflow").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
-    # few bytes but much work per attempt: as many tasks as there are cores
-    ready = whole.withColumn("response", F.array_join("x.text", "\n")).repartition(spark.sparkContext.defaultParallelism)
-    scored = wf.score_workflows(ready, ["traj_id", "attempt"], F.col("response"), F.col("workflow"), _specs(spark, folder), scorer=ATTEMPT_SCORER)
-    return scored.select("traj_id", "attempt", r6("reward.required_coverage").alias("required_coverage"), r6("reward.order_rate").alias("order_rate"))
+    return traces.collected_events(raw, traces.attempts(raw, known, read(spark, folder, "workflow_defs")))
+
+
+@query
+def trace_walks(spark, folder):
+    """How every attempt fares in its workflow."""
+    w = traces.validate_traces(_attempts(spark, folder), ["traj_id", "attempt", "part"], _specs(spark, folder))
+    t = F.col("trace")
+    return w.select("traj_id", "attempt", "part", *[t[c].alias(c) for c in ("total_events", "trusted_events", "checks_passed", "checks_total", "valid", "terminal_reached")],
+                    F.array_join(t["occurrence_path"], ">").alias("path"), F.size(t["warnings"]).alias("n_warnings"))
+
+
+@query
+def trace_rewards(spark, folder):
+    """Attempts validated, rendered, scored along their workflow on all their windows, and gated."""
+    scored = traces.score_traces(_attempts(spark, folder), ["traj_id", "attempt", "part"], _specs(spark, folder), scorer=ATTEMPT_SCORER, config=wf.WorkflowConfig(hard_trace_gate=False))
+    r = F.col("reward")
+    return scored.select("traj_id", "attempt", "part", r6(r["score"]).alias("score"), r6(r["required_coverage"]).alias("required_coverage"), r6(r["order_rate"]).alias("order_rate"),
+                         r6(r["state_score"]).alias("state_score"), r["trace"]["valid"].alias("valid"), r6(r["trace"]["validity"]).alias("validity"),
+                         F.array_join(r["trace"]["violations"], "; ").alias("violations"))
+
+
+@query
+def event_potentials(spark, folder):
+    """How far each event carries its attempt along the workflow."""
+    out = traces.event_potentials(_attempts(spark, folder), ["traj_id", "attempt"], _specs(spark, folder), scorer=ATTEMPT_SCORER, gamma=0.9)
+    return out.select("traj_id", "attempt", "ord", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"), "valid", r6("validity").alias("validity"))
 
 
 @query
 def turn_potentials(spark, folder):
     """Potentials of the paragraphs of a response as turns."""
-    rows = samples(spark, folder).filter("response is not null").withColumn("domain", F.substring_index("id", "-", 1))
-    named = F.when(F.lit(False), "")
-    for domain, workflow in DOMAIN_WORKFLOW.items():
-        named = named.when(F.col("domain") == domain, workflow)
+    rows = samples(spark, folder).filter("response is not null")
     turns = F.filter(F.split("response", "\n\n+"), lambda t: X.strip(t) != "")
-    out = wf.turn_potentials(rows, ["id"], turns, named, _specs(spark, folder), scorer=CONCEPT_SCORER)
+    out = wf.turn_potentials(rows, ["id"], turns, _workflow_of(F.col("id")), _specs(spark, folder), scorer=CONCEPT_SCORER)
     return out.select("id", "turn", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"))
 
 
@@ -587,6 +666,19 @@ def subtype_report(spark, folder):
     return r.select("subtype", "count", *[r6(c).alias(c) for c in r.columns if c not in ("subtype", "count")])
 
 
+@query
+def quality_report(spark, folder):
+    """The whole report: word matches as scores, their routing, folded words as the lexical baseline."""
+    rows = assess(_lexical(spark, folder), "result", "response", "steps", "j")
+    out = rows.select(
+        "label", "subtype", "pair_id", F.col("result.match_rate").alias("score"), X.lexical_coverage(F.col("response"), F.col("steps")).alias("lexical_score"),
+        F.col("j.confidence").alias("confidence"), F.col("j.fallback").alias("fallback"), (~F.coalesce("j.has_trace", F.lit(False))).alias("trace_denied"),
+    )
+    # every block reads the same few columns
+    narrow = write_shared(out.withColumn("trusted_score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score"))), "report")
+    return quality.report(narrow).withColumn("value", r6("value"))
+
+
 @query
 def top_n_scores(spark, folder):
     """The twenty best samples; the limit is the report."""
@@ -600,9 +692,33 @@ def denied_steps(spark, folder):
     return rows.select("id", F.explode("result.matched_steps").alias("step"))
 
 
+@query
+def gated_paths(spark, folder):
+    """Steps that the path without the evidence gate matches and the one with it doesn't."""
+    keep = ["id", "response", "reference_steps"]
+    rows = samples(spark, folder)
+    free = align.score_samples(rows, keep, F.col("response"), F.col("reference_steps"), CONCEPT_SCORER)
+    gated = align.ScorerConfig(threshold=0.45, require_trace=True)
+    both = align.score_samples(free.withColumnRenamed("result", "free"), ["id", "reference_steps", "free"], F.col("response"), F.col("reference_steps"), gated)
+    return both.select("id", F.explode(quality.denied_steps(F.col("free"), F.col("result"), X.normalized_steps(F.col("reference_steps")))).alias("x")).select("id", "x.step", "x.label")
+
+
 # -------------------------------------------------------------- experiments
 
 
+@query
+def layered_workflows(spark, folder):
+    """Alignment along the graph against all paths, on layered workflows."""
+    import json
+
+    rows, encode = [], embed.Cached(embed.NgramEncoder()).encode
+    for branches, layers in ((2, 2), (2, 5), (3, 3), (4, 2)):
+        spec, text = experiments.layered_workflow(branches, layers)
+        got = [wf.score_workflow(encode, json.dumps(spec), text, {}, ATTEMPT_SCORER, wf.WorkflowConfig(mode=mode)) for mode in ("graph", "enumerate")]
+        rows.append((branches, layers, got[1]["candidate_paths"], got[0]["graph_states"], got[0]["graph_transitions"], got[0]["best_path"] == got[1]["best_path"]))
+    return spark.createDataFrame(rows, "branches int, layers int, paths int, states int, transitions int, agree boolean")
+
+
 @query
 def episode_summary(spark, folder):
     s = experiments.episode_summary(read(spark, folder, "episodes"))
@@ -631,8 +747,8 @@ def token_rewards(spark, folder):
 @query
 def stream_counts(spark, folder):
     """Different places per hour and workflow, by Structured Streaming."""
-    out = traces.counts(traces.event_stream(spark, f"{folder}/trace_events.parquet"))
-    return traces.drained(spark, out, "counts").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "workflow", "n")
+    out = streams.counts(streams.event_stream(spark, f"{folder}/trace_events.parquet"))
+    return streams.drained(spark, out, "counts").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "workflow", "n")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.functions.text import coerced_label
+from trailmark.functions.tools import record
+
 SAMPLE = "id string, response string, reference_steps array<array<string>>, label int, subtype string, pair_id string"
+#: The spellings of a label.
+LABELS = ["1", "true", "positive", "genuine", "0", "false", "negative", "hard_negative"]
 EVENT = (
     "event_id string, id string, action string, node_id string, occurrence int, evidence string, outcome string, status string, source string, trusted boolean, "
     "transition_kind string, tool_name string, tool string, tool_input string, tool_output string, state_before string, state_after string, metadata string"
@@ -24,8 +29,9 @@ WORKFLOW = (
 def read_samples(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """Labelled samples from JSON lines, or from a ``.json`` file whose root is a list.
 
-    Strict reading fails on a row that does not fit; lenient reading leaves out
-    rows without a response or steps. A scalar step becomes one candidate. Rows
+    Strict reading fails on a row that does not fit or has an unknown label;
+    lenient reading leaves out rows without a response or steps (:func:`skipped`
+    counts them) and drops unknown labels. A scalar step becomes one candidate. Rows
     without an id are named by their position, a missing subtype is ``unspecified``.
     """
     reader = spark.read.schema("id string, response string, reference_steps array<string>, label string, subtype string, pair_id string")
@@ -36,17 +42,23 @@ def read_samples(spark: SparkSession, path: str, *, strict: bool = True) -> Data
     rows = raw.withColumn("reference_steps", F.transform("reference_steps", step))
     if not strict:
         rows = rows.filter("response is not null and reference_steps is not null")
-    label = F.lower("label")
+    known = F.lower("label").isin(*LABELS)
     return rows.select(
         F.coalesce("id", F.concat(F.lit("sample-"), F.monotonically_increasing_id().cast("string"))).alias("id"),
         "response",
         "reference_steps",
-        F.when(label.isin("1", "true", "positive", "genuine"), 1).when(label.isin("0", "false", "negative", "hard_negative"), 0).alias("label"),
+        (coerced_label(F.col("label")) if strict else F.when(known, coerced_label(F.when(known, F.col("label"))))).alias("label"),
         F.coalesce("subtype", F.lit("unspecified")).alias("subtype"),
         "pair_id",
     )
 
 
+def skipped(spark: SparkSession, path: str) -> DataFrame:
+    """``rows, skipped``: how many rows a lenient reading of :func:`read_samples` leaves out."""
+    raw = spark.read.schema("response string, reference_steps array<string>").option("multiLine", path.endswith(".json")).json(path)
+    return raw.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("response").isNull() | F.col("reference_steps").isNull(), 1)).alias("skipped"))
+
+
 def append_samples(own: DataFrame, extra: DataFrame, subtype: str = "external") -> DataFrame:
     """Both tables' rows; columns that one lacks are null, a missing subtype of the extra rows is filled."""
     return own.unionByName(extra.withColumn("subtype", F.coalesce("subtype", F.lit(subtype))), allowMissingColumns=True)
@@ -99,6 +111,23 @@ def read_events(spark: SparkSession, path: str, *, allow_trust: bool = False) ->
     )
 
 
+def read_tool_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Tool calls of one trajectory per JSON line (an array ``tool_calls`` and a ``traj_id``), in the columns of a call table.
+
+    Records may use the names of other runtimes; without an id a call is named
+    by its place. Records without a tool name or with an occurrence below 1 fail.
+    """
+    lines = spark.read.schema("traj_id string, tool_calls array<string>").json(path)
+    each = lines.select("traj_id", F.posexplode("tool_calls").alias("ord", "text"))
+    call, rest = record(F.col("text"), F.col("ord"))
+    ok = (call.tool_name != "") & F.coalesce(rest["occurrence"] > 0, F.lit(True))
+    return each.select(
+        "traj_id", "ord", rest["call_id"].alias("call_id"), F.when(ok, call.tool_name).otherwise(F.raise_error("a tool record has no name or a bad occurrence").cast("string")).alias("tool_name"),
+        call.arguments.alias("arguments"), call.output.alias("output"), call.error.alias("error"), call.exit_code.alias("exit_code"),
+        *[rest[c].alias(c) for c in ("node_id", "occurrence", "transition_kind", "state_before", "state_after")], call.metadata.alias("metadata"),
+    )
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines in one file; reports hold a bounded number of rows."""
     report.coalesce(1).write.mode("overwrite").json(path)

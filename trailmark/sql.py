@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from trailmark.functions.text import EXECUTION, PREPARATION, REASONING
 from trailmark.operators.embed import CONCEPTS
 
@@ -55,6 +57,11 @@ def windows(window: int, stride: int) -> str:
   )"""
 
 
+def _windows_as(prefix: str, window: int, stride: int) -> str:
+    """:func:`windows` without its samples, under other names."""
+    return re.sub(r"\b(texts|sized|wins)\b", rf"{prefix}\1", windows(window, stride)[len(SAMPLES) + 2 :])
+
+
 def kept(cap: int) -> str:
     """The windows that remain of more than ``cap``."""
     return f"""counted as (select *, count(*) over (partition by id) as m from wins),
@@ -227,6 +234,18 @@ CHECKS = f"""{MOVES},
     union all select traj_id, false, 'illegal_transition:' || source || '->' || node_id || coalesce(':' || kind, '') from moves where edge_index is null
     union all select traj_id, taken <= max_traversals, 'edge_traversal_limit_exceeded:' || source || '->' || node_id || ':' || taken || '>' || max_traversals from moves where edge_index is not null)"""
 
+_CHAIN = ["ev", "k0", "k1", "k2", "k3", "k4", "known", "v0", "v1", "visits", "m0", "m1", "moves", "ends", "whole", "checks"]
+_PER_UNIT = re.sub(r"\b(" + "|".join(_CHAIN) + r")\b", r"u_\1", CHECKS[len(EVENTS) :])
+WALKS = f"""{KNOWN}, z0 as (select *, lag(node_id) over (partition by traj_id order by ord) as before from known),
+  z1 as (select e.*, sum(case when z.node_id = d.start and (z.before is null or z.before <> z.node_id) then 1 else 0 end) over (partition by e.traj_id order by e.ord) as attempt
+    from ev e join workflow_defs d on d.name = e.workflow left join z0 z on z.traj_id = e.traj_id and z.ord = e.ord),
+  z2 as (select *, (row_number() over (partition by traj_id, attempt order by ord) - 1) // 1000 as part from z1),
+  units as (select traj_id as traj, attempt, part, traj_id || '#' || attempt || '#' || part as unit, count(*) as n, count(*) filter (where coalesce(trusted and source in ('runtime', 'external'), false)) as trusted from z2 group by all),
+  u_ev as (select * exclude (traj_id, attempt, part), traj_id || '#' || attempt || '#' || part as traj_id from z2){_PER_UNIT},
+  tally as (select traj_id, count(*) filter (where passed) as good, count(*) as all_checks, bool_and(passed) as valid from u_checks group by traj_id),
+  ways as (select traj_id, string_agg(node_id || '#' || occ, '>' order by visit) as path, arg_max(node_id, visit) as last from u_visits group by traj_id),
+  warned as (select traj_id, count(*) as c from u_moves where n_edges > 1 and kind is null group by traj_id)"""
+
 _FILLED = "case when regexp_replace(coalesce({0}, ''), '\\s', '', 'g') in ('', '{{}}', 'null') then null else {0} end"
 
 SQL: dict[str, str] = {
@@ -250,8 +269,10 @@ SQL: dict[str, str] = {
       y as (select id, pos, length({strip("turn_text")}) as k from x), z as (select *, coalesce(sum(k + 1) over (partition by id order by pos rows between unbounded preceding and 1 preceding), 0) as st from y)
       select id, cast(pos as int) as turn, cast(st as int) as start, cast(st + k as int) as "end" from z where k > 0""",
     "cosine_matrix": """select q.vec_id as query_id, e.vec_id, round(list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as cosine
-      from embeddings e join embeddings q on q.vec_id = e.vec_id - e.vec_id % 100""",
-    "embed_distinct": f"with {STEPS}, c as (select distinct unnest(flatten(steps)) as text from stepped) select 'query' as role, md5(text) as text_md5, cast(case when {mask('text')} > 0 then 1.0 else 0.0 end as double) as squared_norm from c",
+      from embeddings q, embeddings e where q.vec_id % 100 = 0 and q.embedding is not null and e.embedding is not null""",
+    "embed_distinct": f"""with recursive {STEPS}, {_windows_as("c_", 128, 64)}, {_windows_as("f_", 48, 24)},
+      said as (select 'query' as role, unnest(flatten(steps)) as text from stepped union all select 'passage', substr(t, s + 1, e - s) from c_wins union all select 'passage', substr(t, s + 1, e - s) from f_wins)
+      select role, md5(text) as text_md5, cast(case when {mask('text')} > 0 then 1.0 else 0.0 end as double) as squared_norm from (select distinct role, text from said)""",
     "candidate_max": f"with recursive {SIMS} select id, cast(step as int) as step, cast(win as int) as win, round(sim, 6) as sim from sims",
     "best_window": f"with recursive {BEST} select id, cast(step as int) as step, cast(win as int) as win, round(sim, 6) as sim from best",
     "match_margin": f"with recursive {BEST} select id, cast(step as int) as step, round(greatest(sim - second, 0.0), 6) as margin from best",
@@ -309,6 +330,12 @@ SQL: dict[str, str] = {
       s1 as (select traj_id, node_id, occ, visit, arg_min(b, ord) filter (where b is not null) as b, arg_max(a, ord) filter (where a is not null) as a from s0 group by all),
       s2 as (select * from s1 where b is not null or a is not null qualify row_number() over (partition by traj_id, node_id, occ order by visit desc) = 1)
       select traj_id, node_id, cast(occ as bigint) as occ, coalesce(b, '{{}}') as before, coalesce(a, '{{}}') as after from s2""",
+    "trace_walks": f"""with {WALKS} select u.traj as traj_id, cast(u.attempt as bigint) as attempt, cast(u.part as bigint) as part, cast(u.n as int) as total_events, cast(u.trusted as int) as trusted_events,
+        cast(t.good as int) as checks_passed, cast(t.all_checks as int) as checks_total, t.valid, coalesce(list_contains(d.terminals, y.last), false) as terminal_reached, coalesce(y.path, '') as path,
+        cast(coalesce(w.c, 0) as int) as n_warnings
+      from units u join tally t on t.traj_id = u.unit left join ways y on y.traj_id = u.unit left join warned w on w.traj_id = u.unit
+      join (select distinct traj_id, workflow from u_ev) e on e.traj_id = u.unit join workflow_defs d on d.name = e.workflow""",
+    "ambiguous_transitions": f"with {MOVES} select traj_id, cast(visit as bigint) as visit, 'ambiguous_transition:' || source || '->' || node_id as warning from moves where n_edges > 1 and kind is null",
     "trace_violations": f"with {CHECKS} select distinct traj_id, reason from checks where not passed",
     "trace_validity": f"with {CHECKS} select traj_id, cast(count(*) filter (where passed) as bigint) as checks_passed, count(*) as checks_total, round(count(*) filter (where passed) / count(*), 6) as validity, bool_and(passed) as valid from checks group by traj_id",
     "potential_shaping": f"""with {KNOWN}, f as (select *, case when ord = min(ord) over (partition by traj_id, node_id) then 1 else 0 end as fresh from known),
