@@ -149,6 +149,82 @@ LABELLED = f"""{ROUTED}, folded as (select *, {fold("coalesce(response, '')")} a
   labelled as (select id, label, subtype, pair_id, confidence, len(reasons) > 0 as fallback, {_FOLDED} as score from folded),
   scored as (select *, case when fallback then 0.0 else score end as trusted_score from labelled)"""
 
+# ------------------------------------------------------------------ alignment
+
+
+def aligned(p: str, window: int, stride: int, threshold: float) -> str:
+    """CTEs ``{p}fit``: the result of one pass of windows over ``inp`` (id, response, steps); single precision as the table has it."""
+    wins = re.sub(r"\b(texts|sized|wins)\b", rf"{p}\1", windows(window, stride)[len(SAMPLES) + 2 :]).replace("from samples", "from inp")
+    caps = re.sub(r"\b(counted|capped|wins)\b", rf"{p}\1", kept(256))
+    t = f"cast({threshold} as float)"
+    return f"""{wins}, {caps},
+  {p}placed as (select id, row_number() over (partition by id order by i) - 1 as win, {mask("substr(t, s + 1, e - s)")} as wm from {p}capped),
+  {p}cands as (select c.id, c.step, c.k, c.c, w.win, cast({cosine("c.cm", "w.wm")} as float) as sim from asked c join {p}placed w on w.id = c.id),
+  {p}sims as (select id, step, win, max(sim) as sim from {p}cands group by all),
+  {p}grid as (select id, step, list(sim order by win) as s, list(case when sim >= {t} then sim else cast(0 as float) end order by win) as g from {p}sims group by id, step),
+  {p}dp as (select id, cast(-1 as bigint) as step, list_transform(any_value(g), lambda x: cast(0 as float)) as d from {p}grid where step = 0 group by id
+    union all
+    select r.id, r.step, list_transform(range(1, len(r.g) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda j:
+        greatest(q.d[j], case when r.g[j] > 0 then (case when j = 1 then cast(0 as float) else q.d[j - 1] end) + r.g[j] else cast(0 as float) end))))
+    from {p}dp q join {p}grid r on r.id = q.id and r.step = q.step + 1),
+  {p}cells as (select r.id, r.step, list_transform(range(1, len(r.g) + 1), lambda j: case
+      when r.g[j] > 0 and (case when j = 1 then cast(0 as float) else u.d[j - 1] end) + r.g[j] >= (case when j = 1 then cast(0 as float) else c.d[j - 1] end)
+        and (case when j = 1 then cast(0 as float) else u.d[j - 1] end) + r.g[j] >= u.d[j] then 1
+      when (case when j = 1 then cast(0 as float) else c.d[j - 1] end) >= u.d[j] then 2 else 3 end) as mv
+    from {p}grid r join {p}dp u on u.id = r.id and u.step = r.step - 1 join {p}dp c on c.id = r.id and c.step = r.step),
+  {p}walk as (select id, max(step) as step, any_value(len(mv)) as j, cast(0 as bigint) as hit_step, cast(0 as bigint) as hit_win, false as hit from {p}cells group by id
+    union all
+    select w.id, case c.mv[w.j] when 2 then w.step else w.step - 1 end, case c.mv[w.j] when 3 then w.j else w.j - 1 end, w.step, w.j, c.mv[w.j] = 1
+    from {p}walk w join {p}cells c on c.id = w.id and c.step = w.step where w.step >= 0 and w.j >= 1),
+  {p}hits as (select w.id, w.hit_step as step, w.hit_win as j, g.s[w.hit_win] as sim,
+      greatest(cast(g.s[w.hit_win] as double) - case when len(g.s) > 1 then greatest(list_max(list_concat(g.s[1 : w.hit_win - 1], g.s[w.hit_win + 1 :])), -1.0) else 0.0 end, 0.0) as margin
+    from {p}walk w join {p}grid g on g.id = w.id and g.step = w.hit_step where w.hit),
+  {p}named as (select h.id, h.step, arg_max(c.c, c.sim * 1000 - c.k) as c, first(c.c order by c.sim desc, c.k) as best from {p}hits h join {p}cands c on c.id = h.id and c.step = h.step and c.win = h.j - 1 group by h.id, h.step),
+  {p}top as (select id, step, list_max(s) as m, list_position(s, list_max(s)) as at from {p}grid),
+  {p}order as (select a.id, case when count(b.step) = 0 then 1.0 else avg(case when a.at < b.at then 1.0 when a.at = b.at then 0.5 else 0.0 end) filter (where b.step is not null) end as rate
+    from {p}top a left join {p}top b on b.id = a.id and a.step < b.step and b.m >= {t} where a.m >= {t} group by a.id),
+  {p}fit as (select n.id, n.steps, len(n.steps) as n_steps, coalesce(h.c, 0) as n_hits, case when len(n.steps) > 0 then coalesce(h.c, 0) / len(n.steps) else 0.0 end as match_rate,
+      case when h.c is null and o.rate is null then 0.0 else coalesce(o.rate, 0.0) end as order_rate, coalesce(h.sim, 0.0) as mean_sim, coalesce(h.low, 0.0) as min_sim, coalesce(h.margin, 0.0) as mean_margin,
+      coalesce(array_to_string(m.names, ' | '), '') as matched, coalesce(m.names, []) as names, list_filter(range(0, len(n.steps)), lambda i: not list_contains(coalesce(h.at, []), i)) as missing
+    from inp n left join (select id, count(*) as c, avg(cast(sim as double)) as sim, min(cast(sim as double)) as low, avg(margin) as margin, list(step) as at from {p}hits group by id) h on h.id = n.id
+    left join (select id, list(best order by step) as names from {p}named group by id) m on m.id = n.id left join {p}order o on o.id = n.id)"""
+
+
+#: ``chosen``: the coarse pass, and the fine one where it misses a step and is not the worse.
+BOTH = f"""asked as (select id, cast(pos as bigint) as step, k, c, {mask("c")} as cm from (select id, pos, unnest(step) as c, generate_subscripts(step, 1) as k from (select *, unnest(steps) as step, generate_subscripts(steps, 1) - 1 as pos from (select id, steps from inp)))),
+  {aligned("c_", 128, 64, 0.45 * 0.9)}, {aligned("f_", 48, 24, 0.45)},
+  chosen as (select case when c.match_rate >= 1.0 then 'coarse' else 'coarse_to_fine' end as method, unnest(case when c.match_rate >= 1.0 or f.match_rate < c.match_rate then c else f end) from c_fit c join f_fit f on f.id = c.id)"""
+SCORED = f"""{STEPS}, inp as (select id, response, steps from stepped), {BOTH}"""
+
+_RAW_TIERS = tiers("s").replace("lambda c: " + tier("c"), "lambda c: " + tier("coalesce(c, '')"))
+#: ``judged``: confidence and reasons of ``base`` (id, response, steps, raw, match_rate, order_rate, mean_sim, mean_margin, n_missing).
+JUDGED = f"""{TOLD.replace("stepped", "inp")},
+  lex as (select s.*, len(list_filter(raw, lambda s: ({_RAW_TIERS}) = 'proxy')) / greatest(len(steps), 1) as proxy, coalesce(t.fraction, 0.0) as told,
+      case when coalesce(response, '') <> '' then {HAS_TRACE} end as traced from base s left join told t on t.id is not distinct from s.id),
+  conf as (select *, greatest(0.0, least(1.0, 0.35 * match_rate + 0.20 * order_rate + 0.25 * greatest(0.0, least(1.0, mean_sim)) + 0.10 * greatest(0.0, least(1.0, mean_margin / 0.05)) + 0.10 * (1.0 - proxy)
+      + case when traced then 0.08 when not traced and match_rate >= 0.8 then -0.15 else 0.0 end - 0.25 * told)) as confidence from lex),
+  judged as (select *, list_filter([
+      case when match_rate < 0.5 then format('low_match_rate ({{:.2f}} < 0.5)', match_rate) end,
+      case when order_rate < 0.25 then format('low_order_rate ({{:.2f}} < 0.25)', order_rate) end,
+      case when n_missing > 1 then 'too_many_unmatched (' || n_missing || ' > 1)' end,
+      case when mean_sim <> 0 and mean_sim < 0.58 then format('weak_mean_sim ({{:.2f}} < 0.58)', mean_sim) end,
+      case when proxy >= 0.6 then format('high_proxy_step_fraction ({{:.2f}})', proxy) end,
+      case when told >= 0.5 then format('intention_step_recitation ({{:.2f}} >= 0.50)', told) end,
+      case when match_rate >= 0.95 and not traced then 'high_match_without_execution_trace' end,
+      case when confidence < 0.5 then format('low_confidence ({{:.2f}} < 0.5)', confidence) end], lambda x: x is not null) as reasons from conf)"""
+
+_RLVR = rf"""r as (select row_id, {strip("reward_model.ground_truth")} as g, coalesce(solution_str, '') as sol from rlvr_rows),
+  p as (select row_id, sol, regexp_matches(sol, '(?s)<think>.*?</think>') as thinks, case when g like '{{%' and json_valid(g) then json_extract_string(g, '$.reference_steps[*]') when g like '[%' and json_valid(g) then json_extract_string(g, '$[*]') else [] end as s,
+    case when g like '{{%' then 'ground_truth.reference_steps' else 'ground_truth' end as src from r),
+  inp as (select row_id as id, src, case when thinks then {strip("substr(sol, strpos(sol, '</think>') + 8)")} else {strip("sol")} end as response,
+    case when thinks then length({strip("regexp_extract(sol, '(?s)<think>(.*?)</think>', 1)")}) else 0 end as think_len,
+    list_transform(list_filter(list_transform(coalesce(s, []), lambda x: {strip("x")}), lambda x: x <> ''), lambda x: [x]) as steps from p)"""
+_REPEATED = f"""pieces as (select id, list_filter(regexp_split_to_array(coalesce(response, ''), '[，,。；;！!？?]|{WS}'), lambda x: length(x) > 3) as x from inp),
+  counted_pieces as (select id, len(x) as n, len(list_distinct(x)) as d, len(list_filter(range(1, len(x)), lambda i: x[i] = x[i + 1])) as c from pieces),
+  repeated as (select id, case when n > 1 then (n - d) / n else 0.0 end as rate,
+    cast(case when n > 1 then -(c * 0.3 + greatest(n - d - c, 0) * 0.1) - (case when d / n < 0.3 then 0.5 else 0.0 end) else 0.0 end as double) as penalty from counted_pieces)"""
+_LABELS = "list_transform(steps, lambda s: array_to_string(s, ' | '))"
+
 # ------------------------------------------------------------------ tool calls
 
 _OBJ = "case when {0} like '{{%' and json_valid({0}) then {0} end"
@@ -246,6 +322,26 @@ WALKS = f"""{KNOWN}, z0 as (select *, lag(node_id) over (partition by traj_id or
   ways as (select traj_id, string_agg(node_id || '#' || occ, '>' order by visit) as path, arg_max(node_id, visit) as last from u_visits group by traj_id),
   warned as (select traj_id, count(*) as c from u_moves where n_edges > 1 and kind is null group by traj_id)"""
 
+def _schema(nodes: str, edges: str, defs: str, before: str = "") -> str:
+    """Everything that breaks the schema in three tables, which ``before`` may define."""
+    rows = [
+        f"select workflow, 'empty_node_id' as problem, cast(node_index as varchar) as item from {nodes} where id is null or trim(id) = ''",
+        f"select workflow, 'empty_action', id from {nodes} where action is null or len(list_filter(action, lambda a: trim(a) <> '')) = 0",
+        f"select workflow, 'bad_weight', id from {nodes} where weight is null or weight <= 0",
+        f"select workflow, 'bad_max_visits', id from {nodes} where max_visits is null or max_visits <= 0",
+        f"select workflow, 'duplicate_node_id', id from {nodes} group by workflow, id having count(*) > 1",
+        f"select workflow, 'unsupported_kind', cast(edge_index as varchar) from {edges} where coalesce(lower(trim(kind)), '') not in ('forward', 'alternative', 'retry', 'recovery', 'rollback')",
+        f"select workflow, 'bad_max_traversals', cast(edge_index as varchar) from {edges} where max_traversals is null or max_traversals <= 0",
+        *(f"select workflow, 'unknown_{c}', {c} from {edges} e where not exists (select 1 from {nodes} n where n.workflow = e.workflow and n.id = e.{c})" for c in ("source", "target")),
+        f"select name, 'unknown_start', start from {defs} d where not exists (select 1 from {nodes} n where n.workflow = d.name and n.id = d.start)",
+        f"select name, 'no_terminal', null from {defs} where coalesce(len(terminals), 0) = 0",
+        f"select d.name, 'unknown_terminal', t.x from {defs} d, unnest(d.terminals) t(x) where not exists (select 1 from {nodes} n where n.workflow = d.name and n.id = t.x)",
+        f"select workflow, 'no_required_node', null from {nodes} group by workflow having not bool_or(required)",
+        f"select name, 'bad_stage_weight', m.e.key from (select name, unnest(map_entries(stage_weights)) as e from {defs}) m where m.e.value <= 0",
+    ]
+    return (f"with {before} " if before else "") + " union all ".join(rows)
+
+
 _FILLED = "case when regexp_replace(coalesce({0}, ''), '\\s', '', 'g') in ('', '{{}}', 'null') then null else {0} end"
 
 SQL: dict[str, str] = {
@@ -288,6 +384,58 @@ SQL: dict[str, str] = {
         from dp join rows1 r on r.id = dp.id and r.step = dp.step),
       last as (select id, arg_max(d[-1], step) as s from dp group by id)
       select s.id, round(coalesce(l.s, 0.0), 3) as alignment_score from samples s left join last l on l.id = s.id""",
+    "linear_score": f"""with recursive {SCORED} select id, round(match_rate * order_rate, 6) as score, round(match_rate, 6) as match_rate, round(order_rate, 6) as order_rate, matched as matched_steps,
+      cast(len(missing) as int) as n_unmatched, method, round(mean_margin, 6) as mean_margin from chosen""",
+    "coarse_to_fine": f"with recursive {SCORED} select id, method, cast(n_hits as int) as n_matched, round(mean_sim, 6) as mean_matched_sim, round(min_sim, 6) as min_matched_sim from chosen",
+    "linear_routing": f"""with recursive {SCORED}, base as (select s.id, s.response, s.steps, coalesce(s.reference_steps, []) as raw, c.match_rate, c.order_rate, c.mean_sim, c.mean_margin, len(c.missing) as n_missing from stepped s join chosen c on c.id = s.id), {JUDGED}
+      select id, round(match_rate * order_rate, 6) as score, round(confidence, 6) as confidence, len(reasons) > 0 as fallback, array_to_string(reasons, '; ') as reasons from judged""",
+    "best_trajectory": f"""with recursive {STEPS}, three as (select id, response, unnest([0, 1, 2]) as k, unnest([steps, list_reverse(steps), steps[2:]]) as way from stepped where len(steps) > 1),
+      inp as (select id || '#' || k as id, response, way as steps from three), {BOTH},
+      ranked as (select t.id, t.k, round(c.match_rate * c.order_rate, 12) as score, round(c.match_rate, 12) as m, round(c.order_rate, 12) as o from three t join chosen c on c.id = t.id || '#' || t.k)
+      select id, cast(arg_max(k, (score, m, o, -k)) as int) as best_index, round(max(score), 6) as score, count(*) as n_trajectories from ranked group by id""",
+    "final_scores": f"""with recursive {_RLVR}, {BOTH}, {_REPEATED}, base as (select i.id, i.response, i.steps, i.steps as raw, c.match_rate, c.order_rate, c.mean_sim, c.mean_margin, len(c.missing) as n_missing from inp i join chosen c on c.id = i.id), {JUDGED},
+      told2 as (select i.*, c.match_rate, c.order_rate, c.names, c.missing, r.rate, r.penalty, j.confidence, j.reasons, len(i.steps) > 0 and i.response <> '' as ok
+        from inp i join chosen c on c.id = i.id join repeated r on r.id = i.id join judged j on j.id = i.id)
+      select id as row_id, round(greatest(match_rate * order_rate + penalty, 0.0), 6) as score, round(match_rate * order_rate, 6) as semantic_score, round(match_rate, 6) as match_rate, round(order_rate, 6) as order_rate,
+        array_to_string(names, '; ') as matched_steps, array_to_string(case when ok then list_transform(missing, lambda i: {_LABELS}[i + 1]) else {_LABELS} end, '; ') as unmatched_steps,
+        array_to_string(list_transform(steps, lambda s: {_RAW_TIERS}), '; ') as step_tiers, case when len(steps) > 0 then src end as steps_source, cast(len(steps) as int) as n_steps, cast(think_len as int) as think_len,
+        round(rate, 6) as repetition_rate, round(penalty, 6) as penalty, round(case when ok then confidence else 0.0 end, 6) as confidence, case when ok then len(reasons) > 0 else true end as fallback,
+        case when ok then array_to_string(reasons, '; ') else 'missing_steps_or_response' end as reasons from told2""",
+    "final_scores_lexical": f"""with {_RLVR}, {_REPEATED},
+      shared as (select i.*, r.penalty, case when len(steps) > 0 and response <> '' then len(list_filter(steps, lambda s: contains(response, {label("s")}))) / len(steps) else 0.0 end as share from inp i join repeated r on r.id = i.id)
+      select id as row_id, round(greatest(share + penalty, 0.0), 6) as score, round(share, 6) as match_rate, true as fallback, case when len(steps) > 0 and response <> '' then 'no_embedding_backend' else 'missing_steps_or_response' end as reasons from shared""",
+    "path_enumeration": """with recursive p as (select name as workflow, [start] as nodes, cast([] as int[]) as edges from workflow_defs
+        union all
+        select p.workflow, list_append(p.nodes, e.target), list_append(p.edges, e.edge_index) from p join workflow_defs d on d.name = p.workflow join workflow_edges e on e.workflow = p.workflow and e.source = p.nodes[-1]
+          join workflow_nodes n on n.workflow = p.workflow and n.id = e.target
+        where not list_contains(d.terminals, p.nodes[-1]) and len(p.nodes) < 64 and len(list_filter(p.edges, lambda x: x = e.edge_index)) < e.max_traversals and len(list_filter(p.nodes, lambda x: x = e.target)) < n.max_visits),
+      q as (select p.workflow, nodes, row_number() over (partition by p.workflow order by edges) - 1 as k, count(*) over (partition by p.workflow) as c from p join workflow_defs d on d.name = p.workflow where list_contains(d.terminals, nodes[-1]))
+      select workflow, cast(k as int) as path_index, array_to_string(nodes, '>') as path, cast(len(nodes) as int) as n_nodes, c > 128 as truncated from q where k < 128""",
+    "graph_unrolling": """with recursive r as (select distinct workflow, source as a, target as b from workflow_edges union select r.workflow, r.a, e.target from r join workflow_edges e on e.workflow = r.workflow and e.source = r.b),
+      loops as (select e.* from workflow_edges e where e.source = e.target or exists (select 1 from r where r.workflow = e.workflow and r.a = e.target and r.b = e.source)),
+      looped as (select distinct workflow, unnest([source, target]) as node from loops),
+      st as (select name as workflow, start as node, 1 as depth, case when exists (select 1 from looped l where l.workflow = name and l.node = start) then [start] else cast([] as varchar[]) end as seen, cast([] as int[]) as used from workflow_defs
+        union
+        select st.workflow, e.target, st.depth + 1, case when l.node is not null then list_sort(list_append(st.seen, e.target)) else st.seen end, case when k.edge_index is not null then list_sort(list_append(st.used, e.edge_index)) else st.used end
+        from st join workflow_defs d on d.name = st.workflow join workflow_edges e on e.workflow = st.workflow and e.source = st.node join workflow_nodes n on n.workflow = st.workflow and n.id = e.target
+          left join looped l on l.workflow = st.workflow and l.node = e.target left join loops k on k.workflow = st.workflow and k.edge_index = e.edge_index
+        where not list_contains(d.terminals, st.node) and st.depth < 64 and (k.edge_index is null or len(list_filter(st.used, lambda x: x = e.edge_index)) < e.max_traversals)
+          and (l.node is null or len(list_filter(st.seen, lambda x: x = e.target)) < n.max_visits)),
+      moved as (select st.workflow, count(*) as c
+        from st join workflow_defs d on d.name = st.workflow join workflow_edges e on e.workflow = st.workflow and e.source = st.node join workflow_nodes n on n.workflow = st.workflow and n.id = e.target
+          left join looped l on l.workflow = st.workflow and l.node = e.target left join loops k on k.workflow = st.workflow and k.edge_index = e.edge_index
+        where not list_contains(d.terminals, st.node) and st.depth < 64 and (k.edge_index is null or len(list_filter(st.used, lambda x: x = e.edge_index)) < e.max_traversals)
+          and (l.node is null or len(list_filter(st.seen, lambda x: x = e.target)) < n.max_visits) group by st.workflow)
+      select st.workflow, cast(count(*) as int) as states, cast(coalesce(any_value(m.c), 0) as int) as transitions, cast(count(*) filter (where list_contains(d.terminals, st.node)) as int) as terminals,
+        coalesce(bool_or(st.depth >= 64 and not list_contains(d.terminals, st.node)), false) as truncated
+      from st join workflow_defs d on d.name = st.workflow left join moved m on m.workflow = st.workflow group by st.workflow""",
+    "layered_workflows": "select cast(b as int) as branches, cast(l as int) as layers, cast(pow(b, l) as int) as paths, cast(2 + b * l as int) as states, cast(2 * b + b * b * (l - 1) as int) as transitions, true as agree from (values (2, 2), (2, 5), (3, 3), (4, 2)) v(b, l)",
+    "schema_problems": _schema("workflow_nodes", "workflow_edges", "workflow_defs"),
+    "schema_faults": _schema("fn", "fe", "fd", """n0 as (select * replace (case when node_index = 1 then -1.0 else weight end as weight, case when node_index = 2 then 0 else max_visits end as max_visits,
+          case when node_index = 3 then [' '] else action end as action, case when node_index = 4 then 'gone-' || id else id end as id, case when workflow = 'defect_loop' then false else required end as required) from workflow_nodes),
+        fn as (select * from n0 union all select * from n0 where node_index = 0),
+        fe as (select * replace (case when edge_index = 0 then 'jump' else kind end as kind, case when edge_index = 1 then 0 else max_traversals end as max_traversals, case when edge_index = 2 then 'nowhere' else target end as target) from workflow_edges),
+        fd as (select * replace (case when name = 'web_booking' then 'nowhere' else start end as start, case when name = 'web_booking' then [] else terminals end as terminals) from workflow_defs)"""),
     "trace_gate": f"with {STEPS} select id, {HAS_TRACE} as has_trace from stepped",
     "intention_recitation": f"with {STEPS}, {TOLD} select s.id, round(coalesce(t.fraction, 0.0), 6) as fraction from stepped s left join told t on t.id = s.id",
     "confidence_routing": f"{ROUTED} select id, round(confidence, 6) as confidence, len(reasons) > 0 as fallback, array_to_string(reasons, '; ') as reasons from routed",
