@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from trailmark.functions import tools as _T
 from trailmark.functions.text import EXECUTION, PREPARATION, REASONING
 from trailmark.operators.embed import CONCEPTS
 
@@ -252,10 +253,10 @@ CALLS = f"""calls as (select distinct * from tool_calls), raw as (select *, lowe
     (error is not null or coalesce(exit_code <> 0, false)) as bad, 'exit code: ' || exit_code as ec, 'error: ' || nullif(error, '') as er,
     coalesce(nullif(concat_ws(chr(10), {", ".join(f"json_extract_string({obj('output')}, '$.{n}')" for n in ("stdout", "stderr", "text", "output", "content"))}), ''), output, '') as txt from calls),
   named as (select *, case when contains(name, 'pytest') or contains(lower(cmd), 'pytest') then 'pytest'
-    when {_named("shell", "bash", "exec", "exec_command", "terminal", "run_command")} then 'shell' when {_named("read_file", "open_file", "cat_file")} then 'file_read'
-    when {_named("write_file", "edit_file", "apply_patch", "patch_file")} then 'file_write'
-    when {_named("browser", "browser_search", "search", "open_url", "navigate", "click")} or list_contains(regexp_split_to_array(name, '[^a-z0-9]+'), 'browser') then 'browser'
-    when {_named("http", "http_request", "request", "fetch")} then 'http' else 'generic' end as handler,
+    when {_named(*_T.SHELL)} then 'shell' when {_named(*_T.READ)} then 'file_read'
+    when {_named(*_T.WRITE)} then 'file_write'
+    when {_named(*_T.BROWSER)} or list_contains(regexp_split_to_array(name, '[^a-z0-9]+'), 'browser') then 'browser'
+    when {_named(*_T.HTTP)} then 'http' else 'generic' end as handler,
     list_transform(regexp_extract_all(txt, '(?i)\\b\\d+\\s+(?:passed|failed|errors|error|skipped|xfailed|xpassed)\\b'), lambda x: lower(regexp_replace(x, '\\s+', ' ', 'g'))) as sums,
     try_cast(coalesce({get("metadata", "status_code")}, {get("output", "status_code", "status")}) as int) as code from raw)"""
 
@@ -265,6 +266,25 @@ def _tool(handler: str, action: str, evidence: str, bad: str, if_bad: str, if_go
       case when {bad} then '{if_bad}' else '{if_good}' end as outcome, case when {bad} then 'failure' else 'success' end as status from named where handler = '{handler}'"""
 
 
+#: Action, evidence, failure, and the outcomes of failure and success of each family.
+FAMILIES: dict[str, tuple[str, ...]] = {
+    "pytest": ("'run tests'",
+        "coalesce(nullif(concat_ws('; ', 'pytest command: ' || nullif(cmd, ''), 'pytest result: ' || nullif(array_to_string(sums, ', '), ''), ec, er), ''), 'pytest executed')",
+        "(bad or len(list_filter(sums, lambda x: regexp_matches(x, '^0*[1-9][0-9]* (?:failed|errors?)$'))) > 0)", "tests fail", "tests pass",
+    ),
+    "shell": ("'run shell command'", "concat_ws('; ', coalesce('command: ' || nullif(cmd, ''), 'shell command executed'), ec, er)", "bad", "command failed", "command succeeded"),
+    "file_read": ("concat_ws(' ', 'read file', nullif(path, ''))", "coalesce('file path: ' || nullif(path, ''), nullif(error, ''), 'file read requested')", "bad", "file read failed", "file contents observed"),
+    "file_write": ("coalesce('modify file ' || nullif(path, ''), 'modify repository files')", "concat_ws('; ', coalesce('file path: ' || nullif(path, ''), 'patch or file update submitted'), er)", "bad", "file modification failed", "file modified"),
+    "browser": (f"case when contains(lower(coalesce({get('arguments', 'operation', 'action')}, name)) || ' ' || name, 'search') then 'search the web' when contains(lower(coalesce({get('arguments', 'operation', 'action')}, name)) || ' ' || name, 'click') then 'interact with web page' else 'open web page' end",
+        f"concat_ws('; ', coalesce('browser target: ' || {truthy('arguments', 'url', 'query', 'target')}, 'browser action recorded'), er)", "bad", "browser action failed", "browser action completed",
+    ),
+    "http": (f"'send ' || upper(coalesce({get('arguments', 'method')}, 'GET')) || ' HTTP request'",
+        f"coalesce(nullif(concat_ws('; ', 'url: ' || {truthy('arguments', 'url')}, 'status code: ' || code, ec, er), ''), 'HTTP request recorded')", "(bad or coalesce(code >= 400, false))", "HTTP request failed", "HTTP request succeeded",
+    ),
+    "generic": ("'use tool ' || tool_name", "concat_ws('; ', 'tool: ' || tool_name, ec, er)", "bad", "tool call failed", "tool call succeeded"),
+}
+_SECRET = r"""'("(?:api_key|apikey|authorization|cookie|password|secret|token|[^"]*(?:_token|_secret|_password|_key))"\s*:\s*)"[^"]*"'"""
+
 # --------------------------------------------------------------------- events
 
 EVENTS = f"""latest as (
@@ -449,23 +469,12 @@ SQL: dict[str, str] = {
     "lexical_coverage": f"with {SAMPLES}, x as (select id, coalesce(reference_steps, []) as steps, {fold(chr(99) + 'oalesce(response, ' + chr(39) * 2 + ')')} as ft from samples) select id, round({_FOLDED.replace(fold('c'), fold('coalesce(c, ' + chr(39) * 2 + ')'))}, 6) as coverage from x",
     "lexical_fallback": f"with {STEPS}, x as (select id, steps, {strip('coalesce(response, ' + chr(39) * 2 + ')')} as a from stepped) select id, round(case when len(steps) > 0 and a <> '' then len(list_filter(steps, lambda s: contains(a, {label('s')}))) / len(steps) else 0.0 end, 6) as share from x",
     "tool_dispatch": f"with {CALLS} select traj_id, ord, call_id, handler from named",
-    "pytest_semantics": _tool(
-        "pytest", "'run tests'",
-        "coalesce(nullif(concat_ws('; ', 'pytest command: ' || nullif(cmd, ''), 'pytest result: ' || nullif(array_to_string(sums, ', '), ''), ec, er), ''), 'pytest executed')",
-        "(bad or len(list_filter(sums, lambda x: regexp_matches(x, '^0*[1-9][0-9]* (?:failed|errors?)$'))) > 0)", "tests fail", "tests pass",
-    ),
-    "shell_semantics": _tool("shell", "'run shell command'", "concat_ws('; ', coalesce('command: ' || nullif(cmd, ''), 'shell command executed'), ec, er)", "bad", "command failed", "command succeeded"),
-    "file_read_semantics": _tool("file_read", "concat_ws(' ', 'read file', nullif(path, ''))", "coalesce('file path: ' || nullif(path, ''), nullif(error, ''), 'file read requested')", "bad", "file read failed", "file contents observed"),
-    "file_write_semantics": _tool("file_write", "coalesce('modify file ' || nullif(path, ''), 'modify repository files')", "concat_ws('; ', coalesce('file path: ' || nullif(path, ''), 'patch or file update submitted'), er)", "bad", "file modification failed", "file modified"),
-    "browser_semantics": _tool(
-        "browser", f"case when contains(lower(coalesce({get('arguments', 'operation', 'action')}, name)) || ' ' || name, 'search') then 'search the web' when contains(lower(coalesce({get('arguments', 'operation', 'action')}, name)) || ' ' || name, 'click') then 'interact with web page' else 'open web page' end",
-        f"concat_ws('; ', coalesce('browser target: ' || {truthy('arguments', 'url', 'query', 'target')}, 'browser action recorded'), er)", "bad", "browser action failed", "browser action completed",
-    ),
-    "http_semantics": _tool(
-        "http", f"'send ' || upper(coalesce({get('arguments', 'method')}, 'GET')) || ' HTTP request'",
-        f"coalesce(nullif(concat_ws('; ', 'url: ' || {truthy('arguments', 'url')}, 'status code: ' || code, ec, er), ''), 'HTTP request recorded')", "(bad or coalesce(code >= 400, false))", "HTTP request failed", "HTTP request succeeded",
+    **{f"{name}_semantics": _tool(name, *parts) for name, parts in FAMILIES.items()},
+    "adapted_events": " union all ".join(
+        "(" + _tool(name, *parts).replace("select traj_id, ord, call_id,", f"""select traj_id, ord, call_id as event_id, handler, 'runtime' as source, true as trusted, nullif({strip("node_id")}, '') as node_id, occurrence,
+          lower(nullif({strip("transition_kind")}, '')) as transition_kind, regexp_replace(arguments, {_SECRET}, '\\1"[REDACTED]"', 'gi') as tool_input, state_after,""", 1) + ")"
+        for name, parts in FAMILIES.items()
     ),
-    "generic_semantics": _tool("generic", "'use tool ' || tool_name", "concat_ws('; ', 'tool: ' || tool_name, ec, er)", "bad", "tool call failed", "tool call succeeded"),
     "redact": r"""select distinct traj_id, ord, call_id, regexp_replace(arguments, '("(?:api_key|apikey|authorization|cookie|password|secret|token|[^"]*(?:_token|_secret|_password|_key))"\s*:\s*)"[^"]*"', '\1"[REDACTED]"', 'gi') as arguments
       from (select distinct * from tool_calls)""".replace("select distinct traj_id, ord, call_id, regexp", "select traj_id, ord, call_id, regexp"),
     "event_trust": f"with {EVENTS} select traj_id, ord, coalesce(trusted and source in ('runtime', 'external'), false) as trusted from ev",
@@ -517,6 +526,31 @@ SQL: dict[str, str] = {
         round(avg(case when score >= 0.5 then 1.0 else 0.0 end) filter (where label = 0), 6) as semantic_false_accept_rate, round(avg(case when trusted_score >= 0.5 then 1.0 else 0.0 end) filter (where label = 0), 6) as routed_false_accept_rate,
         round(avg(case when score < 0.5 then 1.0 else 0.0 end) filter (where label = 1), 6) as semantic_false_reject_rate, round(avg(case when trusted_score < 0.5 then 1.0 else 0.0 end) filter (where label = 1), 6) as routed_false_reject_rate
       from scored group by all""",
+    "quality_report": f"""{ROUTED}, folded as (select *, {fold("coalesce(response, '')")} as ft from routed),
+      qs as (select label, coalesce(subtype, 'unspecified') as subtype, pair_id, confidence, len(reasons) > 0 as fallback, rate as semantic, {_FOLDED} as lexical, not coalesce(traced, false) as denied from folded),
+      q as (select *, case when fallback then 0.0 else semantic end as routed from qs),
+      sets as (select 'semantic' as block, label, pair_id, semantic as x from q union all select 'routed', label, pair_id, routed from q union all select 'lexical', label, pair_id, lexical from q),
+      ranked as (select p.block, avg(case when p.x > n.x then 1.0 when p.x = n.x then 0.5 else 0.0 end) as auroc from sets p join sets n on p.block = n.block and p.label = 1 and n.label = 0 group by p.block),
+      g as (select block, x, count(*) filter (where label = 1) as p, count(*) as c from sets where label in (0, 1) group by block, x),
+      h as (select block, p, sum(p) over (partition by block order by x desc) as cp, sum(c) over (partition by block order by x desc) as cc from g),
+      prec as (select block, sum(p * cp / cc) / sum(p) as ap from h group by block),
+      cut as (select block, avg(x) filter (where label = 1) as pm, avg(x) filter (where label = 0) as nm, avg(case when (x >= 0.5) = (label = 1) then 1.0 else 0.0 end) as acc,
+        avg(case when x >= 0.5 then 1.0 else 0.0 end) filter (where label = 1) as tpr, avg(case when x >= 0.5 then 1.0 else 0.0 end) filter (where label = 0) as fpr from sets where label in (0, 1) group by block),
+      pw as (select a.block, count(distinct a.pair_id) as groups, count(*) as comparisons, avg(case when a.x > b.x then 1.0 when a.x = b.x then 0.5 else 0.0 end) as accuracy
+        from sets a join sets b on a.block = b.block and a.pair_id = b.pair_id and a.label = 1 and b.label = 0 where a.pair_id <> '' group by a.block),
+      sub as (select subtype, count(*) as n, avg(semantic) as a, avg(routed) as b, avg(confidence) as c, avg(case when fallback then 1.0 else 0.0 end) as d,
+        avg(case when semantic >= 0.5 then 1.0 else 0.0 end) filter (where label = 0) as e, avg(case when routed >= 0.5 then 1.0 else 0.0 end) filter (where label = 0) as f,
+        avg(case when semantic < 0.5 then 1.0 else 0.0 end) filter (where label = 1) as g, avg(case when routed < 0.5 then 1.0 else 0.0 end) filter (where label = 1) as h from q group by subtype),
+      out as (
+        select 'dataset' as block, unnest(['count', 'labeled', 'positives', 'negatives']) as metric, unnest([count(*), count(*) filter (where label in (0, 1)), count(*) filter (where label = 1), count(*) filter (where label = 0)]) as value from q
+        union all select 'routing', unnest(['positive_fallback_rate', 'negative_fallback_rate', 'positive_trace_denial_rate', 'negative_trace_denial_rate']), unnest([
+          coalesce(avg(fallback::int) filter (where label = 1), 0), coalesce(avg(fallback::int) filter (where label = 0), 0), coalesce(avg(denied::int) filter (where label = 1), 0), coalesce(avg(denied::int) filter (where label = 0), 0)]) from q
+        union all select r.block, unnest(['auroc', 'average_precision']), unnest([r.auroc, p.ap]) from ranked r join prec p on p.block = r.block
+        union all select block, unnest(['positive_mean', 'negative_mean', 'mean_separation', 'accuracy', 'true_positive_rate', 'false_positive_rate']), unnest([pm, nm, pm - nm, acc, tpr, fpr]) from cut
+        union all select block || '_pairwise', unnest(['groups', 'comparisons', 'accuracy']), unnest([groups, comparisons, accuracy]) from pw
+        union all select 'subtype:' || subtype, unnest(['count', 'mean_score', 'mean_trusted_score', 'mean_confidence', 'fallback_rate', 'semantic_false_accept_rate', 'routed_false_accept_rate', 'semantic_false_reject_rate', 'routed_false_reject_rate']),
+          unnest([n, a, b, c, d, e, f, g, h]) from sub)
+      select block, metric, round(cast(value as double), 6) as value from out""",
     "top_n_scores": f"{LABELLED} select id, round(score, 6) as score from scored order by score desc, id limit 20",
     "denied_steps": f"with {STEPS}, d as (select id, list_transform({_HIT}, lambda s: {label('s')}) as h from stepped where not ({HAS_TRACE})) select id, unnest(h) as step from d",
     "episode_summary": """select domain, ablation, seed, count(*) as episodes, round(avg(case when success then 1.0 else 0.0 end), 6) as success_rate, round(avg(outcome_reward), 6) as mean_outcome_reward, round(avg(process_reward), 6) as mean_process_reward,
