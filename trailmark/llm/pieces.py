@@ -162,21 +162,19 @@ def split_oversized(
         F.col("max_chars").cast("int").alias("__limit"),
         F.coalesce(F.col("overlap_chars").cast("int"), F.lit(0)).alias("__overlap"),
     ).dropDuplicates(["__kind"])
-    other = rules.filter(F.col("__kind") == default_kind).select(
-        F.col("__limit").alias("__dl"), F.col("__overlap").alias("__do")
-    )
+    other = rules.filter(F.col("__kind") == default_kind).first()  # one row, of what serves the kinds that are not listed
+    most, shared = (other["__limit"], other["__overlap"]) if other else (None, 0)
     text = df.select(
         F.col(id_col).alias("__id"),
         F.col(text_col).alias("__text"),
         F.col(kind_col).alias("__of"),
         *[F.col(c).alias(f"__x{i}") for i, c in enumerate(keep)],
     ).filter(F.col("__text").isNotNull())
-    ruled = text.join(broadcast_if_small(rules), F.col("__of") == F.col("__kind"), "left").join(
-        F.broadcast(other.limit(1)), F.lit(True), "left"
-    )
+    ruled = text.join(broadcast_if_small(rules), F.col("__of") == F.col("__kind"), "left")
+    listed = F.col("__limit").isNotNull()
     long = (
-        ruled.withColumn("__limit", F.coalesce("__limit", "__dl"))
-        .withColumn("__overlap", F.coalesce("__overlap", "__do", F.lit(0)))
+        ruled.withColumn("__overlap", F.when(listed, F.col("__overlap")).otherwise(F.lit(shared)))
+        .withColumn("__limit", F.coalesce("__limit", F.lit(most).cast("int")))
         .filter((F.col("__limit") >= 1) & (F.length("__text") > F.col("__limit")))
         .select("__id", *[f"__x{i}" for i in range(len(keep))], "__text", "__limit", "__overlap")
     )

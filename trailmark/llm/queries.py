@@ -39,6 +39,31 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("id", "piece_index", "n_pieces", "start_char", "end_char", "piece", "cut")
 
 
+def p1_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """What every cut text must show: its pieces without their overlaps are the text, none is too long, and neighbours share the overlap."""
+    rows = latest_delivery(_read(spark, folder, "demo_samples").select("id", "response", "subtype", "ingested_at"), ["id"], "ingested_at")
+    limits = _read(spark, folder, "piece_limits")
+    own = pieces.split_oversized(rows, limits, keep=("subtype",)).filter("id is not null")
+    rules = limits.select(F.coalesce("subtype", F.lit("default")).alias("k"), F.col("overlap_chars").alias("o"))
+    kinds = {r["k"]: r["o"] for r in rules.limit(1_000).collect()}  # a row per subtype
+    overlap = F.coalesce(F.create_map(*[F.lit(x) for k in kinds.items() for x in k])[F.coalesce("subtype", F.lit("default"))], F.lit(kinds.get("default")))
+    per = own.groupBy("id", overlap.alias("o"), "max_chars").agg(F.array_sort(F.collect_list(F.struct("piece_index", "start_char", "end_char", "piece"))).alias("p"))
+    text = F.aggregate("p", F.struct(F.lit("").alias("t"), F.lit(0).alias("e")), lambda s, x: F.struct(F.concat(s["t"], F.substring(x["piece"], s["e"] - x["start_char"] + 1, F.length(x["piece"]))).alias("t"), x["end_char"].alias("e")))["t"]
+    pairs_ = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: (a["end_char"] - b["start_char"] == F.least(F.col("o"), a["end_char"])) & (b["end_char"] > a["end_char"]))
+    return per.select("id", F.md5(text).alias("text_md5"), F.forall("p", lambda x: F.length(x["piece"]) <= F.col("max_chars")).alias("within"), F.forall(pairs_, lambda x: x).alias("overlapped"),
+                      (F.size("p") >= 2).alias("cut"))
+
+
+P1_ROUND_SQL = """
+with latest as (
+  select id, response, subtype from demo_samples where id is not null
+  qualify row_number() over (partition by id order by ingested_at desc nulls last) = 1
+), sized as (
+  select d.id, d.response, coalesce(l.max_chars, (select max_chars from piece_limits where subtype = 'default')) as max_chars
+  from latest d left join piece_limits l on l.subtype = coalesce(d.subtype, 'default')
+)
+select id, md5(response) as text_md5, true as within, true as overlapped, true as cut from sized where length(response) > max_chars
+"""
 P1_SQL = """
 with latest as (
   select id, response, subtype from demo_samples where id is not null
@@ -170,6 +195,34 @@ select id from covered group by id, n having sum(c) >= 0.4 * n
 """
 
 
+_STOP = ", ".join(f"'{w}'" for w in repetition.STOPWORDS)
+P5_REPORT_SQL = rf"""
+with latest as (
+  select id, coalesce(response, '') as t from demo_samples
+  qualify row_number() over (partition by id order by ingested_at desc nulls last) = 1
+), worded as (
+  select id, t, regexp_extract_all(lower(t), '\p{{Han}}|(?:[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{Armenian}}\p{{M}}\p{{N}}µªº])+') as w from latest
+), shingles as (
+  select id, i, array_to_string(w[i : i + 4], ' ') as s from worded, unnest(generate_series(1, len(w) - 4)) as u(i)
+), starts as (
+  select id, i from shingles qualify row_number() over (partition by id, s order by i) > 1
+), covered as (
+  select id, least(5, coalesce(lead(i) over (partition by id order by i) - i, 5)) as c from starts
+), sums as (select id, sum(c) as c from covered group by id),
+measured as (
+  select d.id, len(w) as n, coalesce(s.c, 0) as rep, coalesce(s.c, 0) / greatest(len(w), 1) as share,
+    length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}\s\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')) / greatest(length(t), 1) as symbols,
+    len(list_filter(w, lambda x: x in ({_STOP}))) / greatest(len(w), 1) as stops,
+    list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') as lines,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(len(w), 1) as mean_length
+  from worded d left join sums s on s.id is not distinct from d.id
+), final as (select *, case when len(lines) > 0 then 1 - len(list_distinct(lines)) / len(lines) else 0.0 end as dup from measured)
+select id, cast(n as int) as n_words, cast(rep as int) as repeated_words, round(share, 6) as repeated_word_share, round(symbols, 6) as symbol_ratio, round(stops, 6) as stopword_ratio, round(dup, 6) as duplicate_line_share,
+  array_to_string(list_filter([case when share >= 0.40 then 'repeated_word_share>=0.4' end, case when n < 3 then 'n_words<3' end, case when n > 100000 then 'n_words>100000' end, case when symbols > 0.50 then 'symbol_ratio>0.5' end,
+    case when stops < 0.01 then 'stopword_ratio<0.01' end, case when dup > 0.30 then 'duplicate_line_share>0.3' end, case when mean_length > 20 then 'mean_word_length>20' end], lambda x: x is not null), ';') as fired from final
+"""
+
+
 # ----------------------------------------------------------------- 6 packing
 
 
@@ -226,8 +279,8 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_classes, p2_normalized, p3_found, p3_report, p4_found, p4_runs, p5_found, p5_report,
+        p1_found, p1_pieces, p1_round_trip, p2_found, p2_classes, p2_normalized, p3_found, p3_report, p4_found, p4_runs, p5_found, p5_report,
         p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_composition,
     )
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p4_runs": P4_RUNS_SQL, "p5_found": P5_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_round_trip": P1_ROUND_SQL, "p5_report": P5_REPORT_SQL, "p4_found": P4_SQL, "p4_runs": P4_RUNS_SQL, "p5_found": P5_SQL}
