@@ -154,9 +154,9 @@ def test_all_distinct_texts_are_encoded(spark, tmp_path):
 
 
 def test_attempts_are_scored_on_all_windows(spark, sf, monkeypatch):
-    used, score = [], Q.wf.score_workflows
-    monkeypatch.setattr(Q.wf, "score_workflows", lambda *a, **kw: used.append(kw["scorer"]) or score(*a, **kw))
-    assert Q.trace_rewards(spark, sf).columns == ["traj_id", "attempt", "required_coverage", "order_rate"]
+    used, score = [], Q.traces.score_traces
+    monkeypatch.setattr(Q.traces, "score_traces", lambda *a, **kw: used.append(kw["scorer"]) or score(*a, **kw))
+    assert Q.trace_rewards(spark, sf).columns == ["traj_id", "attempt", "part", "score", "required_coverage", "order_rate", "state_score", "valid", "validity", "violations"]
     text = "an event of a long attempt " * 600
     chosen, stats = Q.windows.windows_of(text, *used[0].fine, used[0].max_windows)
     assert len(chosen) == len(Q.windows.spans(text.strip(), *used[0].fine)) > 256 and not stats[3] and stats[5] == 1.0
@@ -198,7 +198,9 @@ def test_validation_of_a_retry(spark):
 
 
 NAMES = ["normalize_steps", "resolve_steps", "sliding_windows", "window_coverage", "order_rate", "monotonic_score", "trace_gate", "confidence_routing", "tool_dispatch",
-         "pytest_semantics", "visit_islands", "trace_violations", "auroc", "pairwise_accuracy", "subtype_report", "dead_ends", "token_rewards"]
+         "pytest_semantics", "visit_islands", "trace_violations", "auroc", "pairwise_accuracy", "subtype_report", "dead_ends", "token_rewards",
+         "linear_score", "coarse_to_fine", "linear_routing", "best_trajectory", "final_scores", "final_scores_lexical", "trace_walks", "adapted_events", "quality_report",
+         "graph_unrolling", "path_enumeration", "schema_faults", "cosine_matrix", "embed_distinct"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -19,7 +19,7 @@ MASK = "[REDACTED]"
 
 def decoded(text: str | None) -> Any:
     """The value of a JSON object or array; any other text stays text."""
-    if text is None or text.lstrip()[:1] not in ("{", "["):
+    if not isinstance(text, str) or text.lstrip()[:1] not in ("{", "["):
         return text
     try:
         return json.loads(text)
