@@ -12,7 +12,7 @@ from trailmark import queries as Q
 from trailmark.functions import payloads, tools
 from trailmark.functions import text as X
 from trailmark.operators import events, experiments, quality
-from trailmark.operators.sequences import running, with_previous
+from trailmark.operators.sequences import one_chunk, running, with_previous
 from trailmark.plans.delivery import latest_delivery
 from trailmark.plans.sizing import broadcast_if_small
 from trailmark.sources import readers
@@ -197,6 +197,29 @@ def test_validation_of_a_retry(spark):
     assert text == "<trace_event id=e1 source=runtime status=success node=b occurrence=1>\nAction: x\n</trace_event>"
 
 
+def test_chunks_change_nothing(spark):
+    rng = random.Random(12)
+    rows = []
+    for t in range(6):
+        for o in range(40):
+            node = rng.choice(["a", "b", "c", "zz", None])
+            rows.append((f"t{t}", o, f"e{rng.randint(0, 60)}", node, rng.choice([None, None, 1, 2, 3]), rng.choice([None, "forward", "retry"]), rng.random() < 0.9, "runtime", "w"))
+    cols = "traj_id string, ord int, event_id string, node_id string, occurrence int, transition_kind string, trusted boolean, source string, workflow string"
+    ev = spark.createDataFrame(rows, cols)
+    nodes = spark.createDataFrame([("w", n, 4) for n in "abc"], "workflow string, id string, max_visits int")
+    edges = spark.createDataFrame([("w", k, x, y, kind, 2) for k, (x, y, kind) in enumerate([("a", "b", "forward"), ("b", "a", "retry"), ("a", "b", "retry"), ("b", "c", "forward"), ("c", "a", "forward")])],
+                                  "workflow string, edge_index int, source string, target string, kind string, max_traversals int")
+    defs = spark.createDataFrame([("w", "a", ["c"])], "name string, start string, terminals array<string>")
+    apart = ev.withColumn("ord", F.col("ord") * 30_000)
+    assert one_chunk(ev, "traj_id", "ord") and not one_chunk(apart, "traj_id", "ord") and one_chunk(ev.limit(0), "traj_id", "ord")
+    got = [sorted((r.traj_id, r.passed, r.reason or "") for r in events.checks(e, nodes, edges, defs).collect()) for e in (ev, apart)]
+    assert got[0] == got[1] and len(got[0]) > 500
+    steps = spark.createDataFrame([("s", o * 30_000, float(o % 7)) for o in range(9)], "s string, o int, potential double")
+    from trailmark.operators.workflow import shaped
+
+    assert sorted(shaped(steps, "s", "o").collect()) == sorted(shaped(steps, "s", "o", single=True).collect())
+
+
 NAMES = ["normalize_steps", "resolve_steps", "sliding_windows", "window_coverage", "order_rate", "monotonic_score", "trace_gate", "confidence_routing", "tool_dispatch",
          "pytest_semantics", "visit_islands", "trace_violations", "auroc", "pairwise_accuracy", "subtype_report", "dead_ends", "token_rewards",
          "linear_score", "coarse_to_fine", "linear_routing", "best_trajectory", "final_scores", "final_scores_lexical", "trace_walks", "adapted_events", "quality_report",

@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import text as X
 from trailmark.functions.payloads import redact_json, stable_json
 from trailmark.functions.tools import Call, Handler, handler_name, semantics
-from trailmark.operators.sequences import running, with_previous
+from trailmark.operators.sequences import one_chunk, running, with_previous
 from trailmark.plans.delivery import latest_delivery
 from trailmark.plans.shared import write_shared
 from trailmark.plans.sizing import broadcast_if_small
@@ -59,108 +59,125 @@ def current_events(raw: DataFrame) -> DataFrame:
     return write_shared(tidy.join(top, "traj_id", "left"), "events")
 
 
-def known_events(events: DataFrame, nodes: DataFrame) -> DataFrame:
+def known_events(events: DataFrame, nodes: DataFrame, *, single: bool | None = None) -> DataFrame:
     """Events whose node belongs to their workflow, with ``occ``, the given or inferred occurrence.
 
     Within a stretch of events of one node the first unnumbered event opens a
     new visit, later ones continue it; so a stretch maps the node's largest
     occurrence m to max(m + a, b), with a = 1 if it opens a visit and b the
     largest number given in it. Such maps compose to a running sum and a
-    running maximum, which is what is computed.
+    running maximum, which is what is computed. ``single`` says whether every
+    trajectory lies within one chunk; None looks.
     """
+    single = one_chunk(events, "traj_id", "ord") if single is None else single
+    # across chunks each prefix computation reads its input twice, so its input is a table
+    table = (lambda df: df) if single else (lambda df: write_shared(df, "known"))
     ids = nodes.select(F.col("workflow").alias("w"), F.col("id").alias("i"))
     known = events.join(broadcast_if_small(ids), (F.col("workflow") == F.col("w")) & (F.col("node_id") == F.col("i")), "left_semi")
-    # each prefix computation reads its input twice, so its input is a table
-    base = write_shared(known.select("traj_id", "ord", "workflow", "node_id", "occurrence", "transition_kind"), "known")
-    linked = with_previous(base, "traj_id", "ord", ["node_id"])
+    base = table(known.select("traj_id", "ord", "workflow", "node_id", "occurrence", "transition_kind"))
+    linked = with_previous(base, "traj_id", "ord", ["node_id"], single=single)
     opened = linked.withColumn("opens", (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id"))).drop("prev_node_id", "has_prev")
-    first = write_shared(opened.withColumn("a", (F.col("opens") & F.col("occurrence").isNull()).cast("long")), "known")
-    summed = write_shared(running(first, ["traj_id", "node_id"], "ord", "sum_a", "sum", F.col("a")), "known")
+    first = table(opened.withColumn("a", (F.col("opens") & F.col("occurrence").isNull()).cast("long")))
+    summed = table(running(first, ["traj_id", "node_id"], "ord", "sum_a", "sum", F.col("a"), single=single))
     below = F.coalesce(F.col("occurrence").cast("long") - F.col("sum_a"), F.lit(-(1 << 40)))
-    peak = write_shared(running(summed, ["traj_id", "node_id"], "ord", "peak", "max", below), "known")
+    peak = table(running(summed, ["traj_id", "node_id"], "ord", "peak", "max", below, single=single))
     opening = F.coalesce(F.col("occurrence").cast("long"), F.col("sum_a") + F.greatest(F.lit(0), "peak"))
     given = peak.withColumn("given", F.when(F.col("opens"), opening).otherwise(F.col("occurrence").cast("long"))).drop("a", "sum_a", "peak", "opens")
     # an unnumbered event repeats the last number of its stretch
+    if single:
+        w = Window.partitionBy("traj_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+        return given.withColumn("occ", F.last("given", ignorenulls=True).over(w)).drop("given")
     marked = running(given, ["traj_id"], "ord", "at", "max", F.when(F.col("given").isNotNull(), F.col("ord").cast("long")))
     numbers = given.filter("given is not null").select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), F.col("given").alias("occ"))
-    return write_shared(marked.join(numbers, (F.col("traj_id") == F.col("t")) & (F.col("at") == F.col("o"))).drop("t", "o", "at", "given"), "known")
+    return table(marked.join(numbers, (F.col("traj_id") == F.col("t")) & (F.col("at") == F.col("o"))).drop("t", "o", "at", "given"))
 
 
-def visits(known: DataFrame) -> DataFrame:
-    """Islands of equal node and occurrence: ``traj_id, workflow, visit, node_id, occ, first_ord, n_events, kind, n_kinds``."""
-    linked = with_previous(known, "traj_id", "ord", ["node_id", "occ"])
+def _with_visits(known: DataFrame, single: bool) -> DataFrame:
+    """``known`` with ``visit``, the number of the island of equal node and occurrence that an event lies in."""
+    linked = with_previous(known, "traj_id", "ord", ["node_id", "occ"], single=single)
     fresh = (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id")) | (F.col("prev_occ") != F.col("occ"))
-    numbered = running(linked, ["traj_id"], "ord", "visit", "sum", fresh.cast("long"))
-    per = numbered.groupBy("traj_id", "workflow", "visit", "node_id", "occ").agg(
+    return running(linked, ["traj_id"], "ord", "visit", "sum", fresh.cast("long"), single=single)
+
+
+def visits(known: DataFrame, *, single: bool = False) -> DataFrame:
+    """Islands of equal node and occurrence: ``traj_id, workflow, visit, node_id, occ, first_ord, n_events, kind, n_kinds``."""
+    per = _with_visits(known, single).groupBy("traj_id", "workflow", "visit", "node_id", "occ").agg(
         F.min("ord").alias("first_ord"),
         F.count(F.lit(1)).alias("n_events"),
         F.min("transition_kind").alias("kind"),
         F.max("transition_kind").alias("__k"),
     )
     kinds = F.when(F.col("kind").isNull(), 0).when(F.col("kind") == F.col("__k"), 1).otherwise(2)
-    return write_shared(per.withColumn("n_kinds", kinds).drop("__k"), "visits")
+    out = per.withColumn("n_kinds", kinds).drop("__k")
+    return out if single else write_shared(out, "visits")
 
 
-def transitions(seen: DataFrame, edges: DataFrame) -> DataFrame:
+def transitions(seen: DataFrame, edges: DataFrame, *, single: bool = False) -> DataFrame:
     """Neighbouring visits with the first edge that serves them: ``edge_index`` null if none does.
 
     A visit's requested kind restricts the edges (the smallest, if its events
     disagree). ``n_edges`` counts those that serve; ``taken`` is the running
     number of the edge's traversals.
     """
-    pairs = with_previous(seen, "traj_id", "visit", ["node_id"]).filter("has_prev")
-    e = edges.select(F.col("workflow").alias("w"), "source", "target", F.col("kind").alias("edge_kind"), "edge_index", "max_traversals")
+    pairs = with_previous(seen, "traj_id", "visit", ["node_id"], single=single).filter("has_prev")
+    # a row per pair of nodes, with its edges in order
+    e = edges.groupBy(F.col("workflow").alias("w"), "source", "target").agg(F.array_sort(F.collect_list(F.struct("edge_index", F.col("kind").alias("edge_kind"), "max_traversals"))).alias("served"))
     on = (F.col("workflow") == F.col("w")) & (F.col("prev_node_id") == F.col("source")) & (F.col("node_id") == F.col("target"))
-    on = on & (F.col("kind").isNull() | (F.col("kind") == F.col("edge_kind")))
+    asked = F.filter("served", lambda x: F.col("kind").isNull() | (x["edge_kind"] == F.col("kind")))
+    found = pairs.join(broadcast_if_small(e), on, "left").withColumn("served", F.coalesce(asked, F.array().cast(e.schema["served"].dataType)))
     keys = ["traj_id", "workflow", "visit", "prev_node_id", "node_id", "occ", "kind", "n_kinds"]
-    found = pairs.join(broadcast_if_small(e), on, "left").groupBy(*keys).agg(
-        F.min(F.struct("edge_index", "edge_kind", "max_traversals")).alias("edge"), F.count("edge_index").alias("n_edges")
-    )
-    chosen = write_shared(found.select(*keys, "n_edges", "edge.*"), "moves")
-    counted = running(chosen.filter("edge_index is not null"), ["traj_id", "edge_index"], "visit", "taken", "sum", F.lit(1).cast("long"))
-    return counted.unionByName(chosen.filter("edge_index is null").withColumn("taken", F.lit(None).cast("long")))
+    chosen = found.select(*keys, F.size("served").cast("long").alias("n_edges"), F.get("served", F.lit(0)).alias("x")).select(*keys, "n_edges", "x.*")
+    if not single:
+        chosen = write_shared(chosen, "moves")
+    # moves without an edge count among themselves, which is not looked at
+    counted = running(chosen, ["traj_id", "edge_index"], "visit", "taken", "sum", F.lit(1).cast("long"), single=single)
+    return counted.withColumn("taken", F.when(F.col("edge_index").isNotNull(), F.col("taken")))
+
 
+def checks(events: DataFrame, nodes: DataFrame, edges: DataFrame, defs: DataFrame, config: ValidationConfig | None = None, *, single: bool | None = None) -> DataFrame:
+    """``traj_id, passed, reason``: every check of every trajectory; ``reason`` is what its failing says.
 
-def checks(events: DataFrame, nodes: DataFrame, edges: DataFrame, defs: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
-    """``traj_id, passed, reason``: every check of every trajectory; ``reason`` is what its failing says."""
+    The checks of an event, a visit or a move are an array of its row, so each
+    table is read once; visits and moves are written once.
+    """
     c = config or ValidationConfig()
+    single = one_chunk(events, "traj_id", "ord") if single is None else single
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    row = lambda df, ok, reason: df.select("traj_id", ok.alias("passed"), reason.alias("reason"))
-    known = known_events(events, nodes)
-    seen = visits(known)
-    moves = transitions(seen, edges)
-    out = []
-    repeats = events.groupBy("traj_id", "event_id").agg(F.count(F.lit(1)).alias("n")).groupBy("traj_id").agg(F.max("n").alias("n"))
-    out.append(row(repeats, F.col("n") <= 1, F.lit("duplicate_event_id")))
-    if c.require_trusted:
-        trusted = F.coalesce(F.col("trusted") & F.col("source").isin(*c.trusted_sources), F.lit(False))
-        out.append(row(events, trusted, text("untrusted_event:", F.col("event_id"))))
-    if c.require_node_ids:
-        out.append(row(events.filter("node_id is null"), F.lit(False), text("missing_node_id:", F.col("event_id"))))
+    check = lambda ok, reason: F.struct(ok.alias("passed"), reason.alias("reason"))
+    rows = lambda df, *found: df.select("traj_id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("traj_id", "x.*")
+    seen = visits(known_events(events, nodes, single=single), single=single)
+    seen = write_shared(seen, "visits") if single else seen
+    moves = transitions(seen, edges, single=single)
     ids = broadcast_if_small(nodes.select(F.col("workflow").alias("w"), F.col("id").alias("i"), "max_visits"))
-    strange = events.filter("node_id is not null").join(ids, (F.col("workflow") == F.col("w")) & (F.col("node_id") == F.col("i")), "left_anti")
-    out.append(row(strange, F.lit(False), text("unknown_node:", F.col("node_id"))))
-    out.append(row(known, F.lit(True), F.lit(None).cast("string")))
-    ends = seen.groupBy("traj_id", "workflow").agg(F.min_by("node_id", "visit").alias("first"), F.max_by("node_id", "visit").alias("last"))
-    whole = events.select("traj_id", "workflow").distinct().join(ends.drop("workflow"), "traj_id", "left")
-    out.append(row(whole.filter("first is null"), F.lit(False), F.lit("no_mapped_workflow_path")))
+    # events: trust, and whether the node is known
+    node = F.when(F.col("node_id").isNull(), check(F.lit(False), text("missing_node_id:", F.col("event_id"))) if c.require_node_ids else F.lit(None))
+    node = node.otherwise(check(F.col("i").isNotNull(), text("unknown_node:", F.col("node_id"))))
+    trusted = F.coalesce(F.col("trusted") & F.col("source").isin(*c.trusted_sources), F.lit(False))
+    placed = events.select("traj_id", "workflow", "event_id", "node_id", "trusted", "source").join(ids, (F.col("workflow") == F.col("w")) & (F.col("node_id") == F.col("i")), "left")
+    out = [rows(placed, *([check(trusted, text("untrusted_event:", F.col("event_id")))] if c.require_trusted else []), node)]
+    # trajectories: repeated ids, start and end
+    repeats = events.groupBy("traj_id", "event_id").agg(F.count(F.lit(1)).alias("n"), F.max("workflow").alias("workflow")).groupBy("traj_id").agg(F.max("n").alias("n"), F.max("workflow").alias("workflow"))
+    ends = seen.groupBy("traj_id").agg(F.min_by("node_id", "visit").alias("first"), F.max_by("node_id", "visit").alias("last"))
     d = broadcast_if_small(defs.select(F.col("name").alias("w"), "start", "terminals"))
-    defined = whole.join(d, F.col("workflow") == F.col("w"), "left")
-    if c.require_start:
-        out.append(row(defined.filter("first is not null"), F.coalesce(F.col("first") == F.col("start"), F.lit(False)), text("wrong_start:", F.col("first"))))
+    whole = repeats.join(ends, "traj_id", "left").join(d, F.col("workflow") == F.col("w"), "left")
+    started = check(F.coalesce(F.col("first") == F.col("start"), F.lit(False)), text("wrong_start:", F.col("first"))) if c.require_start else F.lit(None)
+    found = [check(F.col("n") <= 1, F.lit("duplicate_event_id")), F.when(F.col("first").isNull(), check(F.lit(False), F.lit("no_mapped_workflow_path"))).otherwise(started)]
     if c.require_terminal:
         reached = F.coalesce(F.array_contains("terminals", F.col("last")), F.lit(False))
-        out.append(row(defined, reached, text("terminal_not_reached:", F.coalesce("last", F.lit("<none>")))))
-    counted = running(seen, ["traj_id", "node_id"], "visit", "nth", "sum", F.lit(1).cast("long"))
-    out.append(row(counted, F.col("occ") == F.col("nth"), text("non_sequential_occurrence:", F.col("node_id"), ":", F.col("occ"), "!=", F.col("nth"))))
+        found.append(check(reached, text("terminal_not_reached:", F.coalesce("last", F.lit("<none>")))))
+    out.append(rows(whole, *found))
+    # visits: numbers in order, and not too many
+    counted = running(seen, ["traj_id", "node_id"], "visit", "nth", "sum", F.lit(1).cast("long"), single=single)
+    out.append(rows(counted, check(F.col("occ") == F.col("nth"), text("non_sequential_occurrence:", F.col("node_id"), ":", F.col("occ"), "!=", F.col("nth")))))
     per_node = seen.groupBy("traj_id", "workflow", "node_id").agg(F.count(F.lit(1)).alias("n"))
     limited = per_node.join(ids, (F.col("workflow") == F.col("w")) & (F.col("node_id") == F.col("i")))
-    out.append(row(limited, F.col("n") <= F.col("max_visits"), text("node_visit_limit_exceeded:", F.col("node_id"), ":", F.col("n"), ">", F.col("max_visits"))))
-    out.append(row(moves, F.col("n_kinds") <= 1, text("conflicting_transition_kinds:", F.col("node_id"), "#", F.col("occ"))))
+    out.append(rows(limited, check(F.col("n") <= F.col("max_visits"), text("node_visit_limit_exceeded:", F.col("node_id"), ":", F.col("n"), ">", F.col("max_visits")))))
+    # moves: one kind asked for, an edge that serves, not too often
     wanted = F.when(F.col("kind").isNotNull(), F.concat(F.lit(":"), F.col("kind"))).otherwise("")
-    out.append(row(moves.filter("edge_index is null"), F.lit(False), text("illegal_transition:", F.col("prev_node_id"), "->", F.col("node_id"), wanted)))
     over = text("edge_traversal_limit_exceeded:", F.col("prev_node_id"), "->", F.col("node_id"), ":", F.col("taken"), ">", F.col("max_traversals"))
-    out.append(row(moves.filter("edge_index is not null"), F.col("taken") <= F.col("max_traversals"), over))
+    legal = F.when(F.col("edge_index").isNull(), check(F.lit(False), text("illegal_transition:", F.col("prev_node_id"), "->", F.col("node_id"), wanted)))
+    legal = legal.otherwise(check(F.col("taken") <= F.col("max_traversals"), over))
+    out.append(rows(moves, check(F.col("n_kinds") <= 1, text("conflicting_transition_kinds:", F.col("node_id"), "#", F.col("occ"))), legal))
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)
@@ -185,16 +202,14 @@ def ambiguous(moves: DataFrame) -> DataFrame:
     return some.select("traj_id", "visit", F.concat(F.lit("ambiguous_transition:"), "prev_node_id", F.lit("->"), "node_id").alias("warning"))
 
 
-def state_observations(known: DataFrame, raw: DataFrame) -> DataFrame:
+def state_observations(known: DataFrame, raw: DataFrame, *, single: bool = False) -> DataFrame:
     """``traj_id, node_id, occ, before, after``: per visit the first non-empty state before and the last after.
 
     ``known`` is :func:`known_events` of ``raw``, which holds the states. Of
     several visits with one number the last counts. Visits without states give
     no row.
     """
-    linked = with_previous(known, "traj_id", "ord", ["node_id", "occ"])
-    fresh = (~F.col("has_prev")) | (F.col("prev_node_id") != F.col("node_id")) | (F.col("prev_occ") != F.col("occ"))
-    numbered = running(linked, ["traj_id"], "ord", "visit", "sum", fresh.cast("long"))
+    numbered = _with_visits(known, single)
     states = raw.select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), "state_before", "state_after")
     numbered = numbered.join(states, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o")))
     filled = lambda c: F.when(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "").isin("", "{}", "null"), F.lit(None)).otherwise(c)

@@ -1,8 +1,9 @@
 """Prefix computations along ordered sequences of which one may hold a large part of all rows.
 
 Positions are cut into chunks; each chunk computes alone, and only a row per
-chunk meets in the window over the whole sequence. A sequence within one chunk
-costs nothing extra.
+chunk meets in the window over the whole sequence. Where every sequence lies
+within one chunk (:func:`one_chunk`) there is nothing to carry over, and a plain
+window gives the same.
 """
 
 from __future__ import annotations
@@ -14,8 +15,22 @@ from pyspark.sql import functions as F
 CHUNK = 65_536
 
 
-def with_previous(df: DataFrame, seq: str, order: str, columns: list[str], *, chunk: int = CHUNK) -> DataFrame:
-    """Add ``prev_<c>`` for each column: its value in the row before, in ``order`` within ``seq``; and ``has_prev``."""
+def one_chunk(df: DataFrame, seq: str, order: str, *, chunk: int = CHUNK) -> bool:
+    """Whether every sequence lies within one chunk: one combining aggregate over two columns."""
+    at = F.floor(F.col(order) / chunk)
+    wide = df.groupBy(seq).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).agg(F.max((F.col("lo") < F.col("hi")).cast("int")).alias("x"))
+    return not wide.first()["x"]
+
+
+def with_previous(df: DataFrame, seq: str, order: str, columns: list[str], *, chunk: int = CHUNK, single: bool = False) -> DataFrame:
+    """Add ``prev_<c>`` for each column: its value in the row before, in ``order`` within ``seq``; and ``has_prev``.
+
+    ``single`` says that :func:`one_chunk` holds.
+    """
+    if single:
+        before = F.lag(F.struct(*[F.col(c) for c in columns])).over(Window.partitionBy(seq).orderBy(order))
+        out = df.withColumn("__p", before)
+        return out.withColumns({f"prev_{c}": F.col("__p")[c] for c in columns} | {"has_prev": F.col("__p").isNotNull()}).drop("__p")
     cut = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
     w = Window.partitionBy(seq, "__chunk").orderBy(order)
     whole = F.struct(*[F.col(c) for c in columns])
@@ -31,11 +46,16 @@ def with_previous(df: DataFrame, seq: str, order: str, columns: list[str], *, ch
     return out.withColumn("has_prev", F.col("__p").isNotNull()).drop("__chunk", "__lag", "__seq", "__c", "__carry", "__p")
 
 
-def running(df: DataFrame, keys: list[str], order: str, name: str, kind: str, value: Column, *, chunk: float = CHUNK) -> DataFrame:
-    """Add ``name``: the running sum or maximum (``kind``) of ``value`` up to and including each row."""
+def running(df: DataFrame, keys: list[str], order: str, name: str, kind: str, value: Column, *, chunk: float = CHUNK, single: bool = False) -> DataFrame:
+    """Add ``name``: the running sum or maximum (``kind``) of ``value`` up to and including each row.
+
+    ``single`` says that :func:`one_chunk` holds.
+    """
     if kind not in ("sum", "max"):
         raise ValueError("kind must be 'sum' or 'max'")
     agg, join = (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) if kind == "sum" else (F.max, lambda a, b: F.greatest(a, b))
+    if single:
+        return df.withColumn(name, agg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     cut = df.withColumn("__chunk", F.floor(F.col(order) / chunk)).withColumn("__v", value)
     w = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     total = cut.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__c")).agg(agg("__v").alias("__t"))

@@ -208,7 +208,7 @@ TRACE_REWARD = T.StructType([*REWARD.fields, T.StructField("trace", TRACE)])
 # ------------------------------------------------------------------- tables
 
 
-def attempts(events: DataFrame, known: DataFrame, defs: DataFrame, *, max_events: int = MAX_EVENTS) -> DataFrame:
+def attempts(events: DataFrame, known: DataFrame, defs: DataFrame, *, max_events: int = MAX_EVENTS, single: bool = False) -> DataFrame:
     """``traj_id, ord, workflow, attempt, part``: each event's passage through its workflow.
 
     ``known`` is :func:`trailmark.operators.events.known_events` of ``events``.
@@ -218,13 +218,13 @@ def attempts(events: DataFrame, known: DataFrame, defs: DataFrame, *, max_events
     has, is another ``part`` of it.
     """
     starts = broadcast_if_small(defs.select(F.col("name").alias("w"), "start"))
-    linked = with_previous(known.join(starts, F.col("workflow") == F.col("w")), "traj_id", "ord", ["node_id"])
+    linked = with_previous(known.join(starts, F.col("workflow") == F.col("w")), "traj_id", "ord", ["node_id"], single=single)
     entered = linked.filter((F.col("node_id") == F.col("start")) & (~F.col("has_prev") | (F.col("prev_node_id") != F.col("node_id"))))
     entered = entered.select(F.col("traj_id").alias("t"), F.col("ord").alias("o"))
     every = events.select("traj_id", "ord", "workflow").join(starts.select("w"), F.col("workflow") == F.col("w"), "left_semi")
     marked = every.join(entered, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o")), "left")
-    cut = running(marked, ["traj_id"], "ord", "attempt", "sum", F.col("o").isNotNull().cast("long")).select("traj_id", "ord", "workflow", "attempt")
-    placed = running(cut, ["traj_id", "attempt"], "ord", "nth", "sum", F.lit(1).cast("long"))
+    cut = running(marked, ["traj_id"], "ord", "attempt", "sum", F.col("o").isNotNull().cast("long"), single=single).select("traj_id", "ord", "workflow", "attempt")
+    placed = running(cut, ["traj_id", "attempt"], "ord", "nth", "sum", F.lit(1).cast("long"), single=single)
     return placed.select("traj_id", "ord", "workflow", "attempt", F.floor((F.col("nth") - 1) / max_events).alias("part"))
 
 

@@ -14,7 +14,7 @@ from trailmark.functions.tools import Call, handler_name, semantics
 from trailmark.operators import align, embed, events, experiments, quality, traces, windows
 from trailmark.operators import workflow as wf
 from trailmark.operators.confidence import assess
-from trailmark.operators.sequences import running
+from trailmark.operators.sequences import one_chunk, running
 from trailmark.plans.delivery import latest_delivery
 from trailmark.plans.shared import write_shared
 from trailmark.plans.sizing import broadcast_if_small, spread
@@ -397,8 +397,13 @@ def adapted_events(spark, folder):
 # ------------------------------------------------------------------- events
 
 
-def _events(spark, folder):
-    return events.current_events(read(spark, folder, "trace_events"))
+#: What the checks read of an event.
+CHECKED = ["traj_id", "ord", "event_id", "node_id", "occurrence", "transition_kind", "trusted", "source", "metadata", "ingested_at"]
+
+
+def _events(spark, folder, *, payloads=False):
+    raw = read(spark, folder, "trace_events")
+    return events.current_events(raw if payloads else raw.select(*CHECKED))
 
 
 def _graph(spark, folder):
@@ -414,54 +419,67 @@ def event_trust(spark, folder):
 
 @query
 def render_events(spark, folder):
-    return events.rendered(_events(spark, folder)).select("traj_id", "ord", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+    return events.rendered(_events(spark, folder, payloads=True)).select("traj_id", "ord", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def _known(spark, folder):
-    return events.known_events(_events(spark, folder), read(spark, folder, "workflow_nodes"))
+    """Events of known nodes, and whether every trajectory lies within one chunk."""
+    e = _events(spark, folder)
+    single = one_chunk(e, "traj_id", "ord")
+    return events.known_events(e, read(spark, folder, "workflow_nodes"), single=single), single
+
+
+def _visits(spark, folder):
+    known, single = _known(spark, folder)
+    return events.visits(known, single=single), single
+
+
+def _moves(spark, folder):
+    seen, single = _visits(spark, folder)
+    return events.transitions(seen, read(spark, folder, "workflow_edges"), single=single)
 
 
 @query
 def occurrence_infer(spark, folder):
-    return _known(spark, folder).select("traj_id", "ord", "node_id", F.col("occ").cast("long").alias("occ"))
+    return _known(spark, folder)[0].select("traj_id", "ord", "node_id", F.col("occ").cast("long").alias("occ"))
 
 
 @query
 def visit_islands(spark, folder):
-    v = events.visits(_known(spark, folder))
+    v, _ = _visits(spark, folder)
     return v.select("traj_id", F.col("visit").cast("long").alias("visit"), "node_id", F.col("occ").cast("long").alias("occ"), "first_ord", "n_events")
 
 
 @query
 def edge_lookup(spark, folder):
-    t = events.transitions(events.visits(_known(spark, folder)), read(spark, folder, "workflow_edges"))
+    t = _moves(spark, folder)
     return t.select("traj_id", F.col("visit").cast("long").alias("visit"), F.col("prev_node_id").alias("source"), F.col("node_id").alias("target"), "edge_index", F.col("n_edges").cast("long").alias("n_edges"),
                     F.col("taken").cast("long").alias("taken"))
 
 
 @query
 def transition_counts(spark, folder):
-    t = events.transitions(events.visits(_known(spark, folder)), read(spark, folder, "workflow_edges"))
+    t = _moves(spark, folder)
     return t.filter("edge_index is not null").groupBy("workflow", F.col("edge_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def ambiguous_transitions(spark, folder):
-    moves = events.transitions(events.visits(_known(spark, folder)), read(spark, folder, "workflow_edges"))
-    return events.ambiguous(moves).select("traj_id", F.col("visit").cast("long").alias("visit"), "warning")
+    return events.ambiguous(_moves(spark, folder)).select("traj_id", F.col("visit").cast("long").alias("visit"), "warning")
 
 
 @query
 def visit_limits(spark, folder):
-    v = events.visits(_known(spark, folder)).groupBy("traj_id", "workflow", "node_id").agg(F.count(F.lit(1)).alias("visits"))
+    v = _visits(spark, folder)[0].groupBy("traj_id", "workflow", "node_id").agg(F.count(F.lit(1)).alias("visits"))
     n = read(spark, folder, "workflow_nodes").select("workflow", F.col("id").alias("node_id"), "max_visits")
     return v.join(n, ["workflow", "node_id"]).filter("visits > max_visits").select("traj_id", "node_id", "visits", "max_visits")
 
 
 @query
 def state_observations(spark, folder):
-    raw = _events(spark, folder)
-    s = events.state_observations(events.known_events(raw, read(spark, folder, "workflow_nodes")), raw)
+    raw = _events(spark, folder, payloads=True)
+    single = one_chunk(raw, "traj_id", "ord")
+    s = events.state_observations(events.known_events(raw, read(spark, folder, "workflow_nodes"), single=single), raw, single=single)
     return s.select("traj_id", "node_id", F.col("occ").cast("long").alias("occ"), "before", "after")
 
 
@@ -479,23 +497,24 @@ def trace_validity(spark, folder):
 @query
 def potential_shaping(spark, folder):
     """Share of a workflow's nodes seen so far as potential, and its shaped increments."""
-    known = _known(spark, folder)
+    known, single = _known(spark, folder)
+    known = write_shared(known, "known")  # read for the nodes' first events and for all
     first = known.groupBy(F.col("traj_id").alias("t"), F.col("node_id").alias("n")).agg(F.min("ord").alias("o"))
     here = (F.col("traj_id") == F.col("t")) & (F.col("node_id") == F.col("n")) & (F.col("ord") == F.col("o"))
     total = read(spark, folder, "workflow_nodes").groupBy(F.col("workflow").alias("w")).agg(F.count(F.lit(1)).alias("nodes"))
     marked = known.join(first, here, "left").withColumn("new", F.col("o").isNotNull().cast("long")).drop("t", "n", "o")
-    seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new")).join(broadcast_if_small(total), F.col("workflow") == F.col("w"))
-    out = wf.shaped(seen.withColumn("potential", F.col("seen") / F.col("nodes")), "traj_id", "ord", gamma=0.9)
+    seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new"), single=single).join(broadcast_if_small(total), F.col("workflow") == F.col("w"))
+    out = wf.shaped(seen.withColumn("potential", F.col("seen") / F.col("nodes")), "traj_id", "ord", gamma=0.9, single=single)
     return out.select("traj_id", "ord", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"))
 
 
 @query
 def attempts(spark, folder):
     """Trajectories cut where their workflow starts again: the unit in which long ones are scored."""
-    v = events.visits(_known(spark, folder))
+    v, single = _visits(spark, folder)
     starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
     marked = v.join(broadcast_if_small(starts), F.col("workflow") == F.col("w"))
-    cut = running(marked, ["traj_id"], "visit", "attempt", "sum", (F.col("node_id") == F.col("start")).cast("long"))
+    cut = running(marked, ["traj_id"], "visit", "attempt", "sum", (F.col("node_id") == F.col("start")).cast("long"), single=single)
     return cut.groupBy("traj_id", "attempt").agg(F.count(F.lit(1)).alias("visits"), F.sum("n_events").alias("events"), F.min("first_ord").alias("first_ord"))
 
 
@@ -589,9 +608,10 @@ def stage_rewards(spark, folder):
 
 def _attempts(spark, folder):
     """The events of every attempt; a trajectory of any length is many of them."""
-    raw = _events(spark, folder)
-    known = events.known_events(raw, read(spark, folder, "workflow_nodes"))
-    return traces.collected_events(raw, traces.attempts(raw, known, read(spark, folder, "workflow_defs")))
+    raw = _events(spark, folder, payloads=True)
+    single = one_chunk(raw, "traj_id", "ord")
+    known = events.known_events(raw, read(spark, folder, "workflow_nodes"), single=single)
+    return traces.collected_events(raw, traces.attempts(raw, known, read(spark, folder, "workflow_defs"), single=single))
 
 
 @query
