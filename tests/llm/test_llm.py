@@ -89,20 +89,26 @@ def test_reads_differently(a, b):
 
 @pytest.mark.parametrize("a,b", [("app\u04cfe", "apple"), ("f\u03c3rm", "form"), ("\u2c9f\u2ca3en", "open"), ("\ua4e0\ua4f3\ua4f2", "NOI"), ("\u1d22ip", "zip"), ("\u0433un", "run"),
                                  ("\u0585\u057c", "on"), ("\u05e1k", "ok"), ("\U0001d6d4k", "ok"), ("\u15afus", "bus")])
-def test_letters_of_more_scripts_read_the_same(a, b):
-    assert lookalike.skeleton(a) == lookalike.skeleton(b) == b
+def test_letters_of_more_scripts_read_the_same(spark, a, b):
+    table = lookalike.Table(lookalike.confusables(spark))
+    assert lookalike.skeleton(a, table) == lookalike.skeleton(b, table) == b
 
 
-def test_more_letters_tell_case_and_digits_apart():
-    assert not {*"".join(lookalike.MORE_PROTOTYPES.values())} & {*"".join(lookalike.PROTOTYPES.values())}
-    for p, letters in lookalike.MORE_PROTOTYPES.items():
-        assert p.isascii() and p.isalpha() and all(lookalike.skeleton(c) == p for c in letters)
+def test_public_letters_tell_case_and_digits_apart(spark):
+    more = lookalike.confusables(spark)
+    table = lookalike.Table(more)
+    assert len(more) > 500 and all(p.isascii() and p.isalpha() and lookalike.skeleton(chr(c), table) in (p, *lookalike.PROTOTYPES) for c, p in more.items())
+    for a, b in (("\u0399", "l"), ("\u04c0", "l"), ("\ua4f2", "l"), ("\u2c92", "i"), ("1", "I"), ("0", "O"), ("m", "rn"), ("é", "e")):
+        assert lookalike.skeleton(a, table) != lookalike.skeleton(b, table)
+    for a, b in (("ꓐ", "B"), ("ꓳ", "O"), ("ꓲ", "I"), ("Ⲟ", "O"), ("Ꭵ", "i"), ("Ꮷ", "d"), ("σ", "o"), ("յ", "j"), ("ᴏ", "o")):
+        assert lookalike.skeleton(a, table) == b
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
-def test_skeleton_is_stable(t):
-    assert lookalike.skeleton(lookalike.skeleton(t)) == lookalike.skeleton(t)
+def test_skeleton_is_stable(spark, t):
+    for table in (lookalike.Table({}), lookalike.Table(lookalike.confusables(spark))):
+        assert lookalike.skeleton(lookalike.skeleton(t, table), table) == lookalike.skeleton(t, table)
 
 
 def test_pairs_equal_brute_force(spark):

@@ -2,9 +2,11 @@
 
 Every character is decomposed, replaced by the prototype of its look-alikes and
 decomposed again. Full-width, half-width and mathematical forms, no-break
-spaces and joined letters follow from the character database by rule; only the
-letters of other scripts that are drawn as Latin ones need a table. Letter
-case, digits, raised digits and accents stay as they are.
+spaces and joined letters follow from the character database by rule. Letters
+of other scripts that are drawn as Latin ones come from the public table of
+confusables, as the Unicode library beside Spark has it; a short list says
+where that table would mix letters up or is silent. Letter case, digits, raised
+digits and accents stay as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,28 +27,18 @@ from trailmark.plans.sizing import broadcast_if_small
 #: Members of one stored form that are joined in one part, about.
 SPLIT_ROWS = 100_000
 
-#: Letters drawn alike, from the public confusables of Unicode, by prototype.
+#: Letters of the common scripts drawn alike, by prototype; they go before the public table.
 PROTOTYPES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ",
     "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "ԼᏞ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ",
     "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
-    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іιı", "j": "јϳȷ", "n": "ո",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іιı", "l": "ӏ", "j": "јϳȷյ", "n": "ո",
     "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уγү",
     "ß": "β", "μ": "µ",
 }
-#: The other single letters that the confusables give the form of one Latin letter in one case. Those that
-#: may be l as well as I are left out but the Lisu one, which is a capital; the small palochka is drawn as l.
-MORE_PROTOTYPES = {
-    "A": "ᗅꓮ𐊠𖽀", "B": "ᗷꓐꞴ𐊂𐊡𐌁", "C": "Ⲥꓚ𐊢𐌂𐐕𐔜", "D": "ᗞᗪꓓ", "E": "ⴹꓰ𐊆𑢦𑢮", "F": "ᖴꓝꞘ𐊇𐊥𐔥𑢢𑣂", "G": "Ᏻꓖ", "H": "ᕼⲎꓧ𐋏", "I": "ƖⲒꓲ", "J": "ᒍꓙꞲ", "K": "ᛕⲔꓗ𐔘",
-    "L": "ᒪⳐꓡ𐐛𐔦𑢣𑢲𖼖", "M": "ϺᗰᛖⲘꓟ𐊰𐌑", "N": "Ⲛꓠ𐔓", "O": "ଠዐⲞⵔꓳ𐊒𐊫𐐄𐓂𐔖𑢵", "P": "ᑭⲢꓑ𐊕", "Q": "ⵕ", "R": "Ʀᖇꓣ𐒴𖼵", "S": "Ꮥꓢ𐊖𐐠𖼺", "T": "Ⲧꓔ𐊗𐊱𐌕𑢼𖼊", "U": "Սሀᑌꓴ𐓎𑢸𖽂",
-    "V": "ᐯⴸꓦꛟ𐔝𑢠𖼈", "W": "Ꮤꓪ", "X": "ᚷⲬⵝꓫꞳ𐊐𐊴𐌗𐔧", "Y": "ϒᎩᎽⲨꓬ𐊲𑢤𖽃", "Z": "ꓜ𑢩", "b": "ƄЬᏏᑲᖯ", "c": "ᴄⲥꮯ𐐽", "d": "Ꮷᑯꓒ", "e": "ꬲ", "f": "ſքẝꞙꬵ", "g": "ƍᶃ",
-    "h": "Ꮒ", "i": "ɩɪͺᎥꙇꭵ𑣃", "l": "ӏ", "m": "𑜀", "n": "ռ",
-    "o": "σ\u05e1\u0647\u06be\u06c1\u06d5ഠဝჿᴏᴑⲟꬽ\ufba6\ufba7\ufba8\ufba9\ufbaa\ufbab\ufbac\ufbad\ufee9\ufeea\ufeeb\ufeec𐐬𐓪𑣈𑣗", "p": "ϱⲣ", "q": "գ",
-    "r": "гᴦⲅꭇꭈꮁ", "s": "ƽꜱꮪ𐑈𑣁", "u": "ʋᴜꞟꭎꭒ𐓶𑣘", "v": "\u05d8ᴠꮩ𑜆𑣀", "w": "ɯѡաᴡꮃ𑜊𑜎𑜏", "x": "ᕁᕽ", "y": "ɣʏყᶌỿꭚ𑣜", "z": "ᴢꮓ𑣄",
-}
 #: Joined letters that the character database does not take apart.
 JOINED = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ꜳ": "aa", "Ꜳ": "AA"}
-_TO = {ord(x): p for table in (MORE_PROTOTYPES, PROTOTYPES) for p, all_x in table.items() for x in all_x} | {ord(x): y for x, y in JOINED.items()}
+_TO = {ord(x): p for p, all_x in PROTOTYPES.items() for x in all_x} | {ord(x): y for x, y in JOINED.items()}
 _FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 #: Ranges of characters that show nothing though their category is not "format".
 _INVISIBLE = [
@@ -71,31 +63,60 @@ def _decompose(ch: str) -> str:
     return out
 
 
-def prototype(ch: str) -> str:
-    """What a single character becomes."""
+#: Letters of no script below are asked for: ideographs and syllables have no Latin look-alikes.
+_ASKED = [(0x80, 0x3400), (0xA000, 0xAC00), (0xD7B0, 0xD800), (0xF900, 0x20000)]
+_public: dict[str, dict[int, str]] = {}
+
+
+def confusables(spark: SparkSession) -> dict[int, str]:
+    """Letters that the public confusables give the form of one Latin letter, by code point; read once per application.
+
+    The table has one class for l, I and 1: of it capital letters, and those of
+    the script that has capitals only, become I, the others stay. What looks
+    like two letters (rn) is the one that is drawn so (m).
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _public:
+        letters = [chr(c) for lo, hi in _ASKED for c in range(lo, hi) if unicodedata.category(chr(c))[0] == "L"]
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        forms = dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True))
+        capital = lambda c: unicodedata.category(c) == "Lu" or unicodedata.name(c, "").startswith("LISU")
+        chosen = {c: "m" if p == "rn" else p for c, p in forms.items()}
+        chosen = {c: "I" if p == "l" and capital(c) else p for c, p in chosen.items() if p != "l" or capital(c)}
+        _public[app] = {ord(c): p for c, p in chosen.items() if len(p) == 1 and p.isascii() and p.isalpha()}
+    return _public[app]
+
+
+def prototype(ch: str, more: dict[int, str]) -> str:
+    """What a single character becomes; ``more`` is :func:`confusables`."""
     if unicodedata.category(ch) == "Cf" or any(a <= ord(ch) <= b for a, b in _INVISIBLE):
         return ""
     if ch in "\t\x0b\x0c" or unicodedata.category(ch) == "Zs":
         return " "
     if ord(ch) in (0x85, 0x2028, 0x2029):
         return "\n"
-    return "".join(_TO.get(ord(c), c) for c in _decompose(ch))
+    return "".join(_TO.get(ord(c)) or more.get(ord(c), c) for c in _decompose(ch))
+
+
+class Table(dict):
+    """Characters to prototypes, filled as they are met."""
 
+    def __init__(self, more: dict[int, str]) -> None:
+        self.more = more
 
-class _Table(dict):
     def __missing__(self, code: int) -> str:
-        value = self[code] = prototype(chr(code))
+        value = self[code] = prototype(chr(code), self.more)
         return value
 
 
-_TABLE = _Table()
+_TABLE = Table({})
 
 
-def skeleton(text: str) -> str:
-    """The consistent form: equal for texts that read the same."""
+def skeleton(text: str, table: Table = _TABLE) -> str:
+    """The consistent form: equal for texts that read the same. Without a table of one's own the common scripts are covered."""
     if text.isascii():
         return text.translate({9: " ", 11: " ", 12: " "}).replace("\r\n", "\n") if re.search("[\t\x0b\x0c\r]", text) else text
-    return unicodedata.normalize("NFD", text.translate(_TABLE)).replace("\r\n", "\n")
+    return unicodedata.normalize("NFD", text.translate(table)).replace("\r\n", "\n")
 
 
 #: A text with a letter or digit, to be matched by Spark.
@@ -108,12 +129,13 @@ def _digest(text: str) -> str:
 
 def _mapped(df: DataFrame, columns: list[str], schema: T.StructType, forms: bool) -> DataFrame:
     """Append to the columns the skeleton of the last one (or the digests of both forms)."""
-    width = len(columns)
+    width, more = len(columns), confusables(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(more)
         for batch in batches:
             texts = batch.column(width - 1).to_pylist()
-            made = [None if t is None else skeleton(t) for t in texts]
+            made = [None if t is None else skeleton(t, table) for t in texts]
             head = [batch.column(i) for i in range(width - 1)]
             if forms:
                 yield pa.RecordBatch.from_arrays([*head, batch.column(width - 1), pa.array(made, pa.string())], names=schema.names)
