@@ -206,6 +206,36 @@ def test_models_by_role_and_batch():
         embed.ModelEncoder(embed.ModelSpec("x", pooling="max"))
 
 
+def test_batches_are_encoded_at_once():
+    from trailmark.operators.align import score_response, warmed
+
+    seen = []
+
+    class Counting(ConceptEncoder):
+        def encode(self, texts):
+            seen.append(len(texts))
+            return super().encode(texts)
+
+    config = ScorerConfig(threshold=0.45, encoder=Counting({"look": ["look"], "mend": ["mend"]}))
+    rows, steps = [WORDS, WORDS * 3, ""], [[["look"], ["mend"]], [["mend"]], [["look"]]]
+    encode = warmed(config, rows, steps, [False, False, True])
+    got = [score_response(encode, r, s, config) for r, s in zip(rows, steps, strict=True)]
+    assert len(seen) == 1 and [g["score"] for g in got] == [score_response(Cached(config.encoder).encode, r, s, config)["score"] for r, s in zip(rows, steps, strict=True)]
+    assert set(experiments.stage_timings(rounds=1)) == {"ms_windows", "ms_encode_cold", "ms_encode_warm", "ms_product", "ms_path", "ms_graph", "ms_enumerate"}
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from trailmark.plans.shared import intermediate, write_shared
+
+    with intermediate():
+        path = write_shared(spark.range(3), "x").inputFiles()[0]
+        folder = os.path.dirname(path.removeprefix("file:").replace("///", "/"))
+        assert os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
 def test_settings_of_the_environment(monkeypatch):
     monkeypatch.setenv("OLD_THRESHOLD", "0.2")
     monkeypatch.setenv("OLD_MAX_WINDOWS", "9")

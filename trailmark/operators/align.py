@@ -162,6 +162,19 @@ def score_response(encode, response: str, steps: list[list[str]], config: Scorer
     return (fine if fine["match_rate"] >= coarse["match_rate"] else coarse) | {"method": "coarse_to_fine"}
 
 
+def warmed(config: ScorerConfig, responses: list[str], steps: list[list[list[str]]], denied: list[bool]):
+    """An encode that has the vectors of all texts of a batch: the encoder sees full micro-batches, each text once."""
+    pairs: dict[tuple[str, str], None] = {}
+    for r, s, d in zip(responses, steps, denied, strict=True):
+        if s and not d:
+            pairs |= {("query", c): None for x in s for c in x}
+            sizes = [config.coarse, config.fine] if config.coarse_to_fine else [config.fine]
+            pairs |= {("passage", w[3]): None for size in sizes for w in windows_of(r, *size, config.max_windows)[0]}
+    cached = Cached(config.encoder, max(config.cache_size, len(pairs)))
+    cached.encode([t for _, t in pairs], [r for r, _ in pairs])
+    return cached.encode
+
+
 RESULT = T.StructType(
     [T.StructField(n, T.DoubleType()) for n in ("score", "match_rate", "order_rate")]
     + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("matched_steps", "unmatched_steps")]
@@ -200,6 +213,8 @@ def score_samples(df: DataFrame, keep: list[str], response: Column, steps: Colum
         blank = {f: None for f in RESULT.names}
         for batch in batches:
             out = []
+            if getattr(config.encoder, "batched", False):
+                encode = warmed(config, *(batch.column(k + i).to_pylist() for i in range(3)))
             for r, s, d in zip(*(batch.column(k + i).to_pylist() for i in range(3)), strict=True):
                 if d:
                     got = score_once(encode, "", s, config.fine, config.threshold, config) | {"method": "denied"}

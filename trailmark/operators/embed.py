@@ -209,6 +209,9 @@ def provider(available: list[str]) -> tuple[str, str]:
 class ModelEncoder:
     """A model as an encoder: micro-batches, pooling, unit vectors. Travels to executors as its specification."""
 
+    #: Texts are better given many at a time.
+    batched = True
+
     def __init__(self, spec: ModelSpec, loader: Callable[[ModelSpec], Forward] = onnx_forward) -> None:
         if spec.pooling not in ("mean", "cls") or spec.batch <= 0 or spec.max_length <= 0:
             raise ValueError("pooling must be 'mean' or 'cls', batch and length positive")

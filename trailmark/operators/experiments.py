@@ -81,3 +81,35 @@ def layered_workflow(branches: int, layers: int, name: str = "layered") -> tuple
     edges = [{"source": a, "target": b, "kind": "alternative" if b != "done" else "forward", "max_traversals": 1} for up, down in zip(levels, levels[1:], strict=False) for a in up for b in down]
     spec = {"name": name, "nodes": [node(i, text[i]) for row in levels for i in row], "edges": edges, "start": "start", "terminals": ["done"], "stage_weights": {}}
     return spec, " Some other words stand here and tell nothing. ".join(f"{text[row[0]]}." for row in levels)
+
+
+def stage_timings(steps: int = 5, repeats: int = 128, rounds: int = 20) -> dict[str, float]:
+    """Milliseconds of each stage of scoring one long response: windows, vectors (first time and kept), product, path; and of graph against paths."""
+    import json
+    import time
+
+    from trailmark.operators import align, embed, windows, workflow
+
+    text = "the module was patched and its checks pass again. " * repeats
+    asked = [[f"check the module {i}"] for i in range(steps)]
+    config, out = align.ScorerConfig(), {}
+
+    def timed(name: str, call):
+        began = time.perf_counter()
+        for _ in range(rounds):
+            got = call()
+        out[name] = round((time.perf_counter() - began) * 1000 / rounds, 3)
+        return got
+
+    found, _ = timed("ms_windows", lambda: windows.windows_of(text, *config.coarse, config.max_windows))
+    texts, cached = [w[3] for w in found], embed.Cached(embed.NgramEncoder())
+    timed("ms_encode_cold", lambda: embed.Cached(embed.NgramEncoder()).encode(texts))
+    cached.encode(texts)
+    timed("ms_encode_warm", lambda: cached.encode(texts))
+    sim, _ = timed("ms_product", lambda: align.similarities(cached.encode, asked, texts))
+    timed("ms_path", lambda: align.align(sim, config.threshold))
+    spec, response = layered_workflow(2, 5)
+    for mode in ("graph", "enumerate"):
+        own = workflow.WorkflowConfig(mode=mode)
+        timed(f"ms_{mode}", lambda own=own: workflow.score_workflow(cached.encode, json.dumps(spec), response, {}, config, own))
+    return out

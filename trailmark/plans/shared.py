@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trailmark-{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, to be deleted at the end."""
+    path = f"{shared_folder(spark)}/trailmark-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@contextmanager
+def intermediate() -> Iterator[None]:
+    """Deletes at its end what was written inside: for long sessions, once a result is stored or collected."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        _delete(first)
+
+
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def _delete(first: int = 0) -> None:
+    own = _written[first:]
+    del _written[first:]
+    for spark, path in own:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.plans.shared import shared_folder
+from trailmark.plans.shared import own_folder
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +39,7 @@ def sessions(stream: DataFrame, *, gap: str = "10 minutes", late: str = "30 days
 
 def drained(spark: SparkSession, out: DataFrame, label: str) -> DataFrame:
     """Run a stream over what is there and return its final table."""
-    folder = f"{shared_folder(spark)}/trailmark-stream-{label}-{uuid.uuid4().hex}"
+    folder = own_folder(spark, f"stream-{label}")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("append").parquet(f"{folder}/out/batch={number}")
