@@ -246,11 +246,11 @@ def test_settings_of_the_environment(monkeypatch):
 
 
 def test_own_evidence_patterns(spark):
-    df = spark.createDataFrame([("a", "ok 7", [["look"]]), ("b", "look at it", [["look"]])], "id string, r string, s array<array<string>>")
+    df = spark.createDataFrame([("a", "okay 7", [["look"]]), ("b", "look at it", [["look"]])], "id string, r string, s array<array<string>>")
     from trailmark.operators.align import score_samples
 
-    config = ScorerConfig(threshold=0.45, require_trace=True, tool_patterns=("ok",), reasoning_patterns=(), encoder=SCORER.encoder)
-    assert {r.id: r.result.trace_denied for r in score_samples(df, ["id"], F.col("r"), F.col("s"), config).collect()}["a"] is False
+    config = ScorerConfig(threshold=0.45, require_trace=True, tool_patterns=("okay",), reasoning_patterns=(), encoder=SCORER.encoder)
+    assert {r.id: r.result.trace_denied for r in score_samples(df, ["id"], F.col("r"), F.col("s"), config).collect()} == {"a": False, "b": True}
 
 
 def test_layers_and_report(spark):

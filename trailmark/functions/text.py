@@ -5,26 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and word lists that decide results.
-EXECUTION = r"run test|pytest|apply (?:the )?(?:fix|patch|code fix)|modify (?:the )?(?:code|implementation)|add (?:or update )?(?:unit )?tests|<\w+>|verify the fix"
-REASONING = r"locate (?:the )?root cause|trace (?:the )?(?:call chain|failure)|explain why|identify (?:the )?(?:bug|issue|faulty)"
-PREPARATION = r"^read\b|^understand\b|^review the (?:task|issue|bug report)\b"
-TOOL_TRACE = (
-    r"<\w+>|^diff --git|^@@ |^--- a/|^\+\+\+ b/|```|\bdef \w+|\w+\([^)]*\)|\b(?:src|tests?)/\S+|\b\w+\.py\b|Output:"
-    r"|\bPASSED\b|\bFAILED\b|\bfail(?:ed|ure)?\b"
-)
-REASONING_TRACE = (
-    r"\broot cause\s+(?:is|was|are|were)\b|\bthe (?:issue|problem|bug)\s+(?:is|was|lies)\b|\bbecause\b|\bdue to\b|\bcaused by\b"
-    r"|\btherefore\b|\bthus\b|\bhence\b|\bleads? to\b|\bresults? (?:in|from)\b"
-)
-INTENTION = (
-    r"\b(?:i|we)?\s*(?:will|would|plan(?:ning)?\s+to|intend(?:ing)?\s+to|(?:am|are)\s+going\s+to|need\s+to)\b"
-    r"|(?:将|会|计划|打算|准备|需要)"
-)
+# Patterns and word lists that decide results, as they must be; letter case never matters.
+EXECUTION = [
+    r"run test",
+    r"pytest",
+    r"apply (?:the )?(?:fix|patch|code fix)",
+    r"modify (?:the )?(?:code|implementation)",
+    r"add (?:or update )?(?:unit )?tests",
+    r"<\w+>",
+    r"verify the fix",
+]
+REASONING = [
+    r"locate (?:the )?root cause",
+    r"trace (?:the )?(?:call chain|failure)",
+    r"explain why",
+    r"identify (?:the )?(?:bug|issue|faulty)",
+]
+PREPARATION = [
+    r"^read\b",
+    r"^understand\b",
+    r"^review the (?:task|issue|bug report)\b",
+]
+TOOL_TRACE = [
+    r"<\w+>",
+    r"^diff --git", r"^@@ ", r"^--- a/", r"^\+\+\+ b/",
+    r"```",
+    r"\bdef \w+",
+    r"\w+\([^)]*\)",
+    r"\b(?:src|tests?|test)/\S+",
+    r"\b\w+\.py\b",
+    r"Output:",
+    r"\bPASSED\b", r"\bFAILED\b", r"\bpassed\b", r"\bfail(?:ed|ure)?\b",
+]
+REASONING_TRACE = [
+    r"\broot cause\s+(?:is|was|are|were)\b",
+    r"\bthe (?:issue|problem|bug)\s+(?:is|was|lies)\b",
+    r"\bbecause\b",
+    r"\bdue to\b",
+    r"\bcaused by\b",
+    r"\btherefore\b", r"\bthus\b", r"\bhence\b",
+    r"\bleads? to\b", r"\bresults? (?:in|from)\b",
+]
+INTENTION = [
+    r"\b(?:i|we)?\s*(?:will|would|plan(?:ning)?\s+to|intend(?:ing)?\s+to|(?:am|are)\s+going\s+to|need\s+to)\b",
+    r"(?:我|我们)?(?:将|会|计划|打算|准备|需要)(?:先|再|去|要)?",
+]
 SENTENCE_END = "([.!?。！？；;])"
 PIECE_BREAK = r"(?U)[，,。；;！!？?\n\s]"
 
 
+def matches(c: Column, patterns: list[str] | tuple[str, ...], flags: str = "iU") -> Column:
+    """Whether one of the patterns is found; none is if there are none."""
+    return c.rlike(f"(?{flags})" + "|".join(patterns)) if patterns else F.when(c.isNotNull(), F.lit(False))
+
+
 def strip(c: Column) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -59,9 +93,9 @@ def step_tier(text: Column) -> Column:
     t = strip(F.coalesce(text, F.lit("")))
     return (
         F.when(t == "", "proxy")
-        .when(t.rlike(f"(?iU){EXECUTION}"), "observable")
-        .when(t.rlike(f"(?iU){REASONING}"), "reasoning")
-        .when(t.rlike(f"(?iU){PREPARATION}"), "proxy")
+        .when(matches(t, EXECUTION), "observable")
+        .when(matches(t, REASONING), "reasoning")
+        .when(matches(t, PREPARATION), "proxy")
         .otherwise("reasoning")
     )
 
@@ -89,7 +123,7 @@ def mentions(sentence: Column, step: Column) -> Column:
 
 def intention_fraction(response: Column, steps: Column) -> Column:
     """Share of (normalised) steps that only sentences of intention mention."""
-    marked = F.transform(sentences(F.coalesce(response, F.lit(""))), lambda s: F.struct(s.alias("s"), s.rlike(f"(?iU){INTENTION}").alias("i")))
+    marked = F.transform(sentences(F.coalesce(response, F.lit(""))), lambda s: F.struct(s.alias("s"), matches(s, INTENTION).alias("i")))
     recited = F.filter(
         steps,
         lambda step: F.exists(marked, lambda m: m["i"] & mentions(m["s"], step)) & ~F.exists(marked, lambda m: ~m["i"] & mentions(m["s"], step)),
@@ -97,13 +131,13 @@ def intention_fraction(response: Column, steps: Column) -> Column:
     return F.when(F.size(steps) > 0, F.size(recited) / F.size(steps)).otherwise(F.lit(0.0))
 
 
-def has_trace(response: Column, steps: Column, tools: str = TOOL_TRACE, reasoning: str = REASONING_TRACE) -> Column:
+def has_trace(response: Column, steps: Column, tools: list[str] = TOOL_TRACE, reasoning: list[str] = REASONING_TRACE) -> Column:
     """Tool evidence in the text, or reasoning in what is left of it without the steps' names."""
     text = F.coalesce(response, F.lit(""))
     rest = F.aggregate(
         F.flatten(steps), text, lambda t, s: F.regexp_replace(t, F.concat(F.lit("(?iu)\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(" "))
     )
-    return F.when(text == "", False).when(text.rlike(f"(?imU){tools}"), True).otherwise(rest.rlike(f"(?iU){reasoning}"))
+    return F.when(text == "", False).when(matches(text, tools, "imU"), True).otherwise(matches(rest, reasoning))
 
 
 def split_think(solution: Column) -> Column:

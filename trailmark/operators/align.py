@@ -43,10 +43,10 @@ class ScorerConfig:
     reasoning_patterns: tuple[str, ...] | None = None
 
     @property
-    def patterns(self) -> dict[str, str]:
+    def patterns(self) -> dict[str, tuple[str, ...]]:
         """What :func:`trailmark.functions.text.has_trace` takes of them."""
         given = {"tools": self.tool_patterns, "reasoning": self.reasoning_patterns}
-        return {k: "|".join(f"(?:{p})" for p in v) for k, v in given.items() if v is not None}
+        return {k: v for k, v in given.items() if v is not None}
 
     @classmethod
     def from_env(cls, prefix: str = "TRAILMARK_", legacy: tuple[str, ...] = (), **own: Any) -> ScorerConfig:

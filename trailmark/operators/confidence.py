@@ -25,7 +25,7 @@ class RoutingConfig:
     high_match_rate: float = 0.95
     require_trace_when_high_match: bool = True
     #: Own patterns of evidence, as arguments of :func:`trailmark.functions.text.has_trace`.
-    patterns: dict[str, str] = field(default_factory=dict)
+    patterns: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 def _two(c: Column) -> Column:

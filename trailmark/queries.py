@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.api import compute_scores
 from trailmark.functions import text as X
-from trailmark.functions.payloads import redact_json, resolver
+from trailmark.functions.payloads import DIRECT_PATHS, NESTED_PATHS, redact_json, resolver
 from trailmark.functions.tools import Call, handler_name, semantics
 from trailmark.operators import align, embed, events, experiments, quality, traces, windows
 from trailmark.operators import workflow as wf
@@ -80,7 +80,25 @@ def classify_steps(spark, folder):
 
 @query
 def label_coercion(spark, folder):
-    return samples(spark, folder).select("id", X.coerced_label(F.col("label")).alias("label"))
+    """Labels in all their spellings, read back."""
+    spelled = F.array(*map(F.lit, ["1", "true", "Positive", "GENUINE"])), F.array(*map(F.lit, ["0", "False", "negative", "hard_negative"]))
+    at = F.pmod(F.crc32("id"), F.lit(4)).cast("int") + 1
+    text = F.when(F.col("label") == 1, F.element_at(spelled[0], at)).when(F.col("label") == 0, F.element_at(spelled[1], at))
+    return samples(spark, folder).select("id", X.coerced_label(text).alias("label"))
+
+
+@query
+def resolve_paths(spark, folder):
+    """Steps at each place where a row may hold them, one place to a row in turn."""
+    rows = read_rlvr(spark, f"{folder}/rlvr_rows.parquet").select("row_id")
+    steps = F.format_string('["open %d", {"action": "close %d"}]', "row_id", "row_id")
+    extra = F.lit(None).cast("string")
+    for k, path in enumerate([*DIRECT_PATHS, *NESTED_PATHS]):
+        parts = path.split(".")
+        text = F.concat(F.lit("".join(f'{{"{p}": ' for p in parts)), steps, F.lit("}" * len(parts)))
+        extra = F.when(F.col("row_id") % 11 == k, text).otherwise(extra)
+    got = rows.select("row_id", resolver()(extra, F.lit("a plain answer")).alias("r"))
+    return got.select("row_id", F.col("r.source").alias("source"), F.array_join(F.transform("r.steps", X.step_label), " || ").alias("labels"))
 
 
 # ------------------------------------------------------------------ windows

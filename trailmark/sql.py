@@ -115,8 +115,8 @@ TOLD = f"""sentenced as (select id, steps, {_SENTENCES} as sents from stepped),
 
 def tier(x: str) -> str:
     return (
-        f"case when {strip(x)} = '' then 'proxy' when regexp_matches({strip(x)}, '(?i){EXECUTION.replace(chr(92) + 'w', WORD)}') then 'observable' "
-        f"when regexp_matches({strip(x)}, '(?i){REASONING}') then 'reasoning' when regexp_matches({strip(x)}, '(?i){PREPARATION.replace(chr(92) + 'b', R)}') then 'proxy' else 'reasoning' end"
+        f"case when {strip(x)} = '' then 'proxy' when regexp_matches({strip(x)}, '(?i){'|'.join(EXECUTION).replace(chr(92) + 'w', WORD)}') then 'observable' "
+        f"when regexp_matches({strip(x)}, '(?i){'|'.join(REASONING)}') then 'reasoning' when regexp_matches({strip(x)}, '(?i){'|'.join(PREPARATION).replace(chr(92) + 'b', R)}') then 'proxy' else 'reasoning' end"
     )
 
 
@@ -373,6 +373,9 @@ SQL: dict[str, str] = {
       select row_id, case when len(s) > 0 then src end as source, len(s) as n_steps, array_to_string(s, ' || ') as labels from q""",
     "classify_steps": f"with {SAMPLES}, {numbered('x', '(select id, reference_steps from samples)', 'reference_steps', 'step')}, y as (select id, pos, list_filter(coalesce(step, []), lambda c: {strip('c')} <> '') as step from x) select id, cast(pos as int) as step_index, {tiers('step')} as tier from y",
     "label_coercion": f"with {SAMPLES} select id, label from samples",
+    "resolve_paths": """select row_id, case when row_id % 11 < 10 then 'extra_info.' || (['reference_steps', 'actions', 'metadata.reference_steps', 'metadata.actions', 'rlvr.reference_steps', 'rlvr.actions', 'ground_truth.reference_steps',
+        'ground_truth.actions', 'reward_model.ground_truth.reference_steps', 'reward_model.ground_truth.actions'])[row_id % 11 + 1] end as source,
+      case when row_id % 11 < 10 then 'open ' || row_id || ' || close ' || row_id else '' end as labels from rlvr_rows""",
     "sliding_windows": f"with recursive {windows(48, 24)}, {kept(256)} select id, cast(i as int) as win, cast(s as int) as start_char, cast(e as int) as end_char, md5(substr(t, s + 1, e - s)) as text_md5 from capped",
     "window_coverage": f"""with recursive {windows(128, 64)}, {kept(32)},
       reach as (select *, max(e) over (partition by id order by i rows between unbounded preceding and 1 preceding) as before from capped),
