@@ -100,14 +100,16 @@ def step_tier(text: Column) -> Column:
     )
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def candidates_tier(step: Column) -> Column:
-    """The tier of a step from those of its candidates."""
-    tiers = F.transform(step, step_tier)
-    return (
-        F.when(F.exists(tiers, lambda t: t == "observable"), "observable")
-        .when(F.forall(tiers, lambda t: t == "proxy") & (F.size(tiers) > 0), "proxy")
-        .otherwise("reasoning")
-    )
+    """The tier of a step from those of its candidates, each looked at once."""
+    bit = lambda t: F.when(t == "observable", 1).when(t == "proxy", 2).otherwise(4)
+    seen = F.aggregate(step, F.lit(0), lambda s, c: s.bitwiseOR(once(step_tier(c), bit)))
+    return once(seen, lambda s: F.when(s.bitwiseAND(F.lit(1)) > 0, "observable").when(s == 2, "proxy").otherwise("reasoning"))
 
 
 def sentences(text: Column) -> Column:

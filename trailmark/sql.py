@@ -481,7 +481,15 @@ SQL: dict[str, str] = {
     "redact": r"""select distinct traj_id, ord, call_id, regexp_replace(arguments, '("(?:api_key|apikey|authorization|cookie|password|secret|token|[^"]*(?:_token|_secret|_password|_key))"\s*:\s*)"[^"]*"', '\1"[REDACTED]"', 'gi') as arguments
       from (select distinct * from tool_calls)""".replace("select distinct traj_id, ord, call_id, regexp", "select traj_id, ord, call_id, regexp"),
     "event_trust": f"with {EVENTS} select traj_id, ord, coalesce(trusted and source in ('runtime', 'external'), false) as trusted from ev",
-    "occurrence_infer": f"with {KNOWN} select traj_id, ord, node_id, cast(occ as bigint) as occ from known",
+    # event by event, with the largest number of each node so far
+    "occurrence_infer": f"""with recursive {EVENTS}, o as (select traj_id, ord, node_id, occurrence, row_number() over (partition by traj_id order by ord) as k from ev e
+        where exists (select 1 from workflow_nodes n where n.workflow = e.workflow and n.id = e.node_id)),
+      r as (select traj_id, ord, node_id, k, coalesce(occurrence, 1) as occ, map([node_id], [coalesce(occurrence, 1)]) as tops from o where k = 1
+        union all
+        select traj_id, ord, node_id, k, occ, map_concat(tops, map([node_id], [greatest(occ, coalesce(map_extract(tops, node_id)[1], 0))])) from (
+          select o.traj_id, o.ord, o.node_id, o.k, r.tops, coalesce(o.occurrence, case when o.node_id = r.node_id then r.occ else coalesce(map_extract(r.tops, o.node_id)[1], 0) + 1 end) as occ
+          from r join o on o.traj_id = r.traj_id and o.k = r.k + 1))
+      select traj_id, ord, node_id, cast(occ as bigint) as occ from r""",
     "visit_islands": f"with {VISITS} select traj_id, cast(visit as bigint) as visit, node_id, cast(occ as bigint) as occ, first_ord, n_events from visits",
     "edge_lookup": f"with {MOVES} select traj_id, cast(visit as bigint) as visit, source, node_id as target, edge_index, n_edges, taken from moves",
     "transition_counts": f"with {MOVES} select workflow, edge_kind as kind, count(*) as n from moves where edge_index is not null group by all",
