@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import text as X
 from trailmark.functions.payloads import redact_json, stable_json
 from trailmark.functions.tools import Call, Handler, handler_name, semantics
-from trailmark.operators.sequences import one_chunk, running, with_previous
+from trailmark.operators.sequences import in_parts, running, with_previous
 from trailmark.plans.delivery import latest_delivery
 from trailmark.plans.shared import write_shared
 from trailmark.plans.sizing import broadcast_if_small
@@ -59,17 +59,16 @@ def current_events(raw: DataFrame) -> DataFrame:
     return write_shared(tidy.join(top, "traj_id", "left"), "events")
 
 
-def known_events(events: DataFrame, nodes: DataFrame, *, single: bool | None = None) -> DataFrame:
+def known_events(events: DataFrame, nodes: DataFrame, *, single: bool = False) -> DataFrame:
     """Events whose node belongs to their workflow, with ``occ``, the given or inferred occurrence.
 
     Within a stretch of events of one node the first unnumbered event opens a
     new visit, later ones continue it; so a stretch maps the node's largest
     occurrence m to max(m + a, b), with a = 1 if it opens a visit and b the
     largest number given in it. Such maps compose to a running sum and a
-    running maximum, which is what is computed. ``single`` says whether every
-    trajectory lies within one chunk; None looks.
+    running maximum, which is what is computed. ``single`` says that every
+    trajectory lies within one chunk (:mod:`trailmark.operators.sequences`).
     """
-    single = one_chunk(events, "traj_id", "ord") if single is None else single
     # across chunks each prefix computation reads its input twice, so its input is a table
     table = (lambda df: df) if single else (lambda df: write_shared(df, "known"))
     ids = nodes.select(F.col("workflow").alias("w"), F.col("id").alias("i"))
@@ -138,10 +137,12 @@ def checks(events: DataFrame, nodes: DataFrame, edges: DataFrame, defs: DataFram
     """``traj_id, passed, reason``: every check of every trajectory; ``reason`` is what its failing says.
 
     The checks of an event, a visit or a move are an array of its row, so each
-    table is read once; visits and moves are written once.
+    table is read once; visits are written once. ``single`` says that every
+    trajectory lies within one chunk; None parts them.
     """
+    if single is None:
+        return in_parts(events, "traj_id", "ord", lambda rows, short: checks(rows, nodes, edges, defs, config, single=short))
     c = config or ValidationConfig()
-    single = one_chunk(events, "traj_id", "ord") if single is None else single
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     check = lambda ok, reason: F.struct(ok.alias("passed"), reason.alias("reason"))
     rows = lambda df, *found: df.select("traj_id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("traj_id", "x.*")

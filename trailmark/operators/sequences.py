@@ -1,31 +1,50 @@
 """Prefix computations along ordered sequences of which one may hold a large part of all rows.
 
 Positions are cut into chunks; each chunk computes alone, and only a row per
-chunk meets in the window over the whole sequence. Where every sequence lies
-within one chunk (:func:`one_chunk`) there is nothing to carry over, and a plain
-window gives the same.
+chunk meets in the window over the whole sequence. A sequence within one
+chunk has nothing to carry over, and a plain window gives the same; so long
+sequences are told from short ones first (:func:`in_parts`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.plans.shared import write_shared
+from trailmark.plans.sizing import broadcast_if_small
+
 #: Positions in a chunk.
 CHUNK = 65_536
 
 
-def one_chunk(df: DataFrame, seq: str, order: str, *, chunk: int = CHUNK) -> bool:
-    """Whether every sequence lies within one chunk: one combining aggregate over two columns."""
+def by_length(df: DataFrame, seq: str, order: str, *, chunk: int = CHUNK) -> list[tuple[DataFrame, bool]]:
+    """The rows of sequences within one chunk, and those of longer ones, if there are any; with whether it is the former.
+
+    Found by a combining aggregate over two columns. The long sequences are at
+    most the rows by ``chunk`` where positions follow each other, so they are few.
+    """
     at = F.floor(F.col(order) / chunk)
-    wide = df.groupBy(seq).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).agg(F.max((F.col("lo") < F.col("hi")).cast("int")).alias("x"))
-    return not wide.first()["x"]
+    wide = df.groupBy(F.col(seq).alias("__seq")).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo < hi").select("__seq")
+    wide = write_shared(wide, "long")
+    if wide.isEmpty():
+        return [(df, True)]
+    few, same = broadcast_if_small(wide, 1_000_000), F.col(seq) == F.col("__seq")
+    return [(df.join(few, same, "left_anti"), True), (df.join(few, same, "left_semi"), False)]
+
+
+def in_parts(df: DataFrame, seq: str, order: str, use: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """What ``use`` (rows, whether all their sequences lie within one chunk) makes of short sequences and of long ones."""
+    return reduce(DataFrame.unionByName, [use(rows, single) for rows, single in by_length(df, seq, order)])
 
 
 def with_previous(df: DataFrame, seq: str, order: str, columns: list[str], *, chunk: int = CHUNK, single: bool = False) -> DataFrame:
     """Add ``prev_<c>`` for each column: its value in the row before, in ``order`` within ``seq``; and ``has_prev``.
 
-    ``single`` says that :func:`one_chunk` holds.
+    ``single`` says that every sequence lies within one chunk.
     """
     if single:
         before = F.lag(F.struct(*[F.col(c) for c in columns])).over(Window.partitionBy(seq).orderBy(order))
@@ -49,7 +68,7 @@ def with_previous(df: DataFrame, seq: str, order: str, columns: list[str], *, ch
 def running(df: DataFrame, keys: list[str], order: str, name: str, kind: str, value: Column, *, chunk: float = CHUNK, single: bool = False) -> DataFrame:
     """Add ``name``: the running sum or maximum (``kind``) of ``value`` up to and including each row.
 
-    ``single`` says that :func:`one_chunk` holds.
+    ``single`` says that every sequence lies within one chunk.
     """
     if kind not in ("sum", "max"):
         raise ValueError("kind must be 'sum' or 'max'")

@@ -14,7 +14,7 @@ from trailmark.functions.tools import Call, handler_name, semantics
 from trailmark.operators import align, embed, events, experiments, quality, traces, windows
 from trailmark.operators import workflow as wf
 from trailmark.operators.confidence import assess
-from trailmark.operators.sequences import one_chunk, running
+from trailmark.operators.sequences import in_parts, running
 from trailmark.plans.delivery import latest_delivery
 from trailmark.plans.shared import write_shared
 from trailmark.plans.sizing import broadcast_if_small, spread
@@ -440,31 +440,30 @@ def render_events(spark, folder):
     return events.rendered(_events(spark, folder, payloads=True)).select("traj_id", "ord", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-def _known(spark, folder):
-    """Events of known nodes, and whether every trajectory lies within one chunk."""
-    e = _events(spark, folder)
-    single = one_chunk(e, "traj_id", "ord")
-    return events.known_events(e, read(spark, folder, "workflow_nodes"), single=single), single
+def _walked(spark, folder, use, *, payloads=False):
+    """What ``use`` (events, events of known nodes, whether no trajectory is long) makes of short trajectories and of long ones."""
+    nodes = read(spark, folder, "workflow_nodes")
+    raw = _events(spark, folder, payloads=payloads)
+    return in_parts(raw, "traj_id", "ord", lambda rows, single: use(rows, events.known_events(rows, nodes, single=single), single))
 
 
-def _visits(spark, folder):
-    known, single = _known(spark, folder)
-    return events.visits(known, single=single), single
+def _visits(spark, folder, use=lambda seen, single: seen):
+    return _walked(spark, folder, lambda _, known, single: use(events.visits(known, single=single), single))
 
 
 def _moves(spark, folder):
-    seen, single = _visits(spark, folder)
-    return events.transitions(seen, read(spark, folder, "workflow_edges"), single=single)
+    edges = read(spark, folder, "workflow_edges")
+    return _visits(spark, folder, lambda seen, single: events.transitions(seen, edges, single=single))
 
 
 @query
 def occurrence_infer(spark, folder):
-    return _known(spark, folder)[0].select("traj_id", "ord", "node_id", F.col("occ").cast("long").alias("occ"))
+    return _walked(spark, folder, lambda _, known, single: known).select("traj_id", "ord", "node_id", F.col("occ").cast("long").alias("occ"))
 
 
 @query
 def visit_islands(spark, folder):
-    v, _ = _visits(spark, folder)
+    v = _visits(spark, folder)
     return v.select("traj_id", F.col("visit").cast("long").alias("visit"), "node_id", F.col("occ").cast("long").alias("occ"), "first_ord", "n_events")
 
 
@@ -488,16 +487,14 @@ def ambiguous_transitions(spark, folder):
 
 @query
 def visit_limits(spark, folder):
-    v = _visits(spark, folder)[0].groupBy("traj_id", "workflow", "node_id").agg(F.count(F.lit(1)).alias("visits"))
+    v = _visits(spark, folder).groupBy("traj_id", "workflow", "node_id").agg(F.count(F.lit(1)).alias("visits"))
     n = read(spark, folder, "workflow_nodes").select("workflow", F.col("id").alias("node_id"), "max_visits")
     return v.join(n, ["workflow", "node_id"]).filter("visits > max_visits").select("traj_id", "node_id", "visits", "max_visits")
 
 
 @query
 def state_observations(spark, folder):
-    raw = _events(spark, folder, payloads=True)
-    single = one_chunk(raw, "traj_id", "ord")
-    s = events.state_observations(events.known_events(raw, read(spark, folder, "workflow_nodes"), single=single), raw, single=single)
+    s = _walked(spark, folder, lambda raw, known, single: events.state_observations(known, raw, single=single), payloads=True)
     return s.select("traj_id", "node_id", F.col("occ").cast("long").alias("occ"), "before", "after")
 
 
@@ -515,24 +512,30 @@ def trace_validity(spark, folder):
 @query
 def potential_shaping(spark, folder):
     """Share of a workflow's nodes seen so far as potential, and its shaped increments."""
-    known, single = _known(spark, folder)
-    known = write_shared(known, "known")  # read for the nodes' first events and for all
-    first = known.groupBy(F.col("traj_id").alias("t"), F.col("node_id").alias("n")).agg(F.min("ord").alias("o"))
-    here = (F.col("traj_id") == F.col("t")) & (F.col("node_id") == F.col("n")) & (F.col("ord") == F.col("o"))
     total = read(spark, folder, "workflow_nodes").groupBy(F.col("workflow").alias("w")).agg(F.count(F.lit(1)).alias("nodes"))
-    marked = known.join(first, here, "left").withColumn("new", F.col("o").isNotNull().cast("long")).drop("t", "n", "o")
-    seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new"), single=single).join(broadcast_if_small(total), F.col("workflow") == F.col("w"))
-    out = wf.shaped(seen.withColumn("potential", F.col("seen") / F.col("nodes")), "traj_id", "ord", gamma=0.9, single=single)
+
+    def potentials(_, known, single):
+        known = write_shared(known, "known")  # read for the nodes' first events and for all
+        first = known.groupBy(F.col("traj_id").alias("t"), F.col("node_id").alias("n")).agg(F.min("ord").alias("o"))
+        here = (F.col("traj_id") == F.col("t")) & (F.col("node_id") == F.col("n")) & (F.col("ord") == F.col("o"))
+        marked = known.join(first, here, "left").withColumn("new", F.col("o").isNotNull().cast("long")).drop("t", "n", "o")
+        seen = running(marked, ["traj_id"], "ord", "seen", "sum", F.col("new"), single=single).join(broadcast_if_small(total), F.col("workflow") == F.col("w"))
+        return wf.shaped(seen.withColumn("potential", F.col("seen") / F.col("nodes")), "traj_id", "ord", gamma=0.9, single=single)
+
+    out = _walked(spark, folder, potentials)
     return out.select("traj_id", "ord", r6("potential").alias("potential"), r6("shaped_reward").alias("shaped_reward"))
 
 
 @query
 def attempts(spark, folder):
     """Trajectories cut where their workflow starts again: the unit in which long ones are scored."""
-    v, single = _visits(spark, folder)
-    starts = read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start")
-    marked = v.join(broadcast_if_small(starts), F.col("workflow") == F.col("w"))
-    cut = running(marked, ["traj_id"], "visit", "attempt", "sum", (F.col("node_id") == F.col("start")).cast("long"), single=single)
+    starts = broadcast_if_small(read(spark, folder, "workflow_defs").select(F.col("name").alias("w"), "start"))
+
+    def numbered(seen, single):
+        marked = seen.join(starts, F.col("workflow") == F.col("w"))
+        return running(marked, ["traj_id"], "visit", "attempt", "sum", (F.col("node_id") == F.col("start")).cast("long"), single=single)
+
+    cut = _visits(spark, folder, numbered)
     return cut.groupBy("traj_id", "attempt").agg(F.count(F.lit(1)).alias("visits"), F.sum("n_events").alias("events"), F.min("first_ord").alias("first_ord"))
 
 
@@ -626,10 +629,8 @@ def stage_rewards(spark, folder):
 
 def _attempts(spark, folder):
     """The events of every attempt; a trajectory of any length is many of them."""
-    raw = _events(spark, folder, payloads=True)
-    single = one_chunk(raw, "traj_id", "ord")
-    known = events.known_events(raw, read(spark, folder, "workflow_nodes"), single=single)
-    return traces.collected_events(raw, traces.attempts(raw, known, read(spark, folder, "workflow_defs"), single=single))
+    defs = read(spark, folder, "workflow_defs")
+    return _walked(spark, folder, lambda raw, known, single: traces.collected_events(raw, traces.attempts(raw, known, defs, single=single)), payloads=True)
 
 
 @query
