@@ -233,8 +233,12 @@ def collected_events(events: DataFrame, keys: DataFrame) -> DataFrame:
     k = keys.select(F.col("traj_id").alias("t"), F.col("ord").alias("o"), F.col("workflow").alias("wf"), "attempt", "part")
     both = events.join(k, (F.col("traj_id") == F.col("t")) & (F.col("ord") == F.col("o"))).drop("workflow")
     row = F.struct("ord", *[F.col(f) if f not in ("status", "source") else F.coalesce(f, F.lit("success" if f == "status" else "model")).alias(f) for f in FIELDS])
+    spark = events.sparkSession
+    # few bytes but much work per attempt: a number of tasks of one's own, which the grouping then has for nothing
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # at most MAX_EVENTS events come together
-    return both.groupBy("traj_id", F.col("wf").alias("workflow"), "attempt", "part").agg(F.array_sort(F.collect_list(row)).alias("trace"))
+    own = both.select("traj_id", F.col("wf").alias("workflow"), "attempt", "part", row.alias("event")).repartition(tasks, "traj_id", "workflow", "attempt", "part")
+    return own.groupBy("traj_id", "workflow", "attempt", "part").agg(F.array_sort(F.collect_list("event")).alias("trace"))
 
 
 def _per_trace(traces: DataFrame, keep: list[str], specs: DataFrame, more: list[T.StructField], rows) -> DataFrame:
@@ -242,8 +246,7 @@ def _per_trace(traces: DataFrame, keep: list[str], specs: DataFrame, more: list[
 
     Traces without a specification give no row.
     """
-    # few bytes but much work per row: as many tasks as there are cores
-    ready = traces.select(*keep, F.to_json("trace").alias("__e"), F.col("workflow").alias("__w")).repartition(traces.sparkSession.sparkContext.defaultParallelism)
+    ready = traces.select(*keep, F.to_json("trace").alias("__e"), F.col("workflow").alias("__w"))
     joined = ready.join(broadcast_if_small(specs.select(F.col("workflow").alias("__wf"), "spec")), F.col("__w") == F.col("__wf")).drop("__w", "__wf")
     schema, k = T.StructType([*(traces.schema[c] for c in keep), *more]), len(keep)
     kinds = [to_arrow_type(f.dataType) for f in more]
