@@ -224,6 +224,14 @@ def test_batches_are_encoded_at_once():
     assert set(experiments.stage_timings(rounds=1)) == {"ms_windows", "ms_encode_cold", "ms_encode_warm", "ms_product", "ms_path", "ms_graph", "ms_enumerate"}
 
 
+def test_vectors_are_looked_up_by_role_and_text(spark):
+    users = spark.createDataFrame([(1, "query", "look"), (2, "query", "look"), (3, "passage", "look"), (4, "query", None), (5, "query", "")], "u int, role string, text string")
+    got = {r.u: r.embedding for r in embed.looked_up(users, embed.encode_texts(users, SCORER.encoder)).collect()}
+    assert got[1] == got[2] == got[3] == [1, 0, 0, 0] and got[4] is None and got[5] == [0, 0, 0, 0]
+    assert sorted(tuple(r) for r in embed.cache_stats(users).collect()) == [("passage", 1, 1, 0.0), ("query", 3, 2, pytest.approx(1 / 3))]
+    assert embed.cache_stats(users.limit(0)).count() == 0
+
+
 def test_intermediate_tables_are_deleted(spark):
     import os
 

@@ -261,6 +261,25 @@ def encode_texts(texts: DataFrame, encoder: Encoder, *, role_prefix: dict[str, s
     return unique.mapInArrow(run, schema)
 
 
+def looked_up(users: DataFrame, encoded: DataFrame) -> DataFrame:
+    """``users`` (with ``role, text``) and the ``embedding`` of their text; null for a null text. ``encoded`` is :func:`encode_texts`.
+
+    Joined on a hash of role and text first, so that long texts are not keys of
+    the shuffle; texts that many users share are split by the session's skew join.
+    """
+    key = F.xxhash64("role", "text")
+    e = encoded.select(F.col("role").alias("__r"), F.col("text").alias("__t"), "embedding", key.alias("__h"))
+    same = (F.col("__k") == F.col("__h")) & (F.col("role") == F.col("__r")) & (F.col("text") == F.col("__t"))
+    return users.withColumn("__k", key).join(e, same, "left").drop("__k", "__h", "__r", "__t")
+
+
+def cache_stats(texts: DataFrame) -> DataFrame:
+    """``role, asked, encoded, hit_rate``: how many texts are asked for, how many have to be encoded, and the share that is there already."""
+    per = texts.filter("text is not null").groupBy("role", F.xxhash64("text").alias("h"), "text").agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("role").agg(F.sum("n").alias("asked"), F.count(F.lit(1)).alias("encoded"))
+    return out.withColumn("hit_rate", 1 - F.col("encoded") / F.col("asked"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision: the cosine of unit vectors."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -142,22 +142,37 @@ def cosine_matrix(spark, folder):
     return embed.cosines(rows.filter("vec_id % 100 = 0"), rows).withColumn("cosine", F.round("cosine", 5))
 
 
-@query
-def embed_distinct(spark, folder):
-    """Distinct texts by role, encoded once: what a model would have to encode.
-
-    Steps are queries; all coarse and fine windows of the responses, none thinned out, are passages.
-    """
+def _asked_texts(spark, folder):
+    """All texts by role: steps are queries; all coarse and fine windows of the responses, none thinned out, are passages."""
     rows = with_steps(spark, folder).select("steps", "response")
     for name, (window, stride) in (("coarse", CONCEPT_SCORER.coarse), ("fine", CONCEPT_SCORER.fine)):
         rows = windows.with_windows(rows, "response", rows.columns, window=window, stride=stride, max_windows=NO_CAP).withColumnRenamed("windows", name).drop("stats")
     of = lambda role, texts: F.transform(texts, lambda t: F.struct(F.lit(role).alias("role"), t.alias("text")))
     every = F.concat(of("query", F.flatten("steps")), of("passage", F.col("coarse.text")), of("passage", F.col("fine.text")))
-    texts = rows.select(F.explode(every).alias("x")).select("x.*")
-    encoded = embed.encode_texts(texts, embed.ConceptEncoder())
+    return rows.select(F.explode(every).alias("x")).select("x.*")
+
+
+@query
+def embed_distinct(spark, folder):
+    """Distinct texts by role, encoded once: what a model would have to encode."""
+    encoded = embed.encode_texts(_asked_texts(spark, folder), embed.ConceptEncoder())
     return encoded.select("role", F.md5("text").alias("text_md5"), F.round(embed.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared_norm"))
 
 
+@query
+def encoding_stats(spark, folder):
+    """What deduplication saves the encoder."""
+    return embed.cache_stats(_asked_texts(spark, folder)).withColumn("hit_rate", r6("hit_rate"))
+
+
+@query
+def embedding_lookup(spark, folder):
+    """Every candidate of every step with its vector, which is encoded once per different text."""
+    rows = with_steps(spark, folder).select("id", F.posexplode("steps").alias("step", "c")).select("id", "step", F.posexplode("c").alias("candidate", "text"), F.lit("query").alias("role"))
+    found = embed.looked_up(rows, embed.encode_texts(rows, embed.ConceptEncoder()))
+    return found.select("id", "step", "candidate", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_concepts"))
+
+
 def _sims(spark, folder):
     """Per sample the windows' concept masks, and each step's candidates' masks; no shuffle beyond deduplication."""
     e = embed.ConceptEncoder()

@@ -88,6 +88,10 @@ BEST = f"""{SIMS},
   ranked as (select *, row_number() over (partition by id, step order by sim desc, win) as r from sims),
   best as (select a.id, a.step, a.win, a.sim, coalesce(b.sim, 0.0) as second from ranked a left join ranked b on a.id = b.id and a.step = b.step and b.r = 2 where a.r = 1)"""
 
+#: All texts that an encoder is asked for, by role.
+SAID = f"""{STEPS}, {_windows_as("c_", 128, 64)}, {_windows_as("f_", 48, 24)},
+  said as (select 'query' as role, unnest(flatten(steps)) as text from stepped union all select 'passage', substr(t, s + 1, e - s) from c_wins union all select 'passage', substr(t, s + 1, e - s) from f_wins)"""
+
 TOOL_TRACE = (
     rf"(?im)<{WORD}+>|^diff --git|^@@ |^--- a/|^\+\+\+ b/|```|{L}def {WORD}|{WORD}\([^)]*\)|{L}(?:src|tests?)/[^\s]|{L}{WORD}+\.py{R}|Output:"
     rf"|{L}passed{R}|{L}fail(?:ed|ure)?{R}"
@@ -389,9 +393,11 @@ SQL: dict[str, str] = {
       select id, cast(pos as int) as turn, cast(st as int) as start, cast(st + k as int) as "end" from z where k > 0""",
     "cosine_matrix": """select q.vec_id as query_id, e.vec_id, round(list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as cosine
       from embeddings q, embeddings e where q.vec_id % 100 = 0 and q.embedding is not null and e.embedding is not null""",
-    "embed_distinct": f"""with recursive {STEPS}, {_windows_as("c_", 128, 64)}, {_windows_as("f_", 48, 24)},
-      said as (select 'query' as role, unnest(flatten(steps)) as text from stepped union all select 'passage', substr(t, s + 1, e - s) from c_wins union all select 'passage', substr(t, s + 1, e - s) from f_wins)
+    "embed_distinct": f"""with recursive {SAID}
       select role, md5(text) as text_md5, cast(case when {mask('text')} > 0 then 1.0 else 0.0 end as double) as squared_norm from (select distinct role, text from said)""",
+    "encoding_stats": f"with recursive {SAID} select role, count(*) as asked, count(distinct text) as encoded, round(1 - count(distinct text) / count(*), 6) as hit_rate from said group by role",
+    "embedding_lookup": f"""with {STEPS}, {numbered("s1", "(select id, steps from stepped)", "steps", "step")}, s2 as (select id, pos, unnest(step) as c, generate_subscripts(step, 1) - 1 as k from s1)
+      select id, cast(pos as int) as step, cast(k as int) as candidate, cast(bit_count({mask("c")}) as int) as n_concepts from s2""",
     "candidate_max": f"with recursive {SIMS} select id, cast(step as int) as step, cast(win as int) as win, round(sim, 6) as sim from sims",
     "best_window": f"with recursive {BEST} select id, cast(step as int) as step, cast(win as int) as win, round(sim, 6) as sim from best",
     "match_margin": f"with recursive {BEST} select id, cast(step as int) as step, round(greatest(sim - second, 0.0), 6) as margin from best",
@@ -410,6 +416,9 @@ SQL: dict[str, str] = {
     "linear_score": f"""with recursive {SCORED} select id, round(match_rate * order_rate, 6) as score, round(match_rate, 6) as match_rate, round(order_rate, 6) as order_rate, matched as matched_steps,
       cast(len(missing) as int) as n_unmatched, method, round(mean_margin, 6) as mean_margin from chosen""",
     "coarse_to_fine": f"with recursive {SCORED} select id, method, cast(n_hits as int) as n_matched, round(mean_sim, 6) as mean_matched_sim, round(min_sim, 6) as min_matched_sim from chosen",
+    "gated_paths": f"""with recursive {SCORED}, denied as (select s.id, s.steps, unnest(list_filter(range(0, len(s.steps)), lambda i: not list_contains(c.missing, i))) as i
+        from (select *, {HAS_TRACE} as traced from stepped) s join chosen c on c.id = s.id where not traced)
+      select id, cast(i as int) as step, {label("steps[i + 1]")} as label from denied""",
     "linear_routing": f"""with recursive {SCORED}, base as (select s.id, s.response, s.steps, coalesce(s.reference_steps, []) as raw, c.match_rate, c.order_rate, c.mean_sim, c.mean_margin, len(c.missing) as n_missing from stepped s join chosen c on c.id = s.id), {JUDGED}
       select id, round(match_rate * order_rate, 6) as score, round(confidence, 6) as confidence, len(reasons) > 0 as fallback, array_to_string(reasons, '; ') as reasons from judged""",
     "best_trajectory": f"""with recursive {STEPS}, three as (select id, response, unnest([0, 1, 2]) as k, unnest([steps, list_reverse(steps), steps[2:]]) as way from stepped where len(steps) > 1),
