@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import strip
@@ -19,6 +19,9 @@ HTTP = ["http", "http_request", "request", "fetch"]
 PYTEST_SUMMARY = r"\b\d+\s+(?:passed|failed|error|errors|skipped|xfailed|xpassed)\b"
 
 
+COLUMNS = ["tool_name", "arguments", "output", "error", "exit_code", "metadata"]
+
+
 @dataclass(frozen=True)
 class Call:
     """The columns of a tool call; payloads are JSON or plain text."""
@@ -29,10 +32,22 @@ class Call:
     error: Column
     exit_code: Column
     metadata: Column
+    #: Payloads that are JSON objects, where they are columns already.
+    objects: dict[str, Column] = field(default_factory=dict)
 
     @classmethod
     def of(cls, prefix: str = "") -> Call:
-        return cls(*(F.col(prefix + c) for c in ("tool_name", "arguments", "output", "error", "exit_code", "metadata")))
+        return cls(*(F.col(prefix + c) for c in COLUMNS))
+
+    @classmethod
+    def parsed(cls, calls: DataFrame) -> tuple[DataFrame, Call]:
+        """The calls with their payloads' objects as columns, so that each is parsed once; and the call over them."""
+        names = {c: f"__{c}_object" for c in ("arguments", "output", "metadata")}
+        return calls.withColumns({to: _object(F.col(c)) for c, to in names.items()}), replace(cls.of(), objects={c: F.col(to) for c, to in names.items()})
+
+    def object(self, payload: str) -> Column:
+        """A payload if it is a JSON object, else null."""
+        return self.objects[payload] if payload in self.objects else _object(getattr(self, payload))
 
 
 Handler = Callable[[Call], Column]
@@ -44,28 +59,28 @@ def _object(payload: Column) -> Column:
 
 
 def _field(payload: Column, *names: str) -> Column:
-    return F.coalesce(*[F.get_json_object(_object(payload), f"$.{n}") for n in names])
+    return F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names])
 
 
 def _truthy(payload: Column, *names: str) -> Column:
-    return F.coalesce(*[F.nullif(F.get_json_object(_object(payload), f"$.{n}"), F.lit("")) for n in names])
+    return F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.{n}"), F.lit("")) for n in names])
 
 
 def command(call: Call) -> Column:
     """The command line of the call, or an empty string."""
-    text = F.when(_object(call.arguments).isNotNull(), _field(call.arguments, "command", "cmd")).otherwise(
+    text = F.when(call.object("arguments").isNotNull(), _field(call.object("arguments"), "command", "cmd")).otherwise(
         F.when(~call.arguments.rlike(r"^\s*\["), call.arguments)
     )
     return strip(F.coalesce(text, F.lit("")))
 
 
 def path(call: Call) -> Column:
-    return strip(F.coalesce(_truthy(call.arguments, "path", "file_path", "file"), F.lit("")))
+    return strip(F.coalesce(_truthy(call.object("arguments"), "path", "file_path", "file"), F.lit("")))
 
 
 def output_text(call: Call) -> Column:
-    parts = F.concat_ws("\n", *[F.get_json_object(_object(call.output), f"$.{n}") for n in ("stdout", "stderr", "text", "output", "content")])
-    return F.when(_object(call.output).isNotNull() & (parts != ""), parts).otherwise(F.coalesce(call.output, F.lit("")))
+    parts = F.concat_ws("\n", *[F.get_json_object(call.object("output"), f"$.{n}") for n in ("stdout", "stderr", "text", "output", "content")])
+    return F.when(call.object("output").isNotNull() & (parts != ""), parts).otherwise(F.coalesce(call.output, F.lit("")))
 
 
 def named(name: Column, aliases: list[str]) -> Column:
@@ -130,20 +145,20 @@ def write_semantics(call: Call) -> Column:
 
 def browser_semantics(call: Call) -> Column:
     name = F.lower(call.tool_name)
-    operation = F.lower(F.coalesce(_field(call.arguments, "operation", "action"), name))
+    operation = F.lower(F.coalesce(_field(call.object("arguments"), "operation", "action"), name))
     both = F.concat_ws(" ", operation, name)
     action = F.when(F.contains(both, F.lit("search")), "search the web").when(F.contains(both, F.lit("click")), "interact with web page").otherwise("open web page")
-    target = _truthy(call.arguments, "url", "query", "target")
+    target = _truthy(call.object("arguments"), "url", "query", "target")
     head = F.coalesce(F.concat(F.lit("browser target: "), target), F.lit("browser action recorded"))
     return _semantics(action, F.concat_ws("; ", head, _error(call)), failed(call), "browser action failed", "browser action completed")
 
 
 def http_semantics(call: Call) -> Column:
-    method = F.upper(F.coalesce(_field(call.arguments, "method"), F.lit("GET")))
-    code = F.coalesce(_field(call.metadata, "status_code"), _field(call.output, "status_code", "status")).try_cast("int")
+    method = F.upper(F.coalesce(_field(call.object("arguments"), "method"), F.lit("GET")))
+    code = F.coalesce(_field(call.object("metadata"), "status_code"), _field(call.object("output"), "status_code", "status")).try_cast("int")
     bad = failed(call) | F.coalesce(code >= 400, F.lit(False))
     evidence = _joined(
-        "HTTP request recorded", F.concat(F.lit("url: "), _truthy(call.arguments, "url")), F.concat(F.lit("status code: "), code.cast("string")), _exit(call), _error(call)
+        "HTTP request recorded", F.concat(F.lit("url: "), _truthy(call.object("arguments"), "url")), F.concat(F.lit("status code: "), code.cast("string")), _exit(call), _error(call)
     )
     return _semantics(F.concat(F.lit("send "), method, F.lit(" HTTP request")), evidence, bad, "HTTP request failed", "HTTP request succeeded")
 
@@ -218,10 +233,10 @@ def records_events(payload: Column, trusted: Column, custom: dict[str, Handler]
     """
     def called(text: Column, index: Column) -> Column:
         call, rest = record(text, index)
-        return F.struct(*[getattr(call, n).alias(n) for n in Call.__dataclass_fields__], *[c.alias(n) for n, c in rest.items()])
+        return F.struct(*[getattr(call, n).alias(n) for n in COLUMNS], *[c.alias(n) for n, c in rest.items()])
 
     def call_of(c: Column) -> Call:
-        return Call(*(c[n] for n in Call.__dataclass_fields__))
+        return Call(*(c[n] for n in COLUMNS))
 
     calls = F.transform(F.from_json(payload, "array<string>"), called)
     handled = F.transform(calls, lambda c: F.struct(c.alias("c"), handler_name(call_of(c), custom).alias("h")))

@@ -257,8 +257,8 @@ def adapted(calls: DataFrame, custom: dict[str, Handler] | None = None, *, trust
     metadata lose what their sensitive keys hold unless ``redact`` is off. A
     ``resolver`` replaces the nodes of the calls. States that ``calls`` lacks are null.
     """
-    call = Call.of()
-    named = calls.withColumn("handler", handler_name(call, custom)).withColumn("x", semantics(call, F.col("handler"), custom))
+    rows, call = Call.parsed(calls)
+    named = rows.withColumn("handler", handler_name(call, custom)).withColumn("x", semantics(call, F.col("handler"), custom))
     shown = (lambda c: redact_json(F.col(c))) if redact else F.col
     given = lambda c: F.col(c) if c in calls.columns else F.lit(None).cast("string")
     return named.select(

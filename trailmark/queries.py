@@ -399,13 +399,15 @@ def _calls(spark, folder):
 
 @query
 def tool_dispatch(spark, folder):
-    return _calls(spark, folder).select("traj_id", "ord", "call_id", handler_name(Call.of()).alias("handler"))
+    rows, call = Call.parsed(_calls(spark, folder))
+    return rows.select("traj_id", "ord", "call_id", handler_name(call).alias("handler"))
 
 
 def _family(name):
     def run(spark, folder):
-        rows = _calls(spark, folder).withColumn("handler", handler_name(Call.of())).filter(F.col("handler") == name)
-        return rows.withColumn("x", semantics(Call.of(), F.lit(name))).select("traj_id", "ord", "call_id", "x.action", "x.evidence", "x.outcome", "x.status")
+        rows, call = Call.parsed(_calls(spark, folder))
+        rows = rows.withColumn("handler", handler_name(call)).filter(F.col("handler") == name)
+        return rows.withColumn("x", semantics(call, F.lit(name))).select("traj_id", "ord", "call_id", "x.action", "x.evidence", "x.outcome", "x.status")
 
     return run
 
