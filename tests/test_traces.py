@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark import queries as Q
 from trailmark.api import compute_scores, workflow_spec
 from trailmark.functions import payloads
-from trailmark.operators import embed, events, experiments, quality, traces
+from trailmark.operators import align, batches, embed, events, experiments, quality, traces
 from trailmark.operators import workflow as W
 from trailmark.operators.align import ScorerConfig
 from trailmark.operators.embed import Cached, ConceptEncoder
@@ -303,3 +304,46 @@ def test_sessions(spark, tmp_path):
     stream = spark.readStream.schema("traj_id string, ts timestamp").parquet(str(tmp_path / "in")).withColumn("at", F.col("ts"))
     got = streams.drained(spark, streams.sessions(stream), "sessions")
     assert sorted((r.traj_id, r.n) for r in got.collect()) == [("t", 1), ("t", 3), ("u", 1)]
+
+
+def test_traces_scored_together_fare_as_each_alone(spark, sf, monkeypatch):
+    """Windows, paths, alignment, states and gates of whole batches against those of one trace, on short and long attempts, with and without a cap."""
+    found = W.similarities
+
+    def double(encode, steps, texts):  # equal similarities are equal whatever the shape of the product
+        return tuple([x.astype(np.float32) for x in y] if isinstance(y, list) else y.astype(np.float32) for y in found(lambda *a: encode(*a).astype(np.float64), steps, texts))
+
+    monkeypatch.setattr(W, "similarities", double)
+    monkeypatch.setattr(align, "similarities", double)
+    monkeypatch.setattr(batches, "LONG", 5_000)
+    monkeypatch.setattr(batches, "CELLS", 300)
+    monkeypatch.setattr(batches, "KEPT", 2_000)
+    rows = Q._attempts(spark, sf).join(Q._specs(spark, sf), "workflow").select("spec", F.col("trace").alias("e")).orderBy("e").limit(60).collect()
+    rows = [(r.spec, r.e) for r in rows] + [(rows[0].spec, json.dumps([{**json.loads(rows[0].e)[0], "event_id": f"x{i}", "evidence": "Größe · ΑΣ run tests " + "x" * i} for i in range(90)]))]
+    for scorer in (Q.ATTEMPT_SCORER, ScorerConfig(threshold=0.6, max_windows=9, encoder=embed.NgramEncoder()), ScorerConfig(threshold=0.45), ScorerConfig(threshold=0.5, coarse_to_fine=False, encoder=embed.NgramEncoder())):
+        for config in (W.WorkflowConfig(hard_trace_gate=False), W.WorkflowConfig(require_states=True, hard_state_gate=True)):
+            got = traces.score_together(batches.Batch(scorer, config), *map(list, zip(*rows, strict=True)), events.ValidationConfig())
+            for (spec, e), one in zip(rows, got, strict=True):
+                alone = traces.score_trace(Cached(scorer.encoder).encode, spec, traces.parsed(json.loads(e)), None, scorer, config, events.ValidationConfig())
+                assert one == {n: alone[n] for n in one}
+
+
+def test_batches_score_only_what_they_hold(spark, sf):
+    with pytest.raises(ValueError, match="fields are some of"):
+        traces.score_traces(Q._attempts(spark, sf), ["attempt"], Q._specs(spark, sf), fields=["mean_margin"])
+
+
+def test_attempts_cut_in_one_shuffle_are_those_of_prefix_computations(spark, sf):
+    """Redelivered rows, ties, blank nodes and workflows that nobody or several name."""
+    raw = spark.read.parquet(f"{sf}/trace_events.parquet")
+    late = raw.filter("ord % 7 = 0").withColumns({"evidence": F.lit("later"), "ingested_at": F.col("ingested_at") + F.expr("interval 1 day")})
+    tied = raw.filter("ord % 5 = 0").withColumn("evidence", F.lit("tied"))
+    rest = raw.filter("ord % 11 = 0").withColumns({"traj_id": F.concat("traj_id", F.lit("x")), "node_id": F.lit("  "), "metadata": F.lit('{"workflow": "none"}')})
+    raw = raw.withColumn("metadata", F.when(F.col("ord") % 3 == 0, F.lit('{"workflow": "web_booking"}')).otherwise(F.col("metadata"))).unionByName(late).unionByName(tied).unionByName(rest)
+    nodes, defs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("workflow_nodes", "workflow_defs"))
+    now = events.current_events(raw)
+    for most in (3, traces.MAX_EVENTS):
+        want = traces.collected_events(now, traces.attempts(now, events.known_events(now, nodes, single=True), defs, max_events=most, single=True))
+        want = want.withColumn("trace", F.to_json(F.transform("trace", lambda e: e.dropFields("metadata"))))
+        got = traces.cut_events(raw, nodes, defs, max_events=most)
+        assert got.count() == want.count() > 100 and got.exceptAll(want.select(got.columns)).count() == 0

@@ -21,6 +21,8 @@ def decoded(text: str | None) -> Any:
     """The value of a JSON object or array; any other text stays text."""
     if not isinstance(text, str) or text.lstrip()[:1] not in ("{", "["):
         return text
+    if text == "{}":
+        return {}
     try:
         return json.loads(text)
     except ValueError:

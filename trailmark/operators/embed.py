@@ -89,11 +89,23 @@ class NgramEncoder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float32)
-        for i, t in enumerate(texts):
-            parts = [_grams(w) for w in re.findall(r"\w+", t.lower())]
-            if parts:
-                hashes = np.concatenate(parts)
-                out[i] = np.bincount(hashes % self.dims, weights=np.where(hashes & 0x80000000, 1.0, -1.0), minlength=self.dims)
+        for at in range(0, len(texts), 1024):
+            own = texts[at : at + 1024]
+            # a NUL stands between texts; it is no part of a word
+            said = re.findall(r"\w+|\0", "\0".join(t.replace("\0", " ") for t in own).lower())
+            ids = {w: i for i, w in enumerate(dict.fromkeys(["\0", *said]))}
+            grams = [_grams(w) for w in list(ids)[1:]]
+            if not grams:
+                continue
+            word = np.fromiter(map(ids.__getitem__, said), dtype=np.int64, count=len(said)) - 1
+            text = np.cumsum(word < 0)[word >= 0]
+            word = word[word >= 0]
+            hashes, size = np.concatenate(grams), np.array([len(g) for g in grams])
+            n = size[word]
+            each = np.repeat((np.cumsum(size) - size)[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            slots, signs = hashes % self.dims, np.where(hashes & 0x80000000, 1.0, -1.0)
+            sums = np.bincount(np.repeat(text * self.dims, n) + slots[each], weights=signs[each], minlength=len(own) * self.dims)
+            out[at : at + 1024] = sums.reshape(len(own), self.dims)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from trailmark.functions import text as X
 from trailmark.functions.payloads import decoded, redacted
+from trailmark.operators import batches
 from trailmark.operators.align import ScorerConfig
 from trailmark.operators.embed import Cached
 from trailmark.operators.events import SOURCES, STATUSES, ValidationConfig
@@ -30,6 +32,10 @@ from trailmark.plans.sizing import broadcast_if_small
 
 #: Events of one attempt at most; what follows is another one.
 MAX_EVENTS = 1_000
+#: Nodes of all workflows up to which they travel with the code.
+MAX_NODES = 10_000
+#: Traces, and characters of their events, that are scored together.
+TOGETHER, TOGETHER_CHARS = 1_500, 6_000_000
 #: What an event has, payloads as JSON text.
 FIELDS = ["event_id", "action", "node_id", "occurrence", "evidence", "outcome", "status", "source", "trusted", "transition_kind", "tool_name", "tool_input", "tool_output", "state_before", "state_after", "metadata"]
 
@@ -163,20 +169,22 @@ def walk(events: list[dict[str, Any]], m: Machine, config: ValidationConfig) ->
     return Walk(visits, edges, checks, warnings, sum(e["node_id"] is not None for e in events), sum(believed), len(events), reached)
 
 
+_JSON = json.JSONEncoder(ensure_ascii=False, sort_keys=True)
+_HEAD = [("id=", "event_id"), ("source=", "source"), ("status=", "status"), ("node=", "node_id"), ("occurrence=", "occurrence"), ("transition=", "transition_kind")]
+_BODY = [("Action: ", "action"), ("Tool: ", "tool_name"), ("Tool input: ", "tool_input"), ("Evidence: ", "evidence"), ("Tool output: ", "tool_output"), ("Outcome: ", "outcome")]
+
+
 def render(events: list[dict[str, Any]], limit: int = 2000) -> str:
     """Parsed events as the scorer reads them; see :func:`trailmark.operators.events.rendered`."""
 
-    def line(label: str, value: Any) -> str | None:
-        if value is None:
-            return None
-        text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
-        return label + (text if len(text) <= limit else text[:limit] + "…")
+    def shown(value: Any) -> str:
+        text = value if isinstance(value, str) else _JSON.encode(value)
+        return text if len(text) <= limit else text[:limit] + "…"
 
     out = []
     for e in events:
-        head = [line(f"{name}=", e[f]) for name, f in (("id", "event_id"), ("source", "source"), ("status", "status"), ("node", "node_id"), ("occurrence", "occurrence"), ("transition", "transition_kind"))]
-        body = [line(f"{name}: ", e[f]) for name, f in (("Action", "action"), ("Tool", "tool_name"), ("Tool input", "tool_input"), ("Evidence", "evidence"), ("Tool output", "tool_output"), ("Outcome", "outcome"))]
-        out += [f"<trace_event {' '.join(x for x in head if x)}>", *(x for x in body if x), "</trace_event>"]
+        head = " ".join([label + shown(e[f]) for label, f in _HEAD if e[f] is not None])
+        out += [f"<trace_event {head}>", *[label + shown(e[f]) for label, f in _BODY if e[f] is not None], "</trace_event>"]
     return "\n".join(out)
 
 
@@ -189,6 +197,11 @@ def score_trace(encode, spec: str, events: list[dict[str, Any]], states: dict[st
     """
     w = walk(events, machine(spec), validation)
     got = score_workflow(encode, spec, render(events, validation.max_field_chars), w.states | (states or {}), scorer, config, validator)
+    return _gated(got, w, config)
+
+
+def _gated(got: dict[str, Any], w: Walk, config: WorkflowConfig) -> dict[str, Any]:
+    """A reward behind the validity of its trace, which must have walked what the text tells of."""
     told = got["best_path"] if w.reached else got["best_path"][: len(w.path)]
     if w.path and told != w.path:
         w.checks.append((False, f"semantic_path_mismatch:{'->'.join(w.path)}!={'->'.join(got['best_path'])}"))
@@ -196,6 +209,24 @@ def score_trace(encode, spec: str, events: list[dict[str, Any]], states: dict[st
     return got | {"score": got["score"] * factor, "trace": w.summary()}
 
 
+def score_together(batch: batches.Batch, specs: list[str], payloads: list[str], validation: ValidationConfig) -> list[dict[str, Any]]:
+    """:func:`score_trace` of many events as JSON, of its fields only those of :data:`trailmark.operators.batches.FIELDS` and ``trace``."""
+    walks, own = [], {}
+    for i, (spec, payload) in enumerate(zip(specs, payloads, strict=True)):
+        events = parsed(json.loads(payload))
+        w = walk(events, machine(spec), validation)
+        states = w.states
+        w.visits = [(node, n, []) for node, n, _ in w.visits]  # the events are not kept
+        walks.append((w, states))
+        own.setdefault(spec, []).append((i, render(events, validation.max_field_chars)))
+    out: list[Any] = [None] * len(specs)
+    for spec, mine in own.items():
+        for (i, _), (nodes, required, order) in zip(mine, batch.score(spec, [text for _, text in mine]), strict=True):
+            w, states = walks[i]
+            out[i] = _gated(batch.reward(spec, nodes, required, order, states), w, batch.config)
+    return out
+
+
 TRACE = T.StructType(
     [T.StructField("valid", T.BooleanType()), T.StructField("validity", T.DoubleType())]
     + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("violations", "warnings", "node_path", "occurrence_path", "edge_kinds")]
@@ -241,12 +272,76 @@ def collected_events(events: DataFrame, keys: DataFrame) -> DataFrame:
     return own.groupBy("traj_id", "workflow", "attempt", "part").agg(F.array_sort(F.collect_list("event")).alias("trace"))
 
 
-def _per_trace(traces: DataFrame, keep: list[str], specs: DataFrame, more: list[T.StructField], rows) -> DataFrame:
+def cut_events(raw: DataFrame, nodes: DataFrame, defs: DataFrame, *, max_events: int = MAX_EVENTS) -> DataFrame | None:
+    """What :func:`collected_events` gives for :func:`trailmark.operators.events.current_events`, ``trace`` as JSON text, in one shuffle.
+
+    Rows of a trajectory meet in order and are walked once: of a place the
+    latest delivery counts, the workflow is the one most events name, attempts
+    and parts are those of :func:`attempts`. A trajectory is held in memory, so
+    this is for those within one chunk (:mod:`trailmark.operators.sequences`).
+    None if the workflows' tables are no small ones.
+    """
+    starts, known = defs.select("name", "start").limit(MAX_NODES + 1).collect(), nodes.select("workflow", "id").limit(MAX_NODES + 1).collect()
+    flows = {r["name"]: (r["start"], {n["id"] for n in known if n["workflow"] == r["name"]}) for r in starts if r["name"] is not None}
+    if len(known) > MAX_NODES or len(flows) < len(starts):
+        return None
+    cols = [F.col(f"`{c}`") for c in raw.columns]
+    tidy = {c: X.optional(F.col(c)) for c in ("node_id", "transition_kind")} | {"status": F.coalesce("status", F.lit("success")), "source": F.coalesce("source", F.lit("model"))}
+    used = [f for f in FIELDS if f != "metadata"]  # which nothing but the workflow's name is read of
+    spark = raw.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = raw.filter("traj_id is not null and ord is not null").select(
+        F.xxhash64("traj_id").alias("__t"), "traj_id", "ord", "ingested_at", F.xxhash64(*cols).alias("__h"), F.get_json_object("metadata", "$.workflow").alias("__w"), *used
+    )
+    # the hash goes first because names differ behind what a sort compares at once
+    met = rows.repartition(tasks, "__t").sortWithinPartitions("__t", "traj_id", "ord", "ingested_at", "__h")
+    tidied = met.withColumns({c: e for c, e in tidy.items()})
+    ready = tidied.select("traj_id", "ord", "__w", "node_id", F.to_json(F.struct("ord", *used)).alias("__e"))
+    schema = T.StructType([raw.schema["traj_id"], T.StructField("workflow", T.StringType()), T.StructField("attempt", T.LongType()), T.StructField("part", T.LongType()), T.StructField("trace", T.StringType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def one(name: str, own: list[tuple[int, str | None, str | None, str]]) -> Iterator[tuple]:
+        own = [x for x, after in zip(own, [*own[1:], (None,)], strict=True) if x[0] != after[0]]
+        told = Counter(w for _, w, _, _ in own if w is not None)
+        workflow = min(told, key=lambda w: (-told[w], w), default=None)
+        if workflow not in flows:
+            return
+        start, ids = flows[workflow]
+        attempt, before, some = 0, None, []
+        for _, _, node, e in own:
+            entered = node in ids and node == start and before != node
+            before = node if node in ids else before
+            if some and entered:
+                yield from ((name, workflow, attempt, k // max_events, f"[{','.join(some[k : k + max_events])}]") for k in range(0, len(some), max_events))
+                some = []
+            attempt += entered
+            some.append(e)
+        yield from ((name, workflow, attempt, k // max_events, f"[{','.join(some[k : k + max_events])}]") for k in range(0, len(some), max_events))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=schema.names)
+        here, own = None, []
+        for batch in batches:
+            found: list[tuple] = []
+            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != here:
+                    found += one(here, own) if own else []
+                    here, own = name, []
+                own.append(row)
+            if found:
+                yield made(found)
+        if own and (found := list(one(here, own))):
+            yield made(found)
+
+    return ready.mapInArrow(run, schema)
+
+
+def _per_trace(traces: DataFrame, keep: list[str], specs: DataFrame, more: list[T.StructField], rows, *, together: bool = False) -> DataFrame:
     """``keep`` and the columns ``more`` of each tuple that ``rows`` yields for an encoder-making call, a specification and raw events.
 
-    Traces without a specification give no row.
+    Traces without a specification give no row. If ``together``, ``rows`` takes lists of specifications and of JSON and yields a list for each.
     """
-    ready = traces.select(*keep, F.to_json("trace").alias("__e"), F.col("workflow").alias("__w"))
+    ready = traces.select(*keep, (F.col("trace") if isinstance(traces.schema["trace"].dataType, T.StringType) else F.to_json("trace")).alias("__e"), F.col("workflow").alias("__w"))
     joined = ready.join(broadcast_if_small(specs.select(F.col("workflow").alias("__wf"), "spec")), F.col("__w") == F.col("__wf")).drop("__w", "__wf")
     schema, k = T.StructType([*(traces.schema[c] for c in keep), *more]), len(keep)
     kinds = [to_arrow_type(f.dataType) for f in more]
@@ -254,7 +349,9 @@ def _per_trace(traces: DataFrame, keep: list[str], specs: DataFrame, more: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = rows()
         for batch in batches:
-            found = [(i, *r) for i, (e, spec) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)) for r in one(spec, json.loads(e))]
+            payloads, own = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
+            each = one(own, payloads) if together else (one(spec, json.loads(e)) for e, spec in zip(payloads, own, strict=True))
+            found = [(i, *r) for i, those in enumerate(each) for r in those]
             at, *columns = list(zip(*found, strict=True)) or [()] * (1 + len(more))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).take(pa.array(at, pa.int32())) for i in range(k)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names
@@ -264,19 +361,23 @@ def _per_trace(traces: DataFrame, keep: list[str], specs: DataFrame, more: list[
 
 
 def validate_traces(traces: DataFrame, keep: list[str], specs: DataFrame, *, validation: ValidationConfig | None = None) -> DataFrame:
-    """``keep`` and the struct ``trace`` of each row of :func:`collected_events`: how it fares in its workflow."""
+    """``keep`` and the struct ``trace`` of each row of :func:`collected_events` or :func:`cut_events`: how it fares in its workflow."""
     validation = validation or ValidationConfig()
     return _per_trace(traces, keep, specs, [T.StructField("trace", TRACE)], lambda: lambda spec, raw: [(walk(parsed(raw), machine(spec), validation).summary(),)])
 
 
 def score_traces(traces: DataFrame, keep: list[str], specs: DataFrame, *, scorer: ScorerConfig | None = None, config: WorkflowConfig | None = None,
-                 validation: ValidationConfig | None = None, validator: Validator | None = None) -> DataFrame:
+                 validation: ValidationConfig | None = None, validator: Validator | None = None, fields: list[str] | None = None) -> DataFrame:
     """``keep`` and the struct ``reward`` with its ``trace`` of each row of :func:`collected_events`.
 
     ``specs`` is :func:`trailmark.operators.workflow.packed`; rows whose
-    workflow is not in it give no row.
+    workflow is not in it give no row. If no more than ``fields`` of the reward
+    are asked for, some of :data:`trailmark.operators.batches.FIELDS`, the
+    traces of an Arrow batch are scored together.
     """
     scorer, config, validation = scorer or ScorerConfig(), config or WorkflowConfig(), validation or ValidationConfig()
+    if fields is not None and (not set(fields) <= set(batches.FIELDS) or config.mode != "graph"):
+        raise ValueError(f"fields are some of {batches.FIELDS}, by graph")
 
     def rows():
         encode = Cached(scorer.encoder, scorer.cache_size).encode
@@ -287,7 +388,21 @@ def score_traces(traces: DataFrame, keep: list[str], specs: DataFrame, *, scorer
 
         return one
 
-    return _per_trace(traces, keep, specs, [T.StructField("reward", TRACE_REWARD)], rows)
+    def many():
+        batch = batches.Batch(scorer, config, validator)
+
+        def each(own: list[str], payloads: list[str]) -> Iterator[list[tuple]]:
+            sizes = [len(e) for e in payloads]
+            for at in batches.stretches(sizes, TOGETHER, TOGETHER_CHARS):
+                for got in score_together(batch, own[at], payloads[at], validation):
+                    yield [({n: got[n] for n in [*fields, "trace"]},)]
+
+        return each
+
+    if fields is None:
+        return _per_trace(traces, keep, specs, [T.StructField("reward", TRACE_REWARD)], rows)
+    some = T.StructType([f for f in TRACE_REWARD.fields if f.name in [*fields, "trace"]])
+    return _per_trace(traces, keep, specs, [T.StructField("reward", some)], many, together=True)
 
 
 def event_potentials(traces: DataFrame, keep: list[str], specs: DataFrame, *, gamma: float = 1.0, scale: float = 1.0, scorer: ScorerConfig | None = None,

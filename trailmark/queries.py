@@ -645,9 +645,22 @@ def stage_rewards(spark, folder):
 
 
 def _attempts(spark, folder):
-    """The events of every attempt; a trajectory of any length is many of them."""
-    defs = read(spark, folder, "workflow_defs")
-    return _walked(spark, folder, lambda raw, known, single: traces.collected_events(raw, traces.attempts(raw, known, defs, single=single)), payloads=True)
+    """The events of every attempt as JSON; a trajectory of any length is many of them.
+
+    Short trajectories are cut in one shuffle, long ones (and all, if there are many nodes) by prefix computations.
+    """
+    nodes, defs = read(spark, folder, "workflow_nodes"), read(spark, folder, "workflow_defs")
+    ids = broadcast_if_small(nodes.select(F.col("workflow").alias("w"), F.col("id").alias("i")).distinct())
+
+    def walked(raw, single):
+        if single and (cut := traces.cut_events(raw, nodes, defs)) is not None:
+            return cut
+        current = events.current_events(raw)
+        known = current.join(ids, (F.col("workflow") == F.col("w")) & (F.col("node_id") == F.col("i")), "left_semi")
+        whole = traces.collected_events(current, traces.attempts(current, known, defs, single=single))
+        return whole.withColumn("trace", F.to_json("trace"))
+
+    return in_parts(read(spark, folder, "trace_events").filter("traj_id is not null and ord is not null"), "traj_id", "ord", walked)
 
 
 @query
@@ -662,7 +675,8 @@ def trace_walks(spark, folder):
 @query
 def trace_rewards(spark, folder):
     """Attempts validated, rendered, scored along their workflow on all their windows, and gated."""
-    scored = traces.score_traces(_attempts(spark, folder), ["traj_id", "attempt", "part"], _specs(spark, folder), scorer=ATTEMPT_SCORER, config=wf.WorkflowConfig(hard_trace_gate=False))
+    scored = traces.score_traces(_attempts(spark, folder), ["traj_id", "attempt", "part"], _specs(spark, folder), scorer=ATTEMPT_SCORER, config=wf.WorkflowConfig(hard_trace_gate=False),
+                                 fields=["score", "required_coverage", "order_rate", "state_score"])
     r = F.col("reward")
     return scored.select("traj_id", "attempt", "part", r6(r["score"]).alias("score"), r6(r["required_coverage"]).alias("required_coverage"), r6(r["order_rate"]).alias("order_rate"),
                          r6(r["state_score"]).alias("state_score"), r["trace"]["valid"].alias("valid"), r6(r["trace"]["validity"]).alias("validity"),
